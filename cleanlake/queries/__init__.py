@@ -6,7 +6,7 @@ import importlib
 
 from cleanlake.queries.registry import QUERIES, SQL
 
-MODULES = ["q_profile"]
+MODULES = ["q_profile", "q_clean"]
 
 
 def _load() -> None:
