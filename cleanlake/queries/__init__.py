@@ -6,7 +6,7 @@ import importlib
 
 from cleanlake.queries.registry import QUERIES, SQL
 
-MODULES = ["q_profile", "q_clean", "q_text", "q_encode"]
+MODULES = ["q_profile", "q_clean", "q_text", "q_encode", "q_features"]
 
 
 def _load() -> None:
