@@ -28,8 +28,9 @@ LGALL = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 def lq(key, fn, exprs, digits=4, source="lineitem_gaps"):
     """Row-wise features of the gap table: fn(df) adds columns, exprs maps their names to SQL."""
-    body = f"SELECT {KS}, " + ", ".join(f'{R(e, digits)} AS "{n}"' for n, e in exprs.items()) + f" FROM {source}"
-    query(key, ora(source, body))(lambda s, d: rounded(fn(table(s, d, source)).select(*LK, *[c(n).cast("double").alias(n) for n in exprs]), digits))
+    places = lambda n: min(digits, 4) if n.endswith("_std") or "_sq_" in n else digits
+    body = f"SELECT {KS}, " + ", ".join(f'{R(e, places(n))} AS "{n}"' for n, e in exprs.items()) + f" FROM {source}"
+    query(key, ora(source, body))(lambda s, d: fn(table(s, d, source)).select(*LK, *[rnd(c(n), places(n)).alias(n) for n in exprs]))
 
 
 Z0 = lambda x: f"coalesce({x}, 0)"
