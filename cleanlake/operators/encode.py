@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanlake.core import c, dbl, small_frame, text_columns
@@ -180,10 +177,18 @@ def _cardinality(df: DataFrame, columns: list[str]) -> dict[str, int]:
     return df.agg(*[F.count_distinct(c(x)).alias(x) for x in columns]).first().asDict() if columns else {}
 
 
+def _small_cardinality(df: DataFrame, columns: list[str], certain: int = 200) -> dict[str, int]:
+    """Distinct counts that only have to be exact when small: a sketch first, exact counts for the small columns."""
+    if not columns:
+        return {}
+    rough = df.agg(*[F.approx_count_distinct(c(x)).alias(x) for x in columns]).first().asDict()
+    return rough | _cardinality(df, [x for x in columns if rough[x] <= certain])
+
+
 def auto(df: DataFrame, columns: list[str] | None = None, limit: int = 10) -> DataFrame:
     """At most `limit` values one-hot, else label in place."""
     cols = columns or text_columns(df)
-    card = _cardinality(df, cols)
+    card = _small_cardinality(df, cols)
     out = df
     for x in cols:
         out = onehot(out, [x]) if card[x] <= limit else label(out, x, name="__new").drop(x).withColumnRenamed("__new", x)
@@ -193,7 +198,7 @@ def auto(df: DataFrame, columns: list[str] | None = None, limit: int = 10) -> Da
 def bulk(df: DataFrame, strategy: str = "smart", columns: list[str] | None = None, target_col: str | None = None) -> DataFrame:
     """strategy: smart, onehot (<= 20 values), label, target. Sources are kept."""
     cols = columns or text_columns(df)
-    card = _cardinality(df, cols)
+    card = _small_cardinality(df, cols)
     out = df
     for x in cols:
         if strategy == "target":

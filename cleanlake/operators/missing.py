@@ -5,13 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleanlake.core import c, count_if, datetime_columns, dbl, durable, numeric_columns, small_frame, text_columns
+from cleanlake.core import c, count_if, dbl, durable, numeric_columns, small_frame, text_columns
 from cleanlake.operators import ordered
-from cleanlake.operators.profile import gram, per_column, profile
+from cleanlake.operators.profile import gram, most_frequent, per_column, profile
 from cleanlake.operators.quantiles import exact_quantiles
 
 
@@ -60,9 +59,8 @@ def fit_mode(df: DataFrame, columns: list[str], default: str | None = "Unknown")
     out = {}
     text = set(text_columns(df))
     for x in columns:
-        top = (df.where(c(x).isNotNull()).groupBy(c(x)).agg(F.count(F.lit(1)).alias("__n"))
-               .orderBy(F.col("__n").desc(), c(x)).head(1))
-        out[x] = top[0][0] if top else (default if x in text else None)
+        top = most_frequent(df, x)
+        out[x] = top if top is not None else (default if x in text else None)
     return FillValues(out)
 
 
@@ -88,12 +86,6 @@ interpolate = ordered.interpolate
 
 # ---------------------------------------------------------------- KNN
 
-@dataclass
-class KnnFit:
-    columns: list[str]
-    k: int
-
-
 def _knn_update(columns: list[str], k: int, target: list[str], donors: np.ndarray, donor_ids: np.ndarray):
     """Batch function: merge one block of donors into the k nearest kept per missing cell."""
     d = len(columns)

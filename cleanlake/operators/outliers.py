@@ -215,8 +215,12 @@ def fit_forest(df: DataFrame, columns: list[str], key: list[str], contamination:
     n = df.count()
     size = min(sample, n)
     x = df.select(*[F.coalesce(dbl(v), F.lit(f)).alias(v) for v, f in zip(columns, fill)], F.xxhash64(*[c(k) for k in key], F.lit(seed)).alias("__h"))
+    # one hash per row picks a common pool of a fixed size, from which every tree draws its own rows
+    pool = min(1.0, 4.0 * trees * sample / max(n, 1))
+    if pool < 1.0:
+        x = x.where(F.pmod("__h", F.lit(1 << 30)) < int(pool * (1 << 30)))
     # enough candidates per tree to reach `size` with near certainty, the surplus is cut by hash order
-    share = min(1.0, (size + 6 * math.sqrt(size) + 8) / max(n, 1))
+    share = min(1.0, (size + 6 * math.sqrt(size) + 8) / max(n * pool, 1))
     draw = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
         t.alias("tree"), F.pmod(F.xxhash64(F.col("__h"), t), F.lit(1 << 30)).alias("u")))
     picked = x.select("*", F.inline(F.filter(draw, lambda s: s["u"] < F.lit(int(share * (1 << 30)) + 1))))

@@ -157,6 +157,13 @@ def duplicate_count(df: DataFrame, columns: list[str] | None = None) -> int:
     return distinct_groups(df, columns).agg(F.coalesce(F.sum(F.col("rows") - 1), F.lit(0))).first()[0]
 
 
+def most_frequent(df: DataFrame, column: str):
+    """Most frequent known value, ties to the smallest. Counted by value first: the mode aggregate keeps all values in one task."""
+    top = (df.where(c(column).isNotNull()).groupBy(c(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+           .orderBy(F.col("n").desc(), "v").head(1))
+    return top[0]["v"] if top else None
+
+
 # ---------------------------------------------------------------- tables of statistics
 
 def profile_columns(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -380,7 +387,7 @@ def kendall_tau_b(df: DataFrame, a: str, b: str) -> DataFrame:
     cells = (df.select(dbl(a).alias("x"), dbl(b).alias("y")).dropna().groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")))
     ys = ordered.value_ranks(cells, "y", "w")
     levels = max(1, int((ys.count() or 1) - 1).bit_length())
-    ranked = skew_join(cells, ys.select("y", "dense"), ["y"], "inner")
+    ranked = skew_join(cells, ys.select("y", "dense"), ["y"], "inner", right_unique=True)
     bits = ranked.select("x", "w", "dense", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
     bits = bits.select("x", "dense", "w", "level", F.expr("shiftright(dense, level + 1)").alias("prefix"),
                        F.expr("shiftright(dense, level) & 1").alias("bit"))
@@ -627,7 +634,7 @@ def story_facts(df: DataFrame) -> DataFrame:
     """Facts per column and for the table as rows (subject, fact, number, label)."""
     prof = profile(df, quantiles=False, outliers=False, parse=False)
     texts = [p.column for p in prof if p.role == "text"]
-    modes = df.agg(*[F.mode(c(x), True).alias(x) for x in texts]).first() if texts else {}
+    modes = {x: most_frequent(df, x) for x in texts}
     rows: list[tuple] = []
     for p in prof:
         if p.role == "numeric":

@@ -71,7 +71,10 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], accuracy:
                 brackets[k] = (lo, hi, below)
         open_ -= set(brackets)
         eps = min(1.0, eps * 8)
+    out: dict[str, list[float | None]] = {col: [None] * len(probs) for col in columns}
     keys = sorted(brackets)
+    if not keys:
+        return out
     cells = F.array(*[F.struct(F.lit(i).alias("id"), F.when(c(columns[k[0]]).between(brackets[k][0], brackets[k][1]),
                                                             c(columns[k[0]])).alias("v")) for i, k in enumerate(keys)])
     inside = (df.select(F.inline(F.filter(cells, lambda s: s["v"].isNotNull())))
@@ -85,7 +88,6 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], accuracy:
                       ((start <= F.ceil(pos)) & (F.ceil(pos) < end)).alias("is_hi")).where("is_lo OR is_hi").collect()
     lo = {r["id"]: r["v"] for r in hits if r["is_lo"]}
     hi = {r["id"]: r["v"] for r in hits if r["is_hi"]}
-    out: dict[str, list[float | None]] = {col: [None] * len(probs) for col in columns}
     for i, k in enumerate(keys):
         out[columns[k[0]]][k[1]] = _interpolate(wanted[k], lo[i], hi[i])
     return out
@@ -98,7 +100,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], columns: list[str], probs:
     Groups of a proven small size are aggregated directly; for larger groups only the values between two
     sketched bounds (about 8/accuracy of the group) are ordered.
     """
-    base = df.select(*[c(k) for k in keys], *[dbl(col).alias("__q_" + col) for col in columns if True])
+    base = df.select(*[c(k) for k in keys], *[dbl(col).alias("__q_" + col) for col in columns])
     value = {col: "__q_" + col for col in columns}
     plist = F.array(*map(F.lit, probs))
     direct = lambda d: d.groupBy(*[c(k) for k in keys]).agg(

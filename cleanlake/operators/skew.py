@@ -27,31 +27,47 @@ def hot_keys(counts: DataFrame, keys: list[str], count_col: str, hot_rows: int =
             .select(*[c(k).alias(k + "__h") for k in keys], F.lit(True).alias("__hot")))
 
 
+def _counted(df: DataFrame, keys: list[str], count_col: str) -> DataFrame:
+    return df.groupBy(*[c(k) for k in keys]).agg(F.count(F.lit(1)).alias(count_col))
+
+
+def _mark(df: DataFrame, hot: DataFrame, keys: list[str], flag: str) -> DataFrame:
+    marked = df.join(hot, _match(df, hot, keys, "__h"), "left")
+    return marked.withColumn(flag, F.coalesce(F.col("__hot"), F.lit(False))).drop("__hot", *[k + "__h" for k in keys])
+
+
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", *,
               counts: DataFrame | None = None, count_col: str = "__n", hot_rows: int = HOT_ROWS,
-              salts: int = SALTS, spread_by: list[str] | None = None) -> DataFrame:
-    """Null-safe equi join on same-named keys; rows of hot left keys are spread over `salts` tasks.
+              salts: int = SALTS, spread_by: list[str] | None = None, right_unique: bool = False) -> DataFrame:
+    """Null-safe equi join on same-named keys whose hot keys are spread over `salts` tasks.
 
-    The right rows of a hot key are copied once per salt, so the result is exactly that of the plain
-    join. `counts` (keys + count_col) saves the counting pass when the caller already has it.
+    Rows of a key that is hot on the left take one salt each, and the right rows of that key are copied once per
+    salt. For inner joins the same is done, with a second salt, for keys that are hot on the right. Every matching
+    pair still meets exactly once, so the result is that of the plain join. `counts` (keys + count_col) saves
+    counting the left side; right_unique says that no key repeats on the right.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("salting keeps the meaning of inner, left, left_semi and left_anti joins only")
-    if counts is None:
-        counts = left.groupBy(*[c(k) for k in keys]).agg(F.count(F.lit(1)).alias(count_col))
+    both = how == "inner" and not right_unique
+    counts = counts if counts is not None else _counted(left, keys, count_col)
     hot = F.broadcast(hot_keys(counts, keys, count_col, hot_rows))
     spread = F.xxhash64(*[c(k) for k in spread_by]) if spread_by else F.monotonically_increasing_id()
-    l = left.withColumn("__spread", F.pmod(spread, F.lit(salts)).cast("int"))
-    l = l.join(hot, _match(l, hot, keys, "__h"), "left")
-    l = l.withColumn("__salt", F.when(F.col("__hot"), F.col("__spread")).otherwise(F.lit(0)))
-    l = l.drop("__spread", "__hot", *[k + "__h" for k in keys])
-    r = right.join(hot, _match(right, hot, keys, "__h"), "left")
-    r = r.withColumn("__salt_r", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                                          .otherwise(F.array(F.lit(0)))))
-    r = r.drop("__hot", *[k + "__h" for k in keys])
+    one = F.pmod(spread, F.lit(salts)).cast("int")
+    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
+    copies = lambda flag: F.explode(F.when(F.col(flag), all_salts).otherwise(F.array(F.lit(0))))
+    l = _mark(left.withColumn("__one", one), hot, keys, "__hot_l").withColumn("__salt", F.when(F.col("__hot_l"), F.col("__one")).otherwise(F.lit(0)))
+    r = _mark(right, hot, keys, "__hot_l").withColumn("__salt_r", copies("__hot_l")).drop("__hot_l")
+    l = l.drop("__one", "__hot_l")
+    if both:
+        hot_right = F.broadcast(hot_keys(_counted(right, keys, "__n"), keys, "__n", hot_rows))
+        l = _mark(l, hot_right, keys, "__hot_r").withColumn("__salt2", copies("__hot_r")).drop("__hot_r")
+        r = r.withColumn("__one", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+        r = _mark(r, hot_right, keys, "__hot_r").withColumn("__salt2_r", F.when(F.col("__hot_r"), F.col("__one")).otherwise(F.lit(0))).drop("__one", "__hot_r")
     r = r.select(*[c(n).alias(n + "__r") if n in keys else c(n) for n in r.columns])
-    out = l.join(r, _match(l, r, keys, "__r") & (l["__salt"] == r["__salt_r"]), how)
-    return out.drop("__salt", "__salt_r", *[k + "__r" for k in keys])
+    cond = _match(l, r, keys, "__r") & (l["__salt"] == r["__salt_r"])
+    if both:
+        cond = cond & (l["__salt2"] == r["__salt2_r"])
+    return l.join(r, cond, how).drop("__salt", "__salt_r", "__salt2", "__salt2_r", *[k + "__r" for k in keys])
 
 
 def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left", *,
@@ -71,7 +87,7 @@ def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], how: str = "le
         local = F.broadcast(local.select(*[c(n).alias(n + "__r") if n in keys else c(n) for n in local.columns]))
         out = df.join(local, _match(df, local, keys, "__r"), how)
         return out.drop(*[k + "__r" for k in keys])
-    return skew_join(df, table, keys, how)
+    return skew_join(df, table, keys, how, right_unique=True)
 
 
 def group_stats_join(df: DataFrame, keys: list[str], aggs: dict[str, Column], *, where: Column | None = None,
@@ -83,4 +99,4 @@ def group_stats_join(df: DataFrame, keys: list[str], aggs: dict[str, Column], *,
     stats = df.groupBy(*[c(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"), *[v.alias(k) for k, v in aggs.items()])
     if where is not None:
         stats = stats.where(where)
-    return skew_join(df, stats, keys, "inner", counts=stats, spread_by=spread_by, hot_rows=hot_rows)
+    return skew_join(df, stats, keys, "inner", counts=stats, spread_by=spread_by, hot_rows=hot_rows, right_unique=True)

@@ -13,9 +13,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 VIEWS = {
-    # nulls, copied rows, numeric text, boolean text, mixed date formats; key (o_orderkey, copy)
+    # the whole table plus planted copies of every tenth row; nulls, numeric text, boolean text, mixed date formats;
+    # key (o_orderkey, copy)
     "orders_dirty": """
-SELECT o.o_orderkey, d.copy, o.o_custkey, o.o_orderstatus, o.o_orderdate,
+SELECT o.o_orderkey, o.copy, o.o_custkey, o.o_orderstatus, o.o_orderdate,
        CASE WHEN o.o_orderkey % 11 = 0 THEN NULL ELSE o.o_totalprice END AS o_totalprice,
        CASE WHEN o.o_orderkey % 7 = 0 THEN NULL ELSE o.o_orderpriority END AS o_orderpriority,
        CASE WHEN o.o_orderkey % 13 = 0 THEN 'n/a'
@@ -25,8 +26,7 @@ SELECT o.o_orderkey, d.copy, o.o_custkey, o.o_orderstatus, o.o_orderdate,
             WHEN o.o_orderkey % 3 = 0 THEN concat(substr(CAST(o.o_orderdate AS VARCHAR(40)), 9, 2), '/',
                  substr(CAST(o.o_orderdate AS VARCHAR(40)), 6, 2), '/', substr(CAST(o.o_orderdate AS VARCHAR(40)), 1, 4))
             ELSE substr(CAST(o.o_orderdate AS VARCHAR(40)), 1, 10) END AS date_text
-FROM orders o JOIN (SELECT 0 AS copy UNION ALL SELECT 1 AS copy) d
-  ON d.copy = 0 OR o.o_orderkey % 10 = 0""",
+FROM (SELECT *, 0 AS copy FROM orders UNION ALL SELECT *, 1 AS copy FROM orders WHERE o_orderkey % 10 = 0) o""",
     # runs of nulls in an ordered series; key event_id
     "events_gaps": """
 SELECT event_id, ts, user_id, event_type,

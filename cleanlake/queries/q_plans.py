@@ -77,6 +77,7 @@ query("scan_xml", CU)(_xml)
 
 def _write_archives(df: DataFrame, path: str) -> None:
     """One zip archive per partition, written by its task."""
+    path = path.removeprefix("file://")
     os.makedirs(path, exist_ok=True)
 
     def pack(batches):

@@ -64,7 +64,7 @@ def scan_xml(spark: SparkSession, path: str, row_tag: str, schema: str | T.Struc
 
 
 def scan_zip_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", rows_per_batch: int = 50_000) -> DataFrame:
-    """First CSV member of every zip archive under the path: one task per archive, rows leave it in batches."""
+    """First CSV member of every zip archive under the path: an archive is read by one task, rows leave it in batches."""
     names = [f.name for f in T._parse_datatype_string(schema).fields]
     text = ", ".join(f"`{n}` string" for n in names)
 
@@ -80,7 +80,7 @@ def scan_zip_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", ro
                             yield part[names]
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
-    raw = files.repartition(spark.sparkContext.defaultParallelism).mapInPandas(unzip, text)
+    raw = files.mapInPandas(unzip, text)
     types = {f.name: f.dataType for f in T._parse_datatype_string(schema).fields}
     return raw.select(*[c(n).try_cast(types[n]).alias(n) for n in names])
 
