@@ -111,3 +111,9 @@ def durable(df: DataFrame) -> DataFrame:
 def small_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """DataFrame from a driver-side list whose length is bounded by the number of columns, rules or parameters."""
     return spark.createDataFrame(rows, schema).coalesce(1)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Input of a Python-heavy step over all cores when it has too few partitions (a small file); large inputs stay as they are."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleanlake.core import c, count_if, dbl, durable, numeric_columns, small_frame, text_columns
+from cleanlake.core import c, count_if, dbl, durable, numeric_columns, small_frame, spread, text_columns
 from cleanlake.operators import ordered
 from cleanlake.operators.profile import gram, most_frequent, per_column, profile
 from cleanlake.operators.quantiles import exact_quantiles
@@ -140,7 +140,7 @@ def impute_knn(df: DataFrame, columns: list[str], key: str, k: int = 5, donors_p
     for x in target:
         missing = missing | c(x).isNull()
     nn = "array<struct<d:double,i:bigint,v:double>>"
-    state = base.where(missing).select("*", *[F.lit(None).cast(nn).alias("__nn_" + x) for x in target])
+    state = spread(base.where(missing)).select("*", *[F.lit(None).cast(nn).alias("__nn_" + x) for x in target])
     donors = base.select(F.xxhash64(c(key)).alias("__id"), *[c(x) for x in columns])
     blocks = max(1, -(-stats["__n"] // donors_per_block))
     for b in range(blocks):
@@ -176,7 +176,7 @@ def fit_iterative(df: DataFrame, columns: list[str], max_iter: int = 10, ridge:
     todo = sorted([x for x in columns if row["k_" + x] < row["__n"]], key=lambda x: row["__n"] - row["k_" + x])
     state = df.select(*[F.coalesce(dbl(x), F.lit(means[x])).alias(x) for x in columns], *[dbl(x).isNull().alias("__m_" + x) for x in todo])
     models: list[tuple[str, float, dict[str, float]]] = []
-    spread = df.agg(*[F.stddev_pop(dbl(x)).alias(x) for x in columns]).first()
+    sigma = df.agg(*[F.stddev_pop(dbl(x)).alias(x) for x in columns]).first()
     for _ in range(max_iter if len(todo) > 1 else min(1, len(todo))):
         moved = 0.0
         for t in todo:
@@ -196,7 +196,7 @@ def fit_iterative(df: DataFrame, columns: list[str], max_iter: int = 10, ridge:
                 pred = pred + F.lit(b) * c(x)
             state = state.withColumn("__new", F.when(c("__m_" + t), pred).otherwise(c(t)))
             if len(todo) > 1:
-                sd = spread[t] or 1.0
+                sd = sigma[t] or 1.0
                 moved = max(moved, (state.agg(F.max(F.abs(F.col("__new") - c(t)))).first()[0] or 0.0) / sd)
             state = state.drop(t).withColumnRenamed("__new", t)
         if len(todo) > 1:

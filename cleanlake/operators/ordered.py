@@ -86,6 +86,12 @@ def _win(partition_by: list[str], order_by: list[str]):
     return Window.partitionBy(SEG, *[c(k) for k in partition_by]).orderBy(*_order(order_by))
 
 
+def _next_win(partition_by: list[str], order_by: list[str]):
+    """The reversed order up to the current row: "next known" as a running value (a frame to the unbounded end is quadratic)."""
+    w = Window.partitionBy(SEG, *[c(k) for k in partition_by]).orderBy(*[c(o).desc_nulls_last() for o in order_by])
+    return w.rowsBetween(Window.unboundedPreceding, 0)
+
+
 def _carry(summary: DataFrame, partition_by: list[str], exprs: dict[str, Column]) -> DataFrame:
     """Carry-in per segment. Only groups that span several segments need a row: at most two per segment."""
     out = summary.select(SEG, *[c(k) for k in partition_by], *[e.alias(n) for n, e in exprs.items()])
@@ -148,7 +154,7 @@ def fill(df: DataFrame, columns: list[str], order_by: list[str], *, direction: s
         if fwd:
             opts += [F.last(c(x), ignorenulls=True).over(ow.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"__cl{i}")]
         if bwd:
-            opts += [F.first(c(x), ignorenulls=True).over(ow.rowsBetween(0, Window.unboundedFollowing)), F.col(f"__cf{i}")]
+            opts += [F.last(c(x), ignorenulls=True).over(_next_win(part, order_by)), F.col(f"__cf{i}")]
         out = out.withColumn(f"__v{i}", F.coalesce(*opts))
     return out.select(*[F.col(f"__v{columns.index(n)}").alias(n) if n in columns else c(n) for n in df.columns])
 
@@ -167,7 +173,7 @@ def interpolate(df: DataFrame, column: str, order_by: list[str], *, partition_by
     out = _attach(idx, carry, part)
     ow = _win(part, order_by)
     out = out.withColumn("__p", F.coalesce(F.last("__k", ignorenulls=True).over(ow.rowsBetween(Window.unboundedPreceding, 0)), F.col("__cl")))
-    out = out.withColumn("__n", F.coalesce(F.first("__k", ignorenulls=True).over(ow.rowsBetween(0, Window.unboundedFollowing)), F.col("__cf")))
+    out = out.withColumn("__n", F.coalesce(F.last("__k", ignorenulls=True).over(_next_win(part, order_by)), F.col("__cf")))
     p, n, i = F.col("__p"), F.col("__n"), F.col("__i")
     value = (F.when(c(column).isNotNull(), c(column).cast("double"))
              .when(p.isNotNull() & n.isNotNull(), p["v"] + (n["v"] - p["v"]) * (i - p["i"]) / (n["i"] - p["i"]))

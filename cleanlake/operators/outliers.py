@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleanlake.core import c, count_if, dbl, numeric_columns, small_frame
+from cleanlake.core import c, count_if, dbl, numeric_columns, small_frame, spread
 from cleanlake.operators.profile import per_column, profile
 from cleanlake.operators.quantiles import exact_quantiles
 
@@ -193,16 +193,21 @@ def _grow(x: np.ndarray, rng, limit: int) -> list[tuple]:
     return nodes
 
 
-def _path_lengths(x: np.ndarray, tree: list[tuple]) -> np.ndarray:
+def _flat(tree: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Node arrays in which a leaf points to itself, so a fixed number of steps walks every row to its leaf."""
     t = np.array(tree, dtype=float)
-    at = np.zeros(len(x), dtype=int)
-    while True:
-        feat = t[at, 0].astype(int)
-        live = np.nonzero(feat >= 0)[0]
-        if len(live) == 0:
-            return t[at, 4]
-        go_left = x[live, feat[live]] < t[at[live], 1]
-        at[live] = np.where(go_left, t[at[live], 2], t[at[live], 3]).astype(int)
+    me = np.arange(len(t))
+    leaf = t[:, 0] < 0
+    return (np.where(leaf, 0, t[:, 0]).astype(np.intp), np.where(leaf, np.inf, t[:, 1]), np.where(leaf, me, t[:, 2]).astype(np.intp),
+            np.where(leaf, me, t[:, 3]).astype(np.intp), t[:, 4])
+
+
+def _path_lengths(x: np.ndarray, flat: tuple[np.ndarray, ...], depth: int) -> np.ndarray:
+    feat, cut, left, right, path = flat
+    rows, at = np.arange(len(x)), np.zeros(len(x), dtype=np.intp)
+    for _ in range(depth):
+        at = np.where(x[rows, feat[at]] < cut[at], left[at], right[at])
+    return path[at]
 
 
 def fit_forest(df: DataFrame, columns: list[str], key: list[str], contamination: float = 0.1, trees: int = 100, sample: int = 256, seed: int = 42) -> IsolationForest:
@@ -242,7 +247,8 @@ def fit_forest(df: DataFrame, columns: list[str], key: list[str], contamination:
 
 def score_forest(df: DataFrame, fit: IsolationForest, name: str = "anomaly_score") -> DataFrame:
     """Score in (0, 1); the trees (a few hundred small nodes each) travel with the tasks."""
-    trees, norm = fit.trees, max(_avg_path(fit.sample_size), 1e-12)
+    trees, norm = [_flat(t) for t in fit.trees], max(_avg_path(fit.sample_size), 1e-12)
+    depth = max(1, math.ceil(math.log2(max(fit.sample_size, 2))))
     paths = _path_lengths
 
     @F.pandas_udf("double")
@@ -250,10 +256,10 @@ def score_forest(df: DataFrame, fit: IsolationForest, name: str = "anomaly_score
         x = np.column_stack([s.to_numpy(dtype=float) for s in xs])
         total = np.zeros(len(x))
         for t in trees:
-            total += paths(x, t)
+            total += paths(x, t, depth)
         return pd.Series(2.0 ** (-(total / len(trees)) / norm))
 
-    return df.withColumn(name, score(*[F.coalesce(dbl(v), F.lit(f)) for v, f in zip(fit.columns, fit.fill)]))
+    return spread(df).withColumn(name, score(*[F.coalesce(dbl(v), F.lit(f)) for v, f in zip(fit.columns, fit.fill)]))
 
 
 def flag_forest(df: DataFrame, fit: IsolationForest) -> DataFrame:

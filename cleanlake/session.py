@@ -19,6 +19,7 @@ def get_spark(app: str = "cleanlake", cores: str | int | None = None, memory: st
         .config("spark.driver.memory", memory)
         .config("spark.scheduler.mode", "FAIR")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.debug.maxToStringFields", "200")
         .getOrCreate()
     )
