@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanlake.core import c, count_if, dbl, share, small_frame
+from cleanlake.operators.profile import known_counts
 from cleanlake.operators.quantiles import exact_quantiles
 
 EARTH_KM = 6371.0
@@ -23,12 +24,13 @@ REGIONS = [("North America", -48, 71, -168, -52), ("Europe", 35, 71, -12, 40), (
 
 
 def detect(df: DataFrame) -> DataFrame:
-    """Columns with a keyword as a whole part of the name."""
-    rows = []
+    """Columns with a keyword as a whole part of the name, with their known values."""
+    found = []
     for x in df.columns:
         name = "_" + re.sub(r"[^a-z0-9]+", "_", x.lower()) + "_"
-        rows += [(kind, x) for kind, words in GEO_WORDS.items() if any(f"_{w}_" in name for w in words)]
-    return small_frame(df.sparkSession, rows, "kind string, column string")
+        found += [(kind, x) for kind, words in GEO_WORDS.items() if any(f"_{w}_" in name for w in words)]
+    known = known_counts(df, sorted({x for _, x in found}))
+    return small_frame(df.sparkSession, [(kind, x, known[x]) for kind, x in found], "kind string, column string, known long")
 
 
 def is_valid(lat: str, lon: str) -> Column:

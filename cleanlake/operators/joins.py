@@ -31,14 +31,25 @@ def suggest_keys(left: DataFrame, right: DataFrame) -> DataFrame:
     return small_frame(left.sparkSession, [(i + 1, *r) for i, r in enumerate(rows)], "position int, left_column string, right_column string, similarity double, reason string")
 
 
-def key_overlap(left: DataFrame, right: DataFrame, left_col: str, right_col: str) -> DataFrame:
-    """Approximate distinct values of both sides and of their union: the shared part is a + b - union."""
-    a = left.select(F.lit(1).alias("side"), c(left_col).cast("string").alias("v"))
-    b = right.select(F.lit(2).alias("side"), c(right_col).cast("string").alias("v"))
-    t = a.unionByName(b).agg(F.approx_count_distinct(F.when(F.col("side") == 1, F.col("v"))).alias("left_values"),
-                             F.approx_count_distinct(F.when(F.col("side") == 2, F.col("v"))).alias("right_values"), F.approx_count_distinct("v").alias("u"))
-    shared = F.greatest(F.col("left_values") + F.col("right_values") - F.col("u"), F.lit(0))
-    return t.select("left_values", "right_values", shared.alias("shared_values"))
+def key_overlap(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Distinct values shared by each column pair, counted exactly in one job."""
+    out = None
+    for a, b in pairs:
+        side = lambda df, x, n: df.where(c(x).isNotNull()).select(c(x).cast("string").alias("v"), F.lit(n).alias("s"))
+        both = side(left, a, 1).unionByName(side(right, b, 2)).groupBy("v").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+        one = both.agg(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), F.count(F.when(F.col("lo") < F.col("hi"), 1)).alias("shared_values"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def suggest_keys_with_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
+    """suggest_keys plus the number of distinct values the two columns share."""
+    t = suggest_keys(left, right)
+    pairs = sorted({(r["left_column"], r["right_column"]) for r in t.collect()})
+    if not pairs:
+        return t.withColumn("shared_values", F.lit(0).cast("long"))
+    # one row per column pair
+    return t.join(F.broadcast(key_overlap(left, right, pairs)), ["left_column", "right_column"])
 
 
 def _rename(df: DataFrame, names: dict[str, str]) -> DataFrame:

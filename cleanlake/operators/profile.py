@@ -234,8 +234,16 @@ def completeness(df: DataFrame) -> DataFrame:
     return t.withColumn("label", F.when(F.col("completeness") > 95, "excellent").when(F.col("completeness") > 80, "good").otherwise("attention"))
 
 
+def known_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Known values per column, from one aggregate."""
+    return df.agg(*[F.count(c(x)).alias(x) for x in columns]).first().asDict() if columns else {}
+
+
 def dtype_counts(df: DataFrame) -> DataFrame:
-    return small_frame(df.sparkSession, [(t,) for _, t in df.dtypes], "type string").groupBy("type").agg(F.count(F.lit(1)).alias("columns"))
+    """Columns and known values per type."""
+    known = known_counts(df, df.columns)
+    t = small_frame(df.sparkSession, [(t, known[x]) for x, t in df.dtypes], "type string, known long")
+    return t.groupBy("type").agg(F.count(F.lit(1)).alias("columns"), F.sum("known").alias("known_values"))
 
 
 # name fragments that mark an engineered column, by kind
@@ -246,11 +254,11 @@ ENGINEERED = {
 
 
 def engineered_census(df: DataFrame) -> DataFrame:
-    names = small_frame(df.sparkSession, [(x,) for x in df.columns], "name string")
-    aggs = [F.struct(F.lit(k).alias("category"), count_if(F.col("name").rlike("|".join(v))).alias("columns"),
-                     F.count(F.lit(1)).alias("total")).alias(k) for k, v in ENGINEERED.items()]
-    t = _melt(names.agg(*aggs), list(ENGINEERED))
-    return t.where("columns > 0").select("category", "columns", share(F.col("columns"), F.col("total")).alias("pct"))
+    """Engineered columns by kind: number, share of all columns, known values."""
+    found = {k: [x for x in df.columns if any(part in x for part in v)] for k, v in ENGINEERED.items()}
+    known = known_counts(df, sorted({x for xs in found.values() for x in xs}))
+    rows = [(k, len(xs), 100.0 * len(xs) / len(df.columns), sum(known[x] for x in xs)) for k, xs in found.items() if xs]
+    return small_frame(df.sparkSession, rows, "category string, columns long, pct double, known_values long")
 
 
 def value_counts_topk(df: DataFrame, column: str, k: int = 10, approx: bool = False) -> DataFrame:

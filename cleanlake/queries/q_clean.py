@@ -226,7 +226,10 @@ def _overlap(s, d):
     return rounded(O.overlap(df, O.fit_iqr(df, ["value", "twice", "user_id"])))
 
 
-query("outlier_overlap", EG(f"""SELECT 'value' AS "column", 'twice' AS other, 1.0 + 0.0E0 AS share UNION ALL SELECT 'twice', 'value', 1.0 + 0.0E0"""))(_overlap)
+OVT = "t AS (SELECT value, value * 2 AS twice, user_id FROM events_gaps)"
+OVF = lambda x: f"({x} < (SELECT quantile_cont({x}, 0.25) - 1.5 * (quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25)) FROM t) OR {x} > (SELECT quantile_cont({x}, 0.75) + 1.5 * (quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25)) FROM t))"
+OVP = [(a, b) for a in ("value", "twice", "user_id") for b in ("value", "twice", "user_id") if a != b]
+query("outlier_overlap", ora("events_gaps", f"""WITH {OVT} SELECT a AS "column", b AS other, {R('s')} AS share FROM ({union(OVP, lambda p: f"SELECT '{p[0]}' AS a, '{p[1]}' AS b, 1.0 * count(*) FILTER (WHERE {OVF(p[1])}) / nullif(count(*), 0) AS s FROM t WHERE {OVF(p[0])}")}) WHERE s > 0.3"""))(_overlap)
 query("recommend_outliers", ora("events_gaps", f"""WITH {prof('events_gaps', ['event_id', 'user_id', 'value'], [], [])} SELECT col AS "column", outl AS outliers, {R('100.0 * outl / (n - nulls)')} AS pct, CASE WHEN 100.0 * outl / (n - nulls) > 10 THEN 'winsorize' WHEN 100.0 * outl / (n - nulls) > 5 THEN 'flag' ELSE 'none' END AS action,
   CASE WHEN 100.0 * outl / n < 5 THEN 'Cap' ELSE 'Remove' END AS treatment, CASE WHEN 100.0 * outl / n > 10 THEN 'high' WHEN 100.0 * outl / n > 5 THEN 'medium' ELSE 'low' END AS severity FROM prof WHERE outl > 0"""))(
     lambda s, d: rounded(O.recommend(eg(s, d))))

@@ -131,9 +131,10 @@ def _isin(s, d):
 query("filter_isin_values", "WITH b AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS c FROM events) SELECT event_id, CASE WHEN value < a - 1.5 * (c - a) OR value > c + 1.5 * (c - a) THEN 'flagged' ELSE 'normal' END AS kind FROM events, b")(_isin)
 
 # ---------------------------------------------------------------- joins
-query("suggest_join_keys", """SELECT * FROM (VALUES (1, 'o_custkey', 'l_orderkey', 0.9E0, 'key_pattern'), (2, 'o_custkey', 'l_partkey', 0.9E0, 'key_pattern'), (3, 'o_custkey', 'l_suppkey', 0.9E0, 'key_pattern'), (4, 'o_orderkey', 'l_orderkey', 0.9E0, 'key_pattern'),
-  (5, 'o_orderkey', 'l_orderkey', 0.9E0, 'similar_name'), (6, 'o_orderkey', 'l_partkey', 0.9E0, 'key_pattern'), (7, 'o_orderkey', 'l_suppkey', 0.9E0, 'key_pattern')) t(position, left_column, right_column, similarity, reason)""")(
-    lambda s, d: rounded(J.suggest_keys(table(s, d, "orders"), li(s, d))))
+KEY_PAIRS = [("o_custkey", "l_orderkey", "key_pattern"), ("o_custkey", "l_partkey", "key_pattern"), ("o_custkey", "l_suppkey", "key_pattern"), ("o_orderkey", "l_orderkey", "key_pattern"),
+             ("o_orderkey", "l_orderkey", "similar_name"), ("o_orderkey", "l_partkey", "key_pattern"), ("o_orderkey", "l_suppkey", "key_pattern")]
+query("suggest_join_keys", union(enumerate(KEY_PAIRS), lambda p: f"SELECT {p[0] + 1} AS position, '{p[1][0]}' AS left_column, '{p[1][1]}' AS right_column, 0.9E0 AS similarity, '{p[1][2]}' AS reason, (SELECT count(*) FROM (SELECT {p[1][0]} FROM orders INTERSECT SELECT {p[1][1]} FROM lineitem)) AS shared_values"))(
+    lambda s, d: rounded(J.suggest_keys_with_overlap(table(s, d, "orders"), li(s, d))))
 for _h in ("inner", "left", "right", "outer"):
     query(f"join_{_h}", f"SELECT c_custkey, c_nationkey, s_suppkey, s_nationkey, {R('s_acctbal', 2)} AS s_acctbal FROM customer {_h if _h != 'outer' else 'FULL OUTER'} JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON c_nationkey = s_nationkey")(
         lambda s, d, h=_h: J.equi_join(table(s, d, "customer"), table(s, d, "supplier").where("s_acctbal > 0"), ["c_nationkey"], ["s_nationkey"], h).select("c_custkey", "c_nationkey", "s_suppkey", "s_nationkey", rnd("s_acctbal", 2).alias("s_acctbal")))

@@ -120,7 +120,7 @@ query("todo_activities", od_rules("""SELECT 'handle_missing' AS action, count(*)
   UNION ALL SELECT 'detect_outliers', count(*), 'Medium' FROM prof WHERE role = 'numeric' HAVING count(*) > 0
   UNION ALL SELECT 'optimize_types', count(*), 'Low' FROM prof"""))(lambda s, d: P.todo_activities(_nocopy(s, d)))
 
-query("dtype_counts", "SELECT type, count(*) AS columns FROM (VALUES " + ", ".join(f"('{t}')" for t in OD_TYPES.values()) + ") t(type) GROUP BY type")(
+query("dtype_counts", ora("orders_dirty", "SELECT type, count(*) AS columns, CAST(sum(known) AS BIGINT) AS known_values FROM (" + union(OD_TYPES, lambda x: f"SELECT '{OD_TYPES[x]}' AS type, count({x}) AS known FROM orders_dirty") + ") GROUP BY type"))(
     lambda s, d: P.dtype_counts(table(s, d, "orders_dirty")))
 
 
@@ -130,7 +130,7 @@ def _engineered(s, d):
                                                  (F.col("l_tax") * F.col("l_discount")).alias("l_tax_x_l_discount"), F.log1p("l_tax").alias("l_tax_log"))))
 
 
-query("engineered_census", f"""SELECT category, columns, {R('100.0 * columns / 15')} AS pct FROM (VALUES ('scaled', CAST(1 AS BIGINT)), ('mathematical', CAST(2 AS BIGINT)), ('interactions', CAST(1 AS BIGINT))) t(category, columns)""")(_engineered)
+query("engineered_census", f"""SELECT category, CAST(k AS BIGINT) AS columns, {R('100.0 * k / 15')} AS pct, k * (SELECT count(l_tax) FROM lineitem) AS known_values FROM (VALUES ('scaled', 1), ('mathematical', 2), ('interactions', 1)) t(category, k)""")(_engineered)
 
 query("value_counts_topk", "SELECT p_name AS value, count(*) AS rows FROM part GROUP BY p_name ORDER BY rows DESC, value LIMIT 10")(
     lambda s, d: P.value_counts_topk(table(s, d, "part"), "p_name", 10))

@@ -188,7 +188,7 @@ cg = lambda s, d: table(s, d, "customer_geo")
 LL = ("latitude", "longitude")
 HAV = lambda a, b, x, y: f"2 * 6371.0 * asin(sqrt(least(1.0, power(sin((radians({x}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({x})) * power(sin((radians({y}) - radians({b})) / 2), 2))))"
 OKC = "coalesce(latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180, false)"
-query("geo_detect", "SELECT * FROM (VALUES ('latitude', 'latitude'), ('longitude', 'longitude')) t(kind, \"column\")")(lambda s, d: G.detect(cg(s, d)))
+query("geo_detect", ora("customer_geo", 'SELECT \'latitude\' AS kind, \'latitude\' AS "column", count(latitude) AS known FROM customer_geo UNION ALL SELECT \'longitude\', \'longitude\', count(longitude) FROM customer_geo'))(lambda s, d: G.detect(cg(s, d)))
 query("geo_validate", ora("customer_geo", f"SELECT p AS pairs, v AS valid, p - v AS invalid, {R('100.0 * v / p')} AS valid_pct FROM (SELECT count(*) FILTER (WHERE latitude IS NOT NULL AND longitude IS NOT NULL) AS p, count(*) FILTER (WHERE {OKC}) AS v FROM customer_geo)"))(
     lambda s, d: rounded(G.validate(cg(s, d), *LL)))
 
