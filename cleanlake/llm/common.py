@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,3 +66,38 @@ def file_system(uri: str):
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(uri)
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for the jobs inside: texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def sorted_runs(batches: Iterator, key: str, rows: int = 200_000) -> Iterator:
+    """Arrow batches sorted by `key`, regrouped so that no value of the key is cut: yields tables of about `rows` rows or one long run."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows and (batch.num_rows == size or batch.column(key)[-1] != held[0].column(key)[0]):
+            whole = pa.Table.from_batches(held).combine_chunks()
+            last = whole.column(key)[-1]
+            cut = pc.index(whole.column(key), last).as_py()
+            if cut:
+                yield whole.slice(0, cut)
+            rest = whole.slice(cut)
+            held, size = rest.to_batches(), rest.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
