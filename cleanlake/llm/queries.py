@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanlake.llm import exact_dedup, jaccard_join, langid, mixing, warc_store
+from cleanlake.llm import exact_dedup, jaccard_join, langid, lattice, mixing, warc_store
 from cleanlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(langid.document_evidence(table(spark, sf_dir, "documents")))
     return found.select(F.col("id").alias("doc_id"), "lang", F.round("posterior", 6).alias("posterior"), "text_lang", "declared", "grams", "kept")
+
+
+@query("op6_lattice_topk")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.report(table(spark, sf_dir, "documents")).withColumnRenamed("row_key", "doc_id")
