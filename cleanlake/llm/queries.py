@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanlake.llm import exact_dedup, jaccard_join, langid, lattice, mixing, warc_store
+from cleanlake.llm import exact_dedup, jaccard_join, langid, lattice, mixing, sorted_projection, warc_store
 from cleanlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_lattice_topk")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.report(table(spark, sf_dir, "documents")).withColumnRenamed("row_key", "doc_id")
+
+
+@query("op5_sorted_projection")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorted_projection.near_classes(table(spark, sf_dir, "embeddings"))
