@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanlake.llm import exact_dedup, jaccard_join, langid, lattice, mixing, sorted_projection, warc_store
+from cleanlake.llm import exact_dedup, jaccard_join, langid, lattice, mixing, separators, sorted_projection, surrogates, warc_store
 from cleanlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_sorted_projection")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorted_projection.near_classes(table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_separator_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op2_surrogates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(table(spark, sf_dir, "documents"))
