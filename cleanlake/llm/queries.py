@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanlake.llm import exact_dedup, jaccard_join, langid, lattice, mixing, separators, sorted_projection, surrogates, warc_store
+from cleanlake.llm import exact_dedup, jaccard_join, langid, lattice, mixing, secret_forest, separators, sorted_projection, surrogates, warc_store
 from cleanlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_surrogates")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace(table(spark, sf_dir, "documents"))
+
+
+@query("op7_secret_forest")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.scan(table(spark, sf_dir, "documents"))
