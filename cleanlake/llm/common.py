@@ -101,3 +101,10 @@ def sorted_runs(batches: Iterator, key: str, rows: int = 200_000) -> Iterator:
             held, size = rest.to_batches(), rest.num_rows
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+def located(docs: DataFrame, name: str = "__at") -> DataFrame:
+    """docs with a column that names each row by its file and place in it. A frame that is no plain file scan is first written."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation" or "_metadata" in docs.columns:
+        docs = stored(docs, "located")
+    return docs.select(*[F.col("`" + x.replace("`", "``") + "`") for x in docs.columns], F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias(name))

@@ -1,13 +1,55 @@
-"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir), applies one operator and keeps the columns of documents."""
+"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir), applies one operator to all of docs and returns the columns of docs.
+
+A row is named by its file and place, so rows that repeat an identifier are judged one by one; only near duplicates are named by
+doc_id, as their operator does. Rows to drop are joined by that name, broadcast when a count proves them few.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cleanlake.core import c
+from cleanlake.llm import exact_dedup, jaccard_join, langid, lattice, mixing
+from cleanlake.llm.common import arrow_rows, checked_broadcast, located, stored
+
+AT = "__at"
+
+
+def _without(docs: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.join(checked_broadcast(stored(dropped, "stage-dropped")), AT, "left_anti").select(*[c(x) for x in columns])
+
 
-from cleanlake.llm import exact_dedup
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in none of the languages: blank texts and texts that fit the unknown language best."""
+    rows = located(docs)
+    found = langid.identify(langid.document_evidence(rows, id_col=AT))
+    return _without(rows, found.where("not kept").select(F.col("id").alias(AT)), docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept row of every group of equal texts."""
-    kept = exact_dedup.dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Keeps the row with the largest doc_id of each group of equal texts."""
+    rows = located(docs)
+    base = rows.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col(AT).alias("at"))
+    return _without(rows, exact_dedup.grouped(base).where(F.col("at") != F.col("keep.at")).select(F.col("at").alias(AT)), docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each class of near duplicates. Rows that repeat a doc_id go only if each of them is a near copy."""
+    classes = jaccard_join.classes(docs)
+    gone = classes.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select("doc_id")
+    return docs.join(checked_broadcast(stored(gone, "stage-near")), "doc_id", "left_anti").select(*[c(x) for x in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents so that sources come near their target shares of the words."""
+    rows = located(docs)
+    copies = mixing.copies(rows, id_col=AT).where("copies > 0").select(F.col("doc_id").alias(AT), "copies")
+    chosen = rows.join(checked_broadcast(stored(copies, "stage-mix")), AT)
+    return chosen.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[c(x) for x in docs.columns])
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, sample, ids, log_prob, log_inclusion: sampled segmentations of every document of the mix."""
+    with arrow_rows(spark, 1000):
+        return lattice.encode(docs).withColumnRenamed("row_key", "doc_id")
