@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cleanlake.llm.common import stored, table
-from cleanlake.llm.stages import drop_copies
+from cleanlake.llm.stages import drop_copies, drop_near_copies, encode_pieces, identify_language, mix_sources
 
-STAGES = [("exact dedup", drop_copies)]
-#: Several stages have no SQL form; tests/llm compares the run with a brute-force version.
+STAGES = [
+    ("language ID", identify_language),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode_pieces),
+]
+#: Language, mixing and segmentation have no SQL form; tests/llm compares the run with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; the result is that of the last one."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), "pipeline")
