@@ -12,27 +12,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanlake.core import c, scratch_path
-from cleanlake.llm.common import ascii_lower, checked_broadcast, stored
+from cleanlake.llm.common import ascii_lower, checked_broadcast, located, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",     # a store is on an executor's disk only while its task runs
 }
 
 
 def content(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text and the locator (file, row) of every row. A frame that is no plain file scan is first written to the shared folder."""
-    pick = lambda df: df.select(c(id_col).alias("id"), F.coalesce(c(text_col), F.lit("")).alias("text"),
-                                F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"))
-    plan = docs._jdf.queryExecution().analyzed().nodeName()
-    if plan == "LogicalRelation" and "_metadata" not in docs.columns:
-        return pick(docs)
-    kept = stored(docs.select(c(id_col).alias("id"), c(text_col).alias("text")), "dedup-content")
-    return kept.select("id", F.coalesce("text", F.lit("")).alias("text"),
-                       F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"))
+    rows = located(docs)
+    return rows.select(c(id_col).alias("id"), F.coalesce(c(text_col), F.lit("")).alias("text"), F.col("__at").alias("at"))
 
 
 def consume(landed: str, schema, checkpoint: str, session, max_files: int = 1000) -> None:
@@ -61,8 +55,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, di
     has null identifiers. No rows give no rows. Other columns are ignored, whatever their names; the result has the names above.
     Two texts that share a digest without being equal are told apart by their bytes: their rows are grouped anew by whole text.
     """
-    spark = docs.sparkSession
-    base = content(docs, id_col, text_col)
+    groups = grouped(content(docs, id_col, text_col), digest, checkpoint, max_files)
+    return groups.select(F.col("id").alias("doc_id"), F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"),
+                         (F.col("at") == F.col("keep.at")).alias("kept"), F.col("digest").alias("text_sha256"))
+
+
+def grouped(base: DataFrame, digest=lambda text: F.sha2(text, 256), checkpoint: str | None = None, max_files: int = 1000) -> DataFrame:
+    """id, at, digest, keep (id, at of the row that stays), n of every row of base (id, text, at), by way of the keyed state."""
+    spark = base.sparkSession
     keyed = base.select("id", "at", digest(ascii_lower(F.col("text"))).alias("digest"))
     landed = scratch_path(spark, "dedup-landed")
     keyed.write.parquet(landed)
@@ -77,10 +77,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, di
     wrong = _unequal(base, state, digest)
     plain = rows.join(state, "digest").select("id", "at", "digest", "keep", "n")
     if not wrong.isEmpty():
-        plain = plain.join(F.broadcast(wrong) if wrong.limit(1001).count() <= 1000 else wrong, "digest", "left_anti").unionByName(_by_text(base, wrong, digest))
-    sha = F.col("digest")
-    return plain.select(F.col("id").alias("doc_id"), F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"),
-                        (F.col("at") == F.col("keep.at")).alias("kept"), sha.alias("text_sha256"))
+        plain = plain.join(checked_broadcast(wrong), "digest", "left_anti").unionByName(_by_text(base, wrong, digest))
+    return plain
 
 
 def _unequal(base: DataFrame, state: DataFrame, digest) -> DataFrame:
