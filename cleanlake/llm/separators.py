@@ -102,7 +102,7 @@ def scan(spark: SparkSession, folder: str, *, end: int = END_OF_DOCUMENT, width:
     parts = blocks(spark, folder, width, block)
     spread = parts.repartition("path", "block")
     found = stored(search(spread, end, width), "token-ends")
-    facts = found.select("path", "block", F.floor(F.col("block") / group).alias("group"), F.size("ends").cast("long").alias("n"), F.element_at("ends", -1).alias("last"))
+    facts = found.select("path", "block", F.floor(F.col("block") / group).alias("group"), F.size("ends").cast("long").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     inside = before(Window.partitionBy("path", "group").orderBy("block"))
     over = before(Window.partitionBy("path").orderBy("group"))
@@ -113,7 +113,7 @@ def scan(spark: SparkSession, folder: str, *, end: int = END_OF_DOCUMENT, width:
     docs = found.join(carried, ["path", "block"]).select("path", "base", "carry", "ends", F.posexplode("ends").alias("i", "end"))
     start = F.when(F.col("i") == 0, F.col("carry")).otherwise(F.get("ends", F.col("i") - 1) + 1)
     closed = docs.select("path", (F.col("base") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("end") - start).alias("n_tokens"), F.lit(True).alias("complete"))
-    files = found.groupBy("path").agg(F.max(F.col("first") + F.col("tokens")).alias("size"), F.sum(F.size("ends")).cast("long").alias("ordinal"), (F.coalesce(F.max(F.element_at("ends", -1)), F.lit(-1)) + 1).alias("start"))
+    files = found.groupBy("path").agg(F.max(F.col("first") + F.col("tokens")).alias("size"), F.sum(F.size("ends")).cast("long").alias("ordinal"), (F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))), F.lit(-1)) + 1).alias("start"))
     rest = files.where("start < size").select("path", "ordinal", "start", (F.col("size") - F.col("start")).alias("n_tokens"), F.lit(False).alias("complete"))
     return closed.unionByName(rest)
 
