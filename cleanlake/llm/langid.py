@@ -173,6 +173,6 @@ def identify(evidence: DataFrame, languages=LANGUAGES, model: np.ndarray | None
     top = F.array_max("score")
     posterior = 1 / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     known = ~F.col("blank")
-    out = joined.select("id", F.when(known, lang[best(F.col("score"))]).otherwise(UNKNOWN).alias("lang"), posterior.alias("posterior"),
-                        F.coalesce(lang[F.col("t")], F.lit(UNKNOWN)).alias("text_lang"), "declared", "grams")
+    out = joined.select("id", F.when(known, F.get(lang, best(F.col("score")))).otherwise(UNKNOWN).alias("lang"), posterior.alias("posterior"),
+                        F.coalesce(F.get(lang, F.col("t")), F.lit(UNKNOWN)).alias("text_lang"), "declared", "grams")
     return out.withColumn("kept", F.col("lang") != UNKNOWN)
