@@ -160,33 +160,72 @@ def _allocated(percent: int):
     return allocate
 
 
-def _candidates(percent: int):
-    """Pairs (left < right) of a looking-up set and an indexed set under one signature that sizes and sketches do not rule out."""
+def _forest(u: np.ndarray, v: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
+    """Places of the edges of a spanning forest of the lightest edges (every part takes its lightest way out, until none is left)."""
+    order = np.argsort(weight, kind="stable")
+    part, kept = np.arange(size), []
+    while len(order):
+        a, b = part[u[order]], part[v[order]]
+        order, a, b = order[a != b], a[a != b], b[a != b]
+        if not len(order):
+            break
+        first = np.full(size, len(order))
+        np.minimum.at(first, a, np.arange(len(order)))
+        np.minimum.at(first, b, np.arange(len(order)))
+        take = np.unique(first[first < len(order)])
+        kept.append(order[take])
+        a, b = a[take], b[take]
+        while True:                                     # the parts of the chosen edges get their smallest number
+            low = np.minimum(part[a], part[b])
+            if (part[a] == low).all() and (part[b] == low).all():
+                break
+            for x in (a, b):
+                np.minimum.at(part, part[x], low)
+            while (part[part] != part).any():
+                part = part[part]
+    return np.concatenate(kept) if kept else order
+
+
+def _candidates(percent: int, forest: bool):
+    """Pairs (left < right) of a looking-up set and an indexed set under one signature that sizes and sketches do not rule out and
+    that are not yet in one class. With `forest`, only those that connect them, the most alike first."""
     def pairs(batches):
         for t in sorted_runs(batches, "run", 50_000):
-            run, key, n, probe = (t.column(x).to_numpy() for x in ("run", "key", "n", "probe"))
+            run, key, n, probe, part = (t.column(x).to_numpy() for x in ("run", "key", "n", "probe", "part"))
             bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH)
             start = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
             found = []
             for a, b in zip(start, np.append(start[1:], len(run))):
                 ask, have = a + np.flatnonzero(probe[a:b]), a + np.flatnonzero(~probe[a:b])
+                names, spot = np.unique(part[a:b], return_inverse=True)
+                edges = []
                 for i in range(0, len(ask), 256):
                     x = ask[i: i + 256]
                     for j in range(0, len(have), 1024):
                         y = have[j: j + 1024]
-                        fits = (n[y][None, :] <= n[x][:, None]) & (100 * n[y][None, :] >= percent * n[x][:, None]) & (key[x][:, None] != key[y][None, :])
+                        fits = (n[y][None, :] <= n[x][:, None]) & (100 * n[y][None, :] >= percent * n[x][:, None]) & (part[x][:, None] != part[y][None, :])
                         u, v = np.nonzero(fits)
                         apart = np.bitwise_count(bits[x[u]] ^ bits[y[v]]).sum(axis=1, dtype=np.int64)
-                        ok = apart <= differences(n[x[u]] + n[y[v]], percent)
-                        if ok.any():
-                            p, q = key[x[u[ok]]], key[y[v[ok]]]
-                            found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
+                        both = n[x[u]] + n[y[v]]
+                        ok = apart <= differences(both, percent)
+                        edges.append((x[u[ok]], y[v[ok]], apart[ok] / both[ok]))
+                    if forest and sum(len(e[0]) for e in edges) > 1_000_000:
+                        edges = [_thinned(edges, spot, a, len(names))]
+                if edges:
+                    u, v, _ = _thinned(edges, spot, a, len(names)) if forest else [np.concatenate(e) for e in zip(*edges)]
+                    found.append(np.stack([np.minimum(key[u], key[v]), np.maximum(key[u], key[v])], 1))
             if found:
                 both = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["left", "right"])
     return pairs
 
 
+def _thinned(edges, spot, a, size):
+    u, v, w = (np.concatenate(e) for e in zip(*edges))
+    keep = _forest(spot[u - a], spot[v - a], w, size)
+    return u[keep], v[keep], w[keep]
+
+
 def _verified(words: int, percent: int):
     def verify(batches):
         for batch in batches:
@@ -207,8 +246,18 @@ def _verified(words: int, percent: int):
     return verify
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links): doc_id, n, key of every row of docs, and the matching pairs of different sets by key.
+def _checked(rows: DataFrame, pairs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs whose whole texts match."""
+    needed = pairs.select(F.explode(F.array("left", "right")).alias("key")).distinct().join(sets.select("key", "rep"), "key")
+    texts = stored(rows.join(checked_broadcast(stored(needed, "jaccard-needed")), F.col("doc_id") == F.col("rep")).select("key", "text"), "jaccard-texts")
+    pairs = (pairs.join(texts.select(F.col("key").alias("left"), F.col("text").alias("left_text")), "left")
+             .join(texts.select(F.col("key").alias("right"), F.col("text").alias("right_text")), "right").select("left", "right", "left_text", "right_text"))
+    with arrow_rows(rows.sparkSession, 200):
+        return stored(pairs.mapInArrow(_verified(words, percent), "left long, right long").distinct(), "jaccard-links")
+
+
+def connected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(nodes, labels): doc_id, n, key of every row of docs, and node, label of the keys that links connect: the class by its least key.
 
     Rows of equal sets have equal keys. Texts that are null, empty or without words have n = 0 and no links. A row without
     identifier keeps its n and has no links of its own.
@@ -237,16 +286,18 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wo
     ask = used.where("probe").select("sig", "key", "n", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt")).select(run(F.col("salt")), "key", "n", F.lit(True).alias("probe"))
     sketches = index.groupBy("key").agg(F.min("sketch").alias("sketch"))
     both = stored(have.unionByName(ask).join(sketches, "key"), "jaccard-runs")
-    with arrow_rows(spark, 10_000):
-        pairs = stored(both.repartition("run").sortWithinPartitions("run").mapInArrow(_candidates(percent), "left long, right long"), "jaccard-candidates")
-    pairs = stored(pairs.distinct(), "jaccard-pairs")
-    needed = pairs.select(F.explode(F.array("left", "right")).alias("key")).distinct().join(sets.select("key", "rep"), "key")
-    texts = stored(rows.join(checked_broadcast(stored(needed, "jaccard-needed")), F.col("doc_id") == F.col("rep")).select("key", "text"), "jaccard-texts")
-    pairs = (pairs.join(texts.select(F.col("key").alias("left"), F.col("text").alias("left_text")), "left")
-             .join(texts.select(F.col("key").alias("right"), F.col("text").alias("right_text")), "right").select("left", "right", "left_text", "right_text"))
-    with arrow_rows(spark, 200):
-        found = stored(pairs.mapInArrow(_verified(words, percent), "left long, right long").distinct(), "jaccard-links")
-    return nodes.select("doc_id", "n", "key"), found
+    found, label = None, None
+    for forest in (True, False):
+        # First what connects the sets of each signature best; then every pair left between two classes. Pairs inside a class of
+        # verified links need no check of their own, so a large group of copies does not give all its pairs.
+        parted = both.withColumn("part", F.col("key")) if label is None else (
+            both.join(label, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("label", "key")).drop("node", "label"))
+        with arrow_rows(spark, 10_000):
+            pairs = stored(parted.repartition("run").sortWithinPartitions("run").mapInArrow(_candidates(percent, forest), "left long, right long"), "jaccard-candidates")
+        new = _checked(rows, stored(pairs.distinct(), "jaccard-pairs"), sets, words, percent)
+        found = new if found is None else found.unionByName(new)
+        label = components(found)
+    return nodes.select("doc_id", "n", "key"), label
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -255,8 +306,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     A row without words is its own component; so is a row without identifier, whose component_id is null. Rows that repeat an
     identifier are rows of their own: each has the component of its own text. No rows give no rows. Other columns are ignored.
     """
-    nodes, found = links(docs, id_col, text_col, words=words, percent=percent)
-    labels = components(found)
+    nodes, labels = connected(docs, id_col, text_col, words=words, percent=percent)
     used = nodes.where("n > 0 and doc_id is not null")
     named = used.groupBy("key").agg(F.min("doc_id").alias("least")).join(labels, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("label", "key").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
