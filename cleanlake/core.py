@@ -108,6 +108,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str = "written") -> DataFrame:
+    """Materialise a plan as a table in the shared folder. Loops use it: its size is that of its files, whereas a checkpoint keeps the
+    estimate of its plan, which a chain of joins squares again and again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """DataFrame from a driver-side list whose length is bounded by the number of columns, rules or parameters."""
     return spark.createDataFrame(rows, schema).coalesce(1)
