@@ -89,11 +89,17 @@ def _rounded(cap: int):
         """Copies of every cell of one source, largest size first: what a cell misses of its expected words is carried to the next."""
         cells = cells.sort_values("size", ascending=False)
         carry, taken = 0.0, []
-        for size, n, rate in zip(cells["size"], cells["n"], cells["rate"]):
+        sizes, counts = cells["size"].tolist(), cells["n"].tolist()
+        for size, n, rate in zip(sizes, counts, cells["rate"]):
             want = n * rate * size + carry
             m = min(max(math.floor(want / size + 0.5), 0), n * cap)
             carry = want - m * size
             taken.append(m)
+        # What the smallest could not take goes to larger ones that still have room.
+        for i, (size, n) in enumerate(zip(sizes, counts)):
+            m = min(max(taken[i] + math.floor(carry / size + 0.5), 0), n * cap)
+            carry -= (m - taken[i]) * size
+            taken[i] = m
         return cells.assign(base=[m // n for m, n in zip(taken, cells["n"])], extra=[m % n for m, n in zip(taken, cells["n"])])[["source", "size", "base", "extra"]]
     return round_cells
 
@@ -104,8 +110,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     Sizes are words. Null and empty texts have size 0, rate 0 and no copies; a source without words has target 0. A null source
     is a source of its own, last in order. Rows that repeat an identifier are rows of their own (ties in the hash fall to either of
     two equal rows). No rows give no rows. Other columns are ignored.
-    Rounding carries what is missing from the largest sizes to the smallest, so a source ends within about half of its smallest
-    document of its target. The one task of a source reads its distinct sizes, at most sqrt(2 * words) of them since distinct sizes
+    Rounding carries what is missing from the largest sizes to the smallest, and what those cannot take back to larger ones, so a source
+    ends within about its smallest document with room of its target. The one task of a source reads its distinct sizes, at most sqrt(2 * words) of them since distinct sizes
     add up to no more than all words.
     """
     rows = stored(docs.select(c(id_col).alias("doc_id"), c(source_col).cast("string").alias("source"), n_words(c(text_col)).alias("size"))
