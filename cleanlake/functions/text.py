@@ -120,9 +120,10 @@ def remove_stopwords(x: Column, stop: list[str] | None = None) -> Column:
 
 
 def expand_contractions(x: Column) -> Column:
-    """Whole words first, then endings; any case is matched and the long form is lower case."""
-    order = sorted(CONTRACTIONS, key=lambda k: (k[0] in "n'", k))
-    return reduce(lambda acc, k: F.regexp_replace(acc, "(?i)" + k, CONTRACTIONS[k]), order, x)
+    """Longest first; whole words only at the start of a word, endings anywhere. Any case is matched and the long form is lower case."""
+    order = sorted(CONTRACTIONS, key=lambda k: (-len(k), k))
+    start = lambda k: "" if k.startswith("'") or k == "n't" else r"(?<![\p{L}])"
+    return reduce(lambda acc, k: F.regexp_replace(acc, "(?i)" + start(k) + k + r"(?![\p{L}])", CONTRACTIONS[k]), order, x)
 
 
 def char_words(x: Column) -> Column:

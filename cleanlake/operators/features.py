@@ -171,11 +171,9 @@ def transform_pca(df: DataFrame, fit: Pca, keep: bool = True) -> DataFrame:
     return df.select(*[c(x) for x in df.columns if keep or x not in fit.columns], *scores)
 
 
-def pca_reduce(df: DataFrame, columns: list[str], limit: int = 10) -> DataFrame:
-    """Replace more than `limit` numeric columns by at most `limit` components, without standardising."""
-    if len(columns) <= limit:
-        return df
-    return transform_pca(df, fit_pca(df, columns, limit, standardize=False), keep=False)
+def pca_reduce(df: DataFrame, columns: list[str], components: int = 10) -> DataFrame:
+    """Replace the columns by so many components (all there are, if fewer), without standardising."""
+    return transform_pca(df, fit_pca(df, columns, min(components, len(columns)), standardize=False), keep=False)
 
 
 def pca_loadings(spark, fit: Pca) -> DataFrame:
@@ -281,46 +279,44 @@ def select_lasso(df: DataFrame, columns: list[str], target: str, strength: float
 
 # ---------------------------------------------------------------- automatic
 
-def auto(df: DataFrame, columns: list[str] | None = None, limit: int = 50) -> DataFrame:
-    """Capped mix of products, transforms, bins and row statistics, planned from one profile and built in one projection."""
+#: Generators of one column's features: prefix, condition on its skew, expression.
+SINGLE_FEATURES = [
+    ("auto_sqrt_", lambda skew: skew > 1, lambda x: F.sqrt(F.abs(dbl(x)))),
+    ("auto_log_", lambda skew: skew > 2, lambda x: F.log1p(F.abs(dbl(x)))),
+    ("auto_sq_", lambda skew: abs(skew) < 0.5, lambda x: dbl(x) * dbl(x)),
+]
+#: Generators of a pair's features: name of the pair, expression.
+PAIR_FEATURES = [
+    (lambda a, b: f"auto_poly_{a} {b}", lambda a, b: _zero(a) * _zero(b)),
+    (lambda a, b: f"auto_int_{a}_x_{b}", lambda a, b: dbl(a) * dbl(b)),
+]
+
+
+def auto(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Products, transforms, bins and row statistics of all given columns, by the generators above and one profile.
+
+    Columns with |skew| > 1 get five quantile bins, and each three columns in order their mean and deviation by row. Without
+    `columns` all numeric ones take part; the number of pairs is quadratic in them, so wide tables should name theirs.
+    """
     cols = columns or numeric_columns(df)
     skew = {p.column: p.skew or 0.0 for p in profile(df.select(*[c(x) for x in cols]), unique=False, quantiles=False, outliers=False, parse=False)}
-    new: dict[str, Column] = {}
-
-    def add(name: str, e: Column) -> None:
-        if len(new) < limit:
-            new[name] = e
-
-    for a, b in combinations(cols[:5], 2):
-        add(f"auto_poly_{a} {b}", _zero(a) * _zero(b))
-    for a, b in list(combinations(cols[:8], 2))[:10]:
-        add(f"auto_int_{a}_x_{b}", dbl(a) * dbl(b))
-    for x in cols[:5]:
-        if skew[x] > 1:
-            add(f"auto_sqrt_{x}", F.sqrt(F.abs(dbl(x))))
-        if skew[x] > 2:
-            add(f"auto_log_{x}", F.log1p(F.abs(dbl(x))))
-        if abs(skew[x]) < 0.5:
-            add(f"auto_sq_{x}", dbl(x) * dbl(x))
-    for x in cols:
-        if abs(skew[x]) > 1 and len(new) < limit:
-            add(f"auto_bin_{x}", bin_code(fit_bins_quantile(df, x, 5)))
+    new = {name(a, b): e(a, b) for name, e in PAIR_FEATURES for a, b in combinations(cols, 2)}
+    new |= {prefix + x: e(x) for prefix, wanted, e in SINGLE_FEATURES for x in cols if wanted(skew[x])}
+    new |= {f"auto_bin_{x}": bin_code(fit_bins_quantile(df, x, 5)) for x in cols if abs(skew[x]) > 1}
     out = _exprs(df, new)
-    for i in range(0, min(len(cols), 9), 3):
-        group = cols[i:i + 3]
-        if len(group) == 3 and len(new) + 2 <= limit:
-            out = row_aggregates(out, group, ["mean", "std"], f"auto_agg_{i // 3 + 1}_")
+    for i, group in enumerate(zip(*[iter(cols)] * 3), 1):
+        out = row_aggregates(out, list(group), ["mean", "std"], f"auto_agg_{i}_")
     return out
 
 
 def auto_simple(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Squares of the first three numeric columns; five bins for the first one with std above its mean."""
+    """Squares of all given columns, and five bins of each whose deviation is above its mean."""
     cols = columns or numeric_columns(df)
-    out = _exprs(df, {f"{x}_squared": dbl(x) * dbl(x) for x in cols[:3]})
     row = df.agg(*[F.struct(F.avg(dbl(x)).alias("m"), F.stddev_samp(dbl(x)).alias("s")).alias(x) for x in cols]).first()
+    out = _exprs(df, {f"{x}_squared": dbl(x) * dbl(x) for x in cols})
     for x in cols:
         if row[x]["s"] is not None and row[x]["s"] > row[x]["m"]:
-            return bins(out, fit_bins_width(df, x, 5))
+            out = bins(out, fit_bins_width(df, x, 5))
     return out
 
 

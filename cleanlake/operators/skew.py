@@ -36,6 +36,11 @@ def _mark(df: DataFrame, hot: DataFrame, keys: list[str], flag: str) -> DataFram
     return marked.withColumn(flag, F.coalesce(F.col("__hot"), F.lit(False))).drop("__hot", *[k + "__h" for k in keys])
 
 
+def _hashable(df: DataFrame) -> list[str]:
+    """Columns that can be hashed (all but maps and variants)."""
+    return [f.name for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+
+
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", *,
               counts: DataFrame | None = None, count_col: str = "__n", hot_rows: int = HOT_ROWS,
               salts: int = SALTS, spread_by: list[str] | None = None, right_unique: bool = False) -> DataFrame:
@@ -51,7 +56,8 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     both = how == "inner" and not right_unique
     counts = counts if counts is not None else _counted(left, keys, count_col)
     hot = F.broadcast(hot_keys(counts, keys, count_col, hot_rows))
-    spread = F.xxhash64(*[c(k) for k in spread_by]) if spread_by else F.monotonically_increasing_id()
+    # Salts are a hash of the row, not a row number: a task that runs again after a lost executor salts its rows the same way.
+    spread = F.xxhash64(*[c(k) for k in spread_by or _hashable(left)])
     one = F.pmod(spread, F.lit(salts)).cast("int")
     all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
     copies = lambda flag: F.explode(F.when(F.col(flag), all_salts).otherwise(F.array(F.lit(0))))
@@ -61,7 +67,7 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     if both:
         hot_right = F.broadcast(hot_keys(_counted(right, keys, "__n"), keys, "__n", hot_rows))
         l = _mark(l, hot_right, keys, "__hot_r").withColumn("__salt2", copies("__hot_r")).drop("__hot_r")
-        r = r.withColumn("__one", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+        r = r.withColumn("__one", F.pmod(F.xxhash64(*[c(k) for k in _hashable(right)]), F.lit(salts)).cast("int"))
         r = _mark(r, hot_right, keys, "__hot_r").withColumn("__salt2_r", F.when(F.col("__hot_r"), F.col("__one")).otherwise(F.lit(0))).drop("__one", "__hot_r")
     r = r.select(*[c(n).alias(n + "__r") if n in keys else c(n) for n in r.columns])
     cond = _match(l, r, keys, "__r") & (l["__salt"] == r["__salt_r"])

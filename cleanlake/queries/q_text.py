@@ -35,7 +35,7 @@ STRIP = rx(rx("text", f"^{S}+"), f"{S}+$")
 COLLAPSE = rx("text", f"{S}+", " ")
 WORDS = f"list_filter(regexp_split_to_array(text, '{S}+'), lambda w: w <> '')"
 STOP = "(" + ", ".join(f"'{w}'" for w in X.COMMON_WORDS) + ")"
-EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
+EMAIL, URL = X.EMAIL_RE, X.URL_RE
 expr_query("text_strip", X.strip, STRIP)
 expr_query("text_collapse_spaces", X.collapse_spaces, COLLAPSE)
 expr_query("text_lower", X.lower, "lower(text)")
@@ -45,7 +45,7 @@ expr_query("text_sentence", X.sentence, "concat(upper(substr(text, 1, 1)), lower
 expr_query("text_remove_numbers", X.remove_numbers, rx("text", r"\p{Nd}+"))
 expr_query("text_remove_punctuation", X.remove_punctuation, rx("text", r"[^\p{L}\p{N}_\s\x0B\x{0085}\p{Z}]"))
 expr_query("text_remove_special", X.remove_special, rx("text", r"[^a-zA-Z0-9\s\x0B\x{0085}\p{Z}]"))
-expr_query("text_remove_urls", X.remove_urls, rx("text", r"http\S+|www\S+|https\S+"))
+expr_query("text_remove_urls", X.remove_urls, rx("text", URL))
 expr_query("text_remove_emails", X.remove_emails, rx("text", EMAIL))
 expr_query("text_remove_phones", X.remove_phones, rx("text", r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"))
 expr_query("text_remove_html", X.remove_html, rx("html", r"<[^<>]*>"), "pages", "html", "page_id")
@@ -57,7 +57,7 @@ query("text_custom_regex", ora("text_dirty", f"SELECT doc_id, {rx('text', '([a-z
     lambda s, d: td(s, d).select("doc_id", X.custom_regex(c("text"), "([a-z])ing", "$1ed").alias("text")))
 expr_query("text_line_breaks", X.line_breaks, rx("text", r"\r\n|\r|\n", " "))
 expr_query("text_fix_quotes", X.fix_quotes, "translate(text, '’“”', '''\"\"')")
-query("text_chain", ora("text_dirty", "SELECT doc_id, " + f"trim({rx(rx('lower(' + rx(rx('text', chr(104) + r'ttp\S+|www\S+|https\S+'), EMAIL) + ')', r'[^\p{L}\p{N}_\s\x0B\x{0085}\p{Z}]'), S + '+', ' ')})" + " AS text FROM text_dirty"))(
+query("text_chain", ora("text_dirty", "SELECT doc_id, " + f"trim({rx(rx('lower(' + rx(rx('text', URL), EMAIL) + ')', r'[^\p{L}\p{N}_\s\x0B\x{0085}\p{Z}]'), S + '+', ' ')})" + " AS text FROM text_dirty"))(
     lambda s, d: TX.apply(td(s, d), "text", ["remove_urls", "remove_emails", "lowercase", "remove_punctuation", "remove_extra_spaces"]).select("doc_id", "text"))
 query("batch_text", ora("text_dirty", f"SELECT doc_id, lower(lang) AS lang, trim({rx('lower(text)', S + '+', ' ')}) AS text FROM text_dirty"))(lambda s, d: TX.auto_clean(td(s, d)))
 query("text_auto_clean", ora("text_dirty", f"SELECT doc_id, lower(lang) AS lang, trim({rx('lower(text)', S + '+', ' ')}) AS text FROM text_dirty"))(lambda s, d: TX.auto_clean(td(s, d)))
@@ -82,12 +82,12 @@ expr_query("text_remove_stopwords", X.remove_stopwords, f"array_to_string(list_f
 
 
 def lexicon(s, d):
-    """Polarity per word from the labelled documents: mean quality of its occurrences, scaled to -2..2."""
+    """Polarity per word from the labelled documents: mean quality of its occurrences on -2..2, drawn to 0 as by 20 more uses."""
     w = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select("quality", F.explode(X.char_words(c("text"))).alias("word"))
-    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"), (F.avg("quality") * 4 - 2).alias("polarity")).where("n >= 20").select("word", "polarity")
+    return w.groupBy("word").agg(((F.sum("quality") * 4 - F.count(F.lit(1)) * 2) / (F.count(F.lit(1)) + 20.0)).alias("polarity"))
 
 
-LEX = f"""lex AS (SELECT word, avg(quality) * 4 - 2 AS polarity FROM (SELECT quality, unnest(regexp_extract_all(lower(text), '{W}+')) AS word FROM documents JOIN labels USING (doc_id)) GROUP BY word HAVING count(*) >= 20),
+LEX = f"""lex AS (SELECT word, (sum(quality) * 4 - count(*) * 2) / (count(*) + 20.0) AS polarity FROM (SELECT quality, unnest(regexp_extract_all(lower(text), '{W}+')) AS word FROM documents JOIN labels USING (doc_id)) GROUP BY word),
   w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}+')) AS word FROM documents), v AS (SELECT d.doc_id, w.word, coalesce(polarity, 0.0) AS p, polarity FROM documents d LEFT JOIN w USING (doc_id) LEFT JOIN lex USING (word))"""
 query("text_sentiment_class", f"WITH {LEX} SELECT doc_id, {R('coalesce(avg(polarity), 0)')} AS polarity, CASE WHEN coalesce(avg(polarity), 0) > 0.1 THEN 'Positive' WHEN coalesce(avg(polarity), 0) < -0.1 THEN 'Negative' ELSE 'Neutral' END AS sentiment FROM v GROUP BY doc_id")(
     lambda s, d: rounded(TX.sentiment_class(table(s, d, "documents"), "text", "doc_id", lexicon(s, d))))
@@ -99,9 +99,20 @@ query("recommend_text", ora("text_dirty", f"""SELECT * FROM ({' UNION ALL '.join
     lambda s, d: TX.recommend(td(s, d)))
 
 
+# Written out by hand: RE2 has no look-behind, so the border before a whole word is captured and put back.
+EXPAND = [(r"(^|[^\p{L}])that's", r"\1that is"), (r"(^|[^\p{L}])shan't", r"\1shall not"), (r"(^|[^\p{L}])won't", r"\1will not"), (r"(^|[^\p{L}])can't", r"\1cannot"),
+          (r"(^|[^\p{L}])let's", r"\1let us"), (r"(^|[^\p{L}])she's", r"\1she is"), (r"(^|[^\p{L}])he's", r"\1he is"), (r"(^|[^\p{L}])it's", r"\1it is"),
+          (r"'ll", " will"), (r"'re", " are"), (r"'ve", " have"), (r"n't", " not"), (r"'m", " am")]
+
+
 def _contract(x):
-    for k in sorted(X.CONTRACTIONS, key=lambda k: (k[0] in "n'", k)):
-        x = f"regexp_replace({x}, '(?i){k.replace(chr(39), chr(39) * 2)}', '{X.CONTRACTIONS[k]}', 'g')"
+    for k, v in EXPAND:
+        quoted = k.replace("'", "''")
+        n = v.removeprefix(r"\1")
+        # the border after the word is captured as well; twice, since neighbours share it
+        back = (r"\1" + n + r"\2") if k.startswith("(") else n + r"\1"
+        for _ in range(2):
+            x = f"regexp_replace({x}, '(?i){quoted}([^\\p{{L}}]|$)', '{back}', 'g')"
     return x
 
 

@@ -64,22 +64,26 @@ def scan_xml(spark: SparkSession, path: str, row_tag: str, schema: str | T.Struc
 
 
 def scan_zip_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", rows_per_batch: int = 50_000) -> DataFrame:
-    """First CSV member of every zip archive under the path: an archive is read by one task, rows leave it in batches."""
+    """All CSV members of every zip archive under the path: an archive is read by one task, rows leave it in batches.
+
+    An archive without a CSV member stops the job.
+    """
     names = [f.name for f in T._parse_datatype_string(schema).fields]
     text = ", ".join(f"`{n}` string" for n in names)
 
     def unzip(batches):
         for pdf in batches:
-            for blob in pdf["content"]:
+            for path, blob in zip(pdf["path"], pdf["content"]):
                 with zipfile.ZipFile(io.BytesIO(blob)) as z:
                     members = [m for m in z.namelist() if m.lower().endswith(".csv")]
                     if not members:
-                        continue
-                    with z.open(members[0]) as f:
-                        for part in pd.read_csv(f, sep=sep, dtype=str, keep_default_na=False, na_values=[""], chunksize=rows_per_batch):
-                            yield part[names]
+                        raise ValueError(f"{path}: no CSV file in the archive")
+                    for member in members:
+                        with z.open(member) as f:
+                            for part in pd.read_csv(f, sep=sep, dtype=str, keep_default_na=False, na_values=[""], chunksize=rows_per_batch):
+                                yield part[names]
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
     raw = files.mapInPandas(unzip, text)
     types = {f.name: f.dataType for f in T._parse_datatype_string(schema).fields}
     return raw.select(*[c(n).try_cast(types[n]).alias(n) for n in names])
@@ -124,15 +128,14 @@ def many_totals(frames: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def guess_delimiter(lines: list[str]) -> str:
-    """Delimiter that splits the lines most evenly into most fields."""
-    def score(sep: str) -> tuple[int, int]:
-        n = [line.count(sep) for line in lines if line.strip()]
-        return (1 if n and min(n) == max(n) and n[0] > 0 else 0, min(n) if n else 0)
-    return max(DELIMITERS, key=score)
+def guess_delimiter(lines: DataFrame) -> str:
+    """Delimiter that splits the lines (column value) most evenly into most fields, from one aggregate over all of them."""
+    n = lambda sep: F.length("value") - F.length(F.translate("value", sep, ""))
+    row = lines.where(F.trim("value") != "").agg(*[F.struct(F.min(n(x)).alias("least"), F.max(n(x)).alias("most")).alias(f"d{i}") for i, x in enumerate(DELIMITERS)]).first()
+    score = lambda r: (int(r["least"] is not None and r["least"] == r["most"] and r["least"] > 0), r["least"] or 0)
+    return max(DELIMITERS, key=lambda x: score(row[f"d{DELIMITERS.index(x)}"]))
 
 
 def scan_text_guess(spark: SparkSession, path: str) -> DataFrame:
-    """Text file whose delimiter is read off its first lines."""
-    lines = [r[0] for r in spark.read.text(path).limit(20).collect()]
-    return scan_delimited(spark, path, guess_delimiter(lines))
+    """Text file whose delimiter is read off all its lines."""
+    return scan_delimited(spark, path, guess_delimiter(spark.read.text(path)))

@@ -60,6 +60,7 @@ def test_text(spark):
     assert one(spark, "été no-1!", text.remove_punctuation) == "été no1"
     assert one(spark, "a b a  c b", text.unique_words) == "a b c"
     assert one(spark, "I won't, it's DON'T", text.expand_contractions) == "I will not, it is DO not"
+    assert one(spark, "bit's SHE'S the's he's we'll, that's shan't let's", text.expand_contractions) == "bit's she is the's he is we will, that is shall not let us"
     assert one(spark, "the cat and The dog", text.remove_stopwords) == "cat dog"
     assert one(spark, "der hund und die katze", text.language) == "de" and one(spark, "zzz", text.language) is None
     assert one(spark, "mail a.b@c.org now", text.remove_emails) == "mail  now"
@@ -82,15 +83,17 @@ def test_resample_fills_empty_periods(spark):
     assert [r[1] for r in temporal.resample(df, "ts", "v", "W", "mean").orderBy("period").collect()] == [1.0, None, 3.0]
 
 
-def test_zip_takes_first_csv_and_keeps_empty_text_null(spark):
+def test_zip_reads_all_csv_members_and_keeps_empty_text_null(spark):
     path = tempfile.mkdtemp(prefix="cleanlake-zip-")
     with zipfile.ZipFile(f"{path}/a.zip", "w") as z:
         z.writestr("note.txt", "no table")
         z.writestr("one.csv", "id,s\n1,x\n2,\n")
         z.writestr("two.csv", "id,s\n9,y\n")
+    assert sorted(map(tuple, scan.scan_zip_csv(spark, path, "id long, s string").collect()), key=str) == [(1, "x"), (2, None), (9, "y")]
     with zipfile.ZipFile(f"{path}/b.zip", "w") as z:
         z.writestr("readme.txt", "empty")
-    assert sorted(map(tuple, scan.scan_zip_csv(spark, path, "id long, s string").collect()), key=str) == [(1, "x"), (2, None)]
+    with pytest.raises(Exception, match="no CSV file"):
+        scan.scan_zip_csv(spark, path, "id long, s string").collect()
 
 
 def test_json_document_and_uri_checks(spark):
@@ -101,7 +104,9 @@ def test_json_document_and_uri_checks(spark):
     assert t.columns == ["a.b.c", "d"] and tuple(t.first()) == (5, "x")
     with pytest.raises(ValueError):
         scan.scan_uri(spark, "s3a://bucket/file.xlsx")
-    assert scan.guess_delimiter(["a;b;c", "1,5;2;3"]) == ";"
+    lines = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
+    assert scan.guess_delimiter(lines("a;b;c", "1,5;2;3")) == ";"
+    assert scan.guess_delimiter(lines(*["a,b;c"] * 30, "x;y", "")) == ";"
 
 
 def test_jdbc_options():
