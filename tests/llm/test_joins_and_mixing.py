@@ -199,7 +199,7 @@ def check_mix(df):
         here = [r for r in rows if r["source"] == s]
         taken = sum(r["copies"] * r["size"] for r in here)
         least = min((r["size"] for r in here if r["size"]), default=0)
-        assert abs(taken - t) <= max(least, 0.005 * t), (s, taken, t)
+        assert abs(taken - t) <= max(least, 0.01 * t), (s, taken, t)
         rates = sum(r["rate"] * r["size"] for r in here)
         assert abs(rates - t) <= 1e-6 * max(1.0, t)
     return sorted((str(r["doc_id"]), r["size"], r["copies"]) for r in rows)
