@@ -18,6 +18,7 @@ from cleanlake.core import c
 
 SEG = "__seg"
 EXACT_DOUBLE = float(2 ** 53)
+TEXT_PARTS = 8       # six bytes each
 
 
 def order_number(df: DataFrame, name: str) -> Column:
@@ -33,47 +34,53 @@ def order_number(df: DataFrame, name: str) -> Column:
         micros = day * 86_400_000_000 + F.hour(x).cast("long") * 3_600_000_000 + F.minute(x).cast("long") * 60_000_000
         return (micros + (sec * 1_000_000).cast("long")).cast("double")
     if isinstance(t, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(x, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
+        return text_number(x, 0)
     return x.cast("double")
 
 
+def text_number(x: Column, part: int) -> Column:
+    """Six bytes of a text, from byte 6 * part on, and how many of them there are: 51 bits, in the order of the text.
+
+    Fewer than six say that the text ends there, so equal numbers of that kind mean equal texts.
+    """
+    piece = F.substring(F.encode(x, "UTF-8"), 6 * part + 1, 6)
+    return F.conv(F.rpad(F.hex(piece), 12, "0"), 16, 10).cast("double") * 8 + F.octet_length(piece)
+
+
 def segment(df: DataFrame, order_by: list[str], partition_by: list[str] | None = None, segments: int | None = None) -> DataFrame:
     """Add a segment id that never decreases along (hash of partition_by, order_by).
 
     A value holding more than one quantile step gets a segment of its own, which is cut further by the
-    next order column, so ties in a leading column do not build one huge segment.
+    next order column, so ties in a leading column do not build one huge segment. Texts are cut by six bytes at a time:
+    a prefix that holds more than one step is cut by the bytes that follow it, up to TEXT_PARTS times.
     """
     spark = df.sparkSession
     n = segments or max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    cols = []
-    if partition_by:
-        # 53 bits, so that the double is exact
-        cols.append(F.shiftrightunsigned(F.xxhash64(*[c(k) for k in partition_by]), 11).cast("double"))
-    cols += [order_number(df, o) for o in order_by]
-    out = df
-    seg: Column = F.lit(0).cast("long")
-    active: Column = F.lit(True)
-    for level, number in enumerate(cols):
-        name = f"__ordnum{level}"
-        out = out.withColumn(name, number)
-        bounds = out.where(active).agg(F.percentile_approx(
-            name, F.array(*[F.lit(i / n) for i in range(1, n)]), max(10_000, 20 * n))).first()[0]
-        if not bounds:
-            break
-        heavy = sorted({b for b in bounds if bounds.count(b) > 1 and abs(b) < EXACT_DOUBLE})
-        cuts = sorted(set(bounds) | {math.nextafter(b, math.inf) for b in heavy})
-        bucket = f"__ordbkt{level}"
-        out = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=name, outputCol=bucket,
-                         handleInvalid="keep").transform(out)
-        # nulls sort first
-        code = F.when(F.col(name).isNull(), F.lit(0)).otherwise(F.col(bucket).cast("long") + 1)
-        seg = seg * F.lit(len(cuts) + 3) + F.when(active, code).otherwise(F.lit(0))
-        source = level - (1 if partition_by else 0)
-        # equal prefixes do not mean equal strings, so a text column is the last one that may cut
-        if not heavy or (source >= 0 and isinstance(df.schema[order_by[source]].dataType, T.StringType)):
+    out, seg, active = df, F.lit(0).cast("long"), F.lit(True)
+    level = 0
+    # 53 bits of the hash, so that the double is exact
+    columns = ([(F.shiftrightunsigned(F.xxhash64(*[c(k) for k in partition_by]), 11).cast("double"), None)] if partition_by else []) + [
+        (order_number(df, o), c(o) if isinstance(df.schema[o].dataType, T.StringType) else None) for o in order_by]
+    for number, text in columns:
+        for part in range(TEXT_PARTS if text is not None else 1):
+            name, bucket = f"__ordnum{level}", f"__ordbkt{level}"
+            level += 1
+            out = out.withColumn(name, text_number(text, part) if part else number)
+            bounds = out.where(active).agg(F.percentile_approx(name, F.array(*[F.lit(i / n) for i in range(1, n)]), max(10_000, 20 * n))).first()[0]
+            heavy = sorted({b for b in bounds or [] if bounds.count(b) > 1 and abs(b) < EXACT_DOUBLE})
+            if bounds:
+                cuts = sorted(set(bounds) | {math.nextafter(b, math.inf) for b in heavy})
+                out = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=name, outputCol=bucket, handleInvalid="keep").transform(out)
+                # nulls sort first
+                code = F.when(F.col(name).isNull(), F.lit(0)).otherwise(F.col(bucket).cast("long") + 1)
+                seg = seg * F.lit(len(cuts) + 3) + F.when(active, code).otherwise(F.lit(0))
+            going_on = text is not None and any(b % 8 == 6 for b in heavy)
+            active = active & F.col(name).isin(heavy)
+            if not going_on:
+                break
+        # texts that still share all bytes looked at need not be equal, so no other column may cut them
+        if not heavy or going_on:
             break
-        active = active & F.col(name).isin(heavy)
     out = out.withColumn(SEG, seg)
     return out.drop(*[x for x in out.columns if x.startswith(("__ordnum", "__ordbkt"))])
 

@@ -26,6 +26,10 @@ query("encode_onehot_na", ora("events_gaps", "SELECT event_id, event_type_n, " +
 LABEL = lambda t, col: f"(SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT coalesce({col}, 'missing') AS v FROM {t}))"
 query("encode_label", ora("orders_dirty", f"SELECT o_orderkey, copy, code AS o_orderpriority_encoded FROM orders_dirty JOIN {LABEL('orders_dirty', 'o_orderpriority')} ON v = coalesce(o_orderpriority, 'missing')"))(
     lambda s, d: E.label(od(s, d), "o_orderpriority").select("o_orderkey", "copy", "o_orderpriority_encoded"))
+for _key, _table, _id, _text in (("encode_label_names", "customer", "c_custkey", "c_name"), ("encode_label_urls", "pages", "page_id", "url")):
+    # texts that begin alike: the numbering is cut by the bytes in which they differ
+    query(_key, f"SELECT {_id}, code AS {_text}_encoded FROM {_table} JOIN {LABEL(_table, _text)} ON v = coalesce({_text}, 'missing')")(
+        lambda s, d, t=_table, i=_id, x=_text: E.label(table(s, d, t), x).select(i, f"{x}_encoded"))
 query("encode_label_high_cardinality", f"SELECT o_orderkey, code AS key_text_encoded FROM (SELECT o_orderkey, CAST(o_orderkey * 7919 % 100003 AS VARCHAR) AS key_text FROM orders) JOIN {LABEL('(SELECT CAST(o_orderkey * 7919 % 100003 AS VARCHAR) AS key_text FROM orders)', 'key_text')} ON v = key_text")(
     lambda s, d: E.label(table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % 100003).cast("string").alias("key_text")), "key_text").select("o_orderkey", "key_text_encoded"))
 query("encode_ordinal", "SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS o_orderstatus_ordinal FROM orders")(

@@ -96,3 +96,20 @@ def test_empty_and_single(spark):
     assert ordered.fill(df, ["v"], ["t", "id"]).collect() == []
     one = spark.createDataFrame([(1.0, 1, None)], "t double, id long, v double")
     assert ordered.interpolate(one, "v", ["t", "id"]).first()["v"] is None
+
+
+def test_text_with_shared_prefixes_gives_even_segments(spark, sf):
+    """Names that begin alike are cut by the bytes in which they differ, and the cut follows the order."""
+    df = spark.read.parquet(f"{sf}/customer.parquet").select("c_name")
+    seg = ordered.segment(df, ["c_name"], segments=8)
+    sizes = [r[0] for r in seg.groupBy(ordered.SEG).count().select("count").collect()]
+    assert len(sizes) >= 6 and max(sizes) <= 2 * df.count() / len(sizes)
+    rows = sorted((r["c_name"], r[ordered.SEG]) for r in seg.collect())
+    assert [x for _, x in rows] == sorted(x for _, x in rows)
+
+
+def test_text_segments_follow_the_order_of_bytes(spark):
+    rows = [(x, i) for i, x in enumerate(["prefix-" + y for y in ("", "a", "a\0", "a\0b", "ab", "é", "z" * 300, "z" * 300 + "1")] * 40 + [None] * 9 + ["prefix"] * 50)]
+    seg = ordered.segment(spark.createDataFrame(rows, "s string, i int"), ["s", "i"], segments=16).collect()
+    got = sorted(((r["s"] is not None, (r["s"] or "").encode(), r["i"]), r[ordered.SEG]) for r in seg)
+    assert [x for _, x in got] == sorted(x for _, x in got)
