@@ -122,6 +122,6 @@ def small_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Input of a Python-heavy step over all cores when it has too few partitions (a small file); large inputs stay as they are."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    """Input of a Python-heavy step over all cores. Rows are dealt by their hash, which a task that runs again repeats."""
+    keys = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, F.xxhash64(*[c(k) for k in keys])) if keys else df

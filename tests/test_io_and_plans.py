@@ -18,7 +18,7 @@ from cleanlake.sources import scan, sink
 
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 # inventory keys that are registered under another name, or not at all, with the reason in the README
-RENAMED = {"pipeline_auto": "auto_prepare", "pipeline_stats": "step_stats", "detect_types_pipeline": "detect_types_steps"}
+RENAMED: dict[str, str] = {}
 UNREGISTERED = {"scan_jdbc"}
 
 
