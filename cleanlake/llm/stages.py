@@ -51,5 +51,5 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, sample, ids, log_prob, log_inclusion: sampled segmentations of every document of the mix."""
-    with arrow_rows(spark, 1000):
-        return lattice.encode(docs).withColumnRenamed("row_key", "doc_id")
+    with arrow_rows(spark, 256):      # holds for jobs that run here, hence the table
+        return stored(lattice.encode(docs).withColumnRenamed("row_key", "doc_id"), "stage-pieces")
