@@ -21,8 +21,11 @@ UNKNOWN = "und"
 BITS = 16
 GRAMS = 1 << BITS          # trigrams are counted by a 16-bit hash: the model has GRAMS numbers a language
 SMOOTH = 0.1               # added to every trigram count
-UNKNOWN_GRAM = 1.0 / (1 << 14)     # chance of any trigram in a language that is not listed
+UNKNOWN_GRAM = 1.0 / GRAMS     # chance of any trigram in a language that is not listed: all alike
 UNKNOWN_PRIOR = 1e-3
+JUNK = 0.05                # share of a text in any language that may be names, codes and typing errors, all trigrams alike
+#: Digits, marks and control characters say nothing about the language: they count as blanks.
+_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 EVIDENCE = 60.0            # trigrams of one text overlap and repeat, so at most this many count as independent
 HOST_WEIGHT, SUFFIX_WEIGHT = 20.0, 50.0     # rows that the prior above a host or a suffix is worth
 DECLARED_WEIGHT = 2.0
@@ -52,7 +55,7 @@ def _pieces(texts):
     """Row numbers and lower-cased bytes of texts, in groups of about CHUNK bytes; a longer text comes in pieces that overlap by two bytes."""
     rows, parts, held = [], [], 0
     for i, t in enumerate(texts):
-        b = t.lower().encode("utf-8", "surrogatepass") if isinstance(t, str) else b""
+        b = t.lower().encode("utf-8", "surrogatepass").translate(_LETTERS) if isinstance(t, str) else b""
         for a in range(0, max(len(b) - 2, 1), CHUNK):
             part = b[a: a + CHUNK + 2]
             if parts and held + len(part) > CHUNK:
@@ -97,7 +100,7 @@ def train(rows: DataFrame, languages=LANGUAGES) -> np.ndarray:
     table = np.full((len(names) + 1, GRAMS + 1), SMOOTH)
     got = counts.groupBy("at", "gram").agg(F.sum("n").alias("n")).toPandas()     # at most languages * GRAMS rows
     table[got["at"], got["gram"]] += got["n"]
-    table = np.log(table / table[:, :GRAMS].sum(axis=1, keepdims=True))
+    table = np.log((1 - JUNK) * table / table[:, :GRAMS].sum(axis=1, keepdims=True) + JUNK / GRAMS)
     table[-1] = np.log(UNKNOWN_GRAM)
     table[:, GRAMS] = 0.0
     return table
