@@ -88,7 +88,9 @@ def _unequal(base: DataFrame, state: DataFrame, digest) -> DataFrame:
     member = base.withColumn("digest", digest(text)).join(hits, "digest").select("digest", text.alias("text"), (F.col("at") == F.col("keep_at")).alias("is_kept"))
     member = stored(member, "dedup-hits")
     held = member.where("is_kept").select("digest", F.col("text").alias("held"))
-    return stored(member.where("not is_kept").join(held, "digest").where("text <> held").select("digest").distinct(), "dedup-unequal")
+    # Written before it is made distinct: a grouping by the same key would keep Spark from splitting a large group's join.
+    differ = stored(member.where("not is_kept").join(held, "digest").where("text <> held").select("digest"), "dedup-differ")
+    return differ.distinct()
 
 
 def _by_text(base: DataFrame, wrong: DataFrame, digest) -> DataFrame:
