@@ -69,6 +69,9 @@ def test_language_of_documents(spark, sf, odd_docs, empty_docs):
     held_out = [r for r in rows if r.declared is None]
     assert len(held_out) > 20 and sum(r.lang == r.truth for r in held_out) / len(held_out) > 0.95
     assert all(r.kept for r in rows if r.text and r.text.strip())
+    foreign = docs.limit(0).unionByName(docs.where("doc_id < 60")).unionByName(spark.createDataFrame([(-1, "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏" * 3, None, "src1", 60)], docs.schema))
+    got = {r.id: r for r in langid.identify(langid.document_evidence(foreign)).collect()}
+    assert not got[-1].kept and got[-1].lang == "und" and all(r.kept for i, r in got.items() if i >= 0)
     odd = {r.id: r for r in langid.identify(langid.document_evidence(odd_docs)).collect()}
     assert not odd[3].kept and not odd[4].kept and not odd[5].kept and odd[1].kept and odd[6].kept
     assert langid.identify(langid.document_evidence(empty_docs)).count() == 0
