@@ -19,8 +19,10 @@ PHONE_RE = r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"
 HTML_RE = r"<[^<>]*>"
 
 # fixed values: words skipped by the keyword report
-COMMON_WORDS = ("the a an and or but in on at to for of with by is are was were be been being have has had do does did "
-                "will would could should").split()
+COMMON_WORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "do", "does", "did", "will", "would", "could", "should",
+]
 
 # fixed values: contractions and their long forms
 CONTRACTIONS = {
@@ -30,10 +32,10 @@ CONTRACTIONS = {
 
 # fixed values: frequent function words per language
 LANGUAGE_WORDS = {
-    "en": "the and of to in is that it for was with as his on be at by".split(),
-    "fr": "le la les et des du une est dans que pour qui sur pas avec".split(),
-    "de": "der die das und ist nicht ein eine zu den mit von auf dem sich".split(),
-    "es": "el los las y del una es que por con para se su como más".split(),
+    "en": ["the", "and", "of", "to", "in", "is", "that", "it", "for", "was", "with", "as", "his", "on", "be", "at", "by"],
+    "fr": ["le", "la", "les", "et", "des", "du", "une", "est", "dans", "que", "pour", "qui", "sur", "pas", "avec"],
+    "de": ["der", "die", "das", "und", "ist", "nicht", "ein", "eine", "zu", "den", "mit", "von", "auf", "dem", "sich"],
+    "es": ["el", "los", "las", "y", "del", "una", "es", "que", "por", "con", "para", "se", "su", "como", "más"],
 }
 
 
@@ -58,7 +60,7 @@ def upper(x: Column) -> Column:
 
 
 def title(x: Column) -> Column:
-    """Upper case after white space."""
+    """Upper case at the start and after each blank; other white space does not count."""
     return F.initcap(x)
 
 

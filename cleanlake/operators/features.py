@@ -141,6 +141,8 @@ def fit_pca(df: DataFrame, columns: list[str], components: int | float | None =
     one matrix per partition; only the d x d result reaches the driver.
     """
     t = VectorAssembler(inputCols=columns, outputCol="features").transform(df.select(*[_zero(x).alias(x) for x in columns])).select("features")
+    if t.limit(2).count() < 2:      # no variance, so no components
+        return Pca(columns, [0.0] * len(columns), [1.0] * len(columns), [], [])
     row = t.select(Summarizer.metrics("mean", "std").summary(F.col("features")).alias("s")).first()["s"]
     means, stds = row["mean"].toArray().tolist(), row["std"].toArray()
     corr = np.nan_to_num(Correlation.corr(t, "features").first()[0].toArray())

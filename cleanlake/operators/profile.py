@@ -246,7 +246,7 @@ def dtype_counts(df: DataFrame) -> DataFrame:
     return t.groupBy("type").agg(F.count(F.lit(1)).alias("columns"), F.sum("known").alias("known_values"))
 
 
-# name fragments that mark an engineered column, by kind
+# fixed values: name fragments that mark an engineered column, by kind
 ENGINEERED = {
     "scaled": ["_scaled"], "polynomial": ["poly_"], "interactions": ["_x_", "interaction"], "binned": ["_binned", "_bin_"],
     "encoded": ["_encoded"], "pca": ["pca_"], "mathematical": ["_sqrt", "_log", "_sq", "_exp"], "aggregated": ["agg_"],

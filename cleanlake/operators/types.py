@@ -12,6 +12,7 @@ from cleanlake.functions.parsing import (BOOLEAN_MAP_FALSE, BOOLEAN_MAP_TRUE, MU
                                          as_number_clean, as_timestamp, first_timestamp, strftime_pattern)
 from cleanlake.operators.profile import ColumnProfile, profile
 
+# fixed values: names of key columns and parts of geographic names
 ID_NAMES = ["id", "user_id", "customer_id", "order_id"]
 GEO_WORDS = ["lat", "lon", "latitude", "longitude", "address", "zip", "postal"]
 
