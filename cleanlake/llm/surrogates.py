@@ -27,6 +27,10 @@ NUMBERS = re.compile(r"(?<![\w.,])(?:\+\d|\(\d|\d)[\d().\- /]*\d(?![\w@])")
 PHONE = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4}")
 ACCOUNT = re.compile(r"\d{13,19}|\d{4}(?:([ -])\d{4})(?:\1\d{4}){2}")
 SOCIAL = re.compile(r"\d{3}-\d{2}-\d{4}")
+#: Numbers of a fixed shape inside a longer run, and phones with a country code between them.
+SHAPES = re.compile(r"(?<!\d)(?:(?P<account>\d{13,19}|\d{4}(?P<s>[ -])\d{4}(?:(?P=s)\d{4}){2})|(?P<social>\d{3}-\d{2}-\d{4})|(?P<ip>(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.\d))"
+                    r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}(?P<d>[.-])\d{3}(?P=d)\d{4})))(?!\d)")
+ABROAD = re.compile(r"(?<!\d)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 #: Honorifics by gender, with the names that follow them. Fixed values.
 HONORIFICS = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"]}
@@ -89,22 +93,25 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
 
 
 def _number(s: str, at: int) -> list[tuple[int, int, str, str]]:
+    """Entities of a run of digits, blanks and slashes: every group between slashes is judged, as a whole or by the numbers in it."""
+    out = []
     for m in re.finditer(r"[+(\d][\d().\- ]*\d", s):
-        t, digits = m[0], re.sub(r"\D", "", m[0])
-        place = at + m.start(), at + m.end()
-        if re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", t):
-            return [(*place, "ip", t)] if all(int(x) < 256 for x in t.split(".")) else []
-        if ACCOUNT.fullmatch(t):
-            return [(*place, "account", digits)]
-        if SOCIAL.fullmatch(t):
-            return [(*place, "social", digits)]
-        if p := PHONE.fullmatch(t):
-            return [(*place, "phone", digits)]
-        inner = [(place[0] + p.start(), place[0] + p.end(), kind, re.sub(r"\D", "", p[0]))
-                 for kind, rx in (("account", re.compile(r"(?<!\d)\d{13,19}(?!\d)")), ("phone", re.compile(r"(?<!\d)(?:" + PHONE.pattern + r")(?!\d)"))) for p in rx.finditer(t)]
-        inner += [(place[0] + p.start(), place[0] + p.end(), "ip", p[0]) for p in re.finditer(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])", t) if all(int(x) < 256 for x in p[0].split("."))]
-        return inner
-    return []
+        t, place = m[0], at + m.start()
+        whole = [k for k, rx in (("account", ACCOUNT), ("social", SOCIAL), ("phone", PHONE)) if rx.fullmatch(t)]
+        if whole:
+            out.append((place, at + m.end(), whole[0], re.sub(r"\D", "", t)))
+            continue
+        # Numbers of a fixed shape first: a phone with a country code and free groups is looked for in the gaps they leave, or it would take a part of them.
+        gap = 0
+        for p in [*SHAPES.finditer(t), None]:
+            out += [(place + gap + q.start(), place + gap + q.end(), "phone", re.sub(r"\D", "", q[0])) for q in ABROAD.finditer(t[gap: p.start() if p else len(t)])]
+            if p:
+                gap = p.end()
+                if p.lastgroup != "ip":
+                    out.append((place + p.start(), place + gap, p.lastgroup, re.sub(r"\D", "", p[0])))
+                elif all(int(x) < 256 for x in p[0].split(".")):
+                    out.append((place + p.start(), place + gap, "ip", p[0]))
+    return out
 
 
 def _iban(s: str) -> bool:

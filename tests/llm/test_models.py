@@ -112,6 +112,21 @@ def test_surrogates_keep_form():
     assert surrogates.rewrite(text, key, {})[0] == new != surrogates.rewrite(text, b"other", {})[0]
 
 
+def test_surrogates_of_every_number_in_a_run():
+    """Dates, expiry dates, slashes and several numbers in one run of digits leave no number behind."""
+    runs = {"03/14/2024 555-123-4567": ["phone"], "555-123-4567 / 555-987-6543": ["phone", "phone"], "4111 1111 1111 1111 12/26": ["account"], "4111-1111-1111-1111 01/27 123": ["account"],
+            "123-45-6789 555-123-4567": ["social", "phone"], "2024-01-02 123-45-6789": ["social"], "+44 20 7946 0958 555-123-4567": ["phone", "phone"],
+            "+1 930-555-2361 +1 (930) 555-2362 4111111111111111": ["phone", "phone", "account"], "10.1.2.3/24 8.8.4.4": ["ip", "ip"], "8.20.209.178 / (930) 555-2361": ["ip", "phone"],
+            "+1 930 555 2361 4111 1111 1111 1111": ["phone", "account"], "03/14/2024 12/26": [], "1.2.3.4.5 2024-01-02": [], "999.1.1.1 10 20": []}
+    for run, kinds in runs.items():
+        text = f"call {run}, then"
+        assert [x[2] for x in surrogates.detect(text)] == kinds, (run, surrogates.detect(text))
+        new = surrogates.rewrite(text, b"k", {})[0]
+        for start, end, *_ in surrogates.detect(text):
+            assert text[start:end] not in new, run
+        assert len(new) == len(text) or "ip" in kinds
+
+
 def crowded(spark):
     """More addresses of one short format than chance keeps apart, and names that share a small pool."""
     rows = [(i, f"see a{i % 10}{i // 10 % 10}@x.example.com and Mr. Tom{chr(97 + i % 26)}{chr(97 + i // 26)} Berg, again a{i % 10}{i // 10 % 10}@x.example.com", "x") for i in range(100)]
