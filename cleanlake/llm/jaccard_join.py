@@ -36,10 +36,10 @@ RUN = 20_000          # rows of a signature that one task compares; more are dea
 OWN, FIRST, NEAR, UPPER = range(4)      # kinds of index rows: own segment, the first one, its neighbourhood, a segment of the next band
 
 
-@functools.lru_cache(1)
-def _bands() -> np.ndarray:
-    """Upper sizes of the bands."""
-    out = [6]
+@functools.lru_cache(8)
+def _bands(percent: int) -> np.ndarray:
+    """Upper sizes of the bands. The first ends where two sets of at most that size match only when they are equal: (n - 1) / n is below percent."""
+    out = [99 // max(1, 100 - percent)]
     while out[-1] < 1 << 40:
         out.append(int(out[-1] * GROWTH) + 1)
     return np.array(out)
@@ -51,7 +51,7 @@ def differences(size, percent: int):
 
 
 def segments(band: int, percent: int) -> int:
-    return int(differences(2 * _bands()[band], percent)) + 1
+    return int(differences(2 * _bands(percent)[band], percent)) + 1
 
 
 def _segmented(tokens: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +81,7 @@ NODES = "doc_id long, n long, key long, other long, sketch binary, own array<lon
 
 def _nodes(words: int, percent: int):
     def nodes(batches):
-        bands, seen = _bands(), set()
+        bands, seen = _bands(percent), set()
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for at, part in chunks(texts):
@@ -99,7 +99,7 @@ def _nodes(words: int, percent: int):
                         own, near = _segmented(tokens, b, percent)
                         upper = np.concatenate(_segmented(tokens, b + 1, percent)) if 100 * n >= percent * (int(bands[b]) + 1) else own[:0]
                         row = (*row[:4], _sketch(tokens), own, near, upper)
-                    elif n and ids[at + i] is not None and key not in seen and 100 * n >= percent * 7:      # no partner but a larger one
+                    elif n and ids[at + i] is not None and key not in seen and 100 * n >= percent * (int(bands[0]) + 1):      # no partner but a larger one
                         seen.add(key)
                         row = (*row[:4], _sketch(tokens), np.zeros(0, np.int64), np.zeros(0, np.int64), np.concatenate(_segmented(tokens, 1, percent)))
                     out.append(row)
@@ -126,7 +126,7 @@ def _shared(batches):
 def _allocated(percent: int):
     """Chooses the look-ups of every set: the cheapest that cover one difference more than a matching pair can have."""
     def allocate(batches):
-        bands = _bands()
+        bands = _bands(percent)
         for t in sorted_runs(batches, "key"):
             sig, key, meta, freq = (t.column(x).to_numpy() for x in ("sig", "key", "meta", "freq"))
             probe = np.zeros(len(sig), bool)

@@ -14,6 +14,7 @@ from cleanlake.llm import exact_dedup, jaccard_join, langid, lattice, mixing
 from cleanlake.llm.common import arrow_rows, checked_broadcast, located, stored
 
 AT = "__at"
+WORDS, PERCENT = 5, 80      # of the near-duplicate stage; those of op10 are its own
 
 
 def _without(docs: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
@@ -36,7 +37,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each class of near duplicates. Rows that repeat a doc_id go only if each of them is a near copy."""
-    classes = jaccard_join.classes(docs)
+    classes = jaccard_join.classes(docs, words=WORDS, percent=PERCENT)
     gone = classes.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select("doc_id")
     return docs.join(checked_broadcast(stored(gone, "stage-near")), "doc_id", "left_anti").select(*[c(x) for x in docs.columns])
 

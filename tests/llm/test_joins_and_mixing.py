@@ -62,6 +62,31 @@ def test_jaccard_against_all_pairs(spark, seed):
     same(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_jaccard_stage_at_five_words(spark):
+    """The pipeline's stage finds what all pairs at five words and 0.8 give: sets of 3 to 7 shingles, and copies with a fifth of text appended."""
+    from cleanlake.llm import stages
+    rng, rows = random.Random(9), []
+    word = lambda: f"w{rng.randrange(10 ** 6)}"
+    for n in range(3, 8):
+        for less, more in ((0, 1), (1, 0), (1, 1), (0, 2)):
+            base = [word() for _ in range(n + 4)]
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[less:] + [word() for _ in range(more)]))]
+    for n in (20, 50, 120, 300):
+        for share in (0.15, 0.18, 0.22, 0.25, 0.3):
+            base = [word() for _ in range(n + 4)]
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + [word() for _ in range(int(n * share))]))]
+    parts, sets = {i: i for i, _ in rows}, {i: shingles(t, 5) for i, t in rows}
+    for i in range(1, len(rows), 2):
+        both = len(sets[i] & sets[i - 1])
+        if 100 * both >= 80 * (len(sets[i]) + len(sets[i - 1]) - both):
+            parts[i] = i - 1
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(4, 5), (5, 6)} <= {tuple(sorted((len(sets[i]), len(sets[i - 1])))) for i in parts if parts[i] != i}
+    got = {r.doc_id: r.component_id for r in jaccard_join.classes(df, words=5, percent=80).collect()}
+    assert got == parts
+    assert sorted(r.doc_id for r in stages.drop_near_copies(spark, df, "").collect()) == sorted(i for i in parts if parts[i] == i)
+
+
 def test_jaccard_hot_signatures_are_dealt(spark, monkeypatch):
     """The same classes when every signature of more than two sets is dealt over several tasks."""
     rng = random.Random(5)
