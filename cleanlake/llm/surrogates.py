@@ -32,10 +32,15 @@ SHAPES = re.compile(r"(?<!\d)(?:(?P<account>\d{13,19}|\d{4}(?P<s>[ -])\d{4}(?:(?
                     r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}(?P<d>[.-])\d{3}(?P=d)\d{4})))(?!\d)")
 ABROAD = re.compile(r"(?<!\d)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-#: Honorifics by gender, with the names that follow them. Fixed values.
-HONORIFICS = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"]}
-NAME = re.compile(r"(?<!\w)(" + "|".join(x for g in HONORIFICS.values() for x in g) + r")(\.? )((?:[^\W\d_a-zа-яα-ω][^\W\d_]+)(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]+){0,2})")
+#: Honorifics by gender ("" fits any), with the names that follow them. Fixed values.
+HONORIFICS = {"m": ["Mr", "Mister", "Sir", "Lord", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Signor", "Господин", "Κύριος"],
+              "f": ["Mrs", "Ms", "Miss", "Madam", "Lady", "Dame", "Frau", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Doña", "Signora", "Госпожа", "Κυρία"],
+              "": ["Dr", "Doctor", "Prof", "Professor", "Доктор", "Профессор"]}
 GENDER = {x: g for g, xs in HONORIFICS.items() for x in xs}
+_ANY = "|".join(HONORIFICS[""])
+_WORD = rf"(?!(?:{_ANY})(?!\w))[^\W\d_a-zа-яα-ω][^\W\d_]+"
+NAME = re.compile(rf"(?<!\w)(?:(?:(?:{_ANY})\.? )*({'|'.join(HONORIFICS['m'] + HONORIFICS['f'])})\.? (?:(?:{_ANY})\.? )*|(?:(?:{_ANY})\.? )+)({_WORD}(?:[ -]{_WORD}){{0,2}})")
+TOKEN = re.compile(r"\w+")
 #: Given names by script and gender. Fixed values.
 GIVEN = {
     ("latin", "m"): ["Adam", "Bruno", "Carl", "David", "Erik", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Leon", "Martin", "Oscar", "Paul", "Robert", "Simon", "Thomas", "Victor"],
@@ -64,7 +69,9 @@ def script(word: str) -> str:
 
 
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, normal form) of the entities of a text, in order and without overlap. Names give one entity per word."""
+    """(start, end, type, normal form) of the entities of a text, in order and without overlap. Names give one entity per word.
+
+    A person is found by an honorific; names that no honorific of the text introduces are not detected."""
     if not text:
         return []
     found = []
@@ -75,14 +82,7 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             found += _number(m[0], m.start())
     found += [(m.start(), m.end(), "iban", m[0].replace(" ", "")) for m in IBAN.finditer(text) if _iban(m[0].replace(" ", ""))]
     if any(x in text for x in GENDER):
-        for m in NAME.finditer(text):
-            at, words = m.start(3), re.split(r"([ -])", m[3])
-            for i, w in enumerate(words):
-                if i % 2 == 0:
-                    last = i == len(words) - 1
-                    kind = f"surname-{script(w)}" if last else f"given-{script(w)}-{GENDER[m[1]]}"
-                    found.append((at, at + len(w), kind, w.lower()))
-                at += len(w)
+        found += _names(text)
     found.sort(key=lambda x: (x[0], -x[1]))
     out, end = [], 0
     for x in found:
@@ -92,6 +92,47 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def _names(text: str) -> list[tuple[int, int, str, str]]:
+    """The words of names after honorifics, and every other mention of these words in the text that begins with a capital.
+
+    A word alone is a surname if it ends a name of the text, else a given name; inside a full name it is what it is there. A given
+    name after titles of any gender alone takes the gender that the text gives it elsewhere.
+    """
+    said, at_title = [], []
+    for m in NAME.finditer(text):
+        said.append((tuple(re.split("[ -]", m[2].lower())), GENDER.get(m[1], "")))
+        at_title.append(m.start(2))
+    if not said:
+        return []
+    gender, full, alone = {}, {}, {}
+    for words, g in said:
+        for w in words[:-1]:
+            gender[w] = gender.get(w) or g
+    for words, g in sorted(said, key=lambda x: x[1] == ""):
+        kinds = [f"given-{script(w)}-{g or gender[w]}" for w in words[:-1]] + [f"surname-{script(words[-1])}"]
+        full.setdefault(words[0], {}).setdefault((words, g), kinds)
+        alone[words[-1]] = kinds[-1]
+        for w, kind in zip(words, kinds[:-1]):
+            alone.setdefault(w, kind)
+    titled = {at: x for at, x in zip(at_title, said)}
+    tokens = [(m.start(), m.end(), m[0].lower()) for m in TOKEN.finditer(text) if m[0][0].isupper()]
+    out, i = [], 0
+    while i < len(tokens):
+        start, _, w = tokens[i]
+        names = [(titled[start], full[w][titled[start]])] if start in titled else sorted(full.get(w, {}).items(), key=lambda x: -len(x[0][0]))
+        for (words, _), kinds in names:
+            run = tokens[i: i + len(words)]
+            if len(words) > 1 and tuple(x[2] for x in run) == words and all(re.fullmatch(r"[\s-]+", text[a[1]: b[0]]) for a, b in zip(run, run[1:])) or start in titled:
+                out += [(*x[:2], kind, x[2]) for x, kind in zip(run, kinds)]
+                i += len(words)
+                break
+        else:
+            if w in alone:
+                out.append((*tokens[i][:2], alone[w], w))
+            i += 1
+    return out
+
+
 def _number(s: str, at: int) -> list[tuple[int, int, str, str]]:
     """Entities of a run of digits, blanks and slashes: every group between slashes is judged, as a whole or by the numbers in it."""
     out = []
@@ -162,7 +203,7 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
     role, written, *gender = kind.split("-")
     gender = gender[0] if gender else ""
     if role == "given" and attempt == 0:
-        pool = GIVEN[written, gender]
+        pool = GIVEN[written, gender] if gender else GIVEN[written, "m"] + GIVEN[written, "f"]
         return pool[d.below(len(pool))].lower()
     syllables = SYLLABLES[written]
     return "".join(syllables[d.below(len(syllables))] for _ in range(2 + attempt // 2)) + ENDINGS[written, gender]

@@ -127,6 +127,20 @@ def test_surrogates_of_every_number_in_a_run():
         assert len(new) == len(text) or "ip" in kinds
 
 
+def test_surrogates_of_names_without_their_honorific():
+    """Later mentions of a name get its surrogate; a title of any gender goes with the others of the text."""
+    text = "Mr. John Smith called. Smith said, and John Smith signed; SMITH'S and smith's, Smithson. Dr. John Smith; Prof. Dr. Anna Kern, Kern; Herr Dr. Weber, Weber. Mr. Don Lord, Don Diego. Don"
+    new = surrogates.rewrite(text, b"k", {})[0]
+    first, last = re.match(r"Mr\. (\w+) (\w+) called", new).groups()
+    assert first in surrogates.GIVEN["latin", "m"]
+    assert new.startswith(f"Mr. {first} {last} called. {last} said, and {first} {last} signed; {last.upper()}'S and smith's, Smithson. Dr. {first} {last}; Prof. Dr. ")
+    for name in ("John", "Smith ", "Anna", "Kern", "Weber", "Lord", "Diego"):
+        assert name not in new, name
+    assert re.search(r"Prof\. Dr\. \w+ (\w+), \1; Herr Dr\. (\w+), \2\.", new)
+    assert surrogates.rewrite("He said. Yesterday Mr Smith and Maria came", b"k", {})[1] == 1
+    assert surrogates.rewrite("Doctor no Smith, Will Mark Don", b"k", {})[1] == 0
+
+
 def crowded(spark):
     """More addresses of one short format than chance keeps apart, and names that share a small pool."""
     rows = [(i, f"see a{i % 10}{i // 10 % 10}@x.example.com and Mr. Tom{chr(97 + i % 26)}{chr(97 + i // 26)} Berg, again a{i % 10}{i // 10 % 10}@x.example.com", "x") for i in range(100)]
