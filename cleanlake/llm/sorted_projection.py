@@ -7,6 +7,8 @@ pair is then compared, block against block, so the number of links of a vector d
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -16,10 +18,13 @@ from pyspark.sql import functions as F
 from cleanlake.core import c
 from cleanlake.llm.common import arrow_rows, sorted_runs, stored
 from cleanlake.operators.fuzzy import components
+from cleanlake.operators.skew import skew_join
 
 COSINE = 0.9
-PASSES, WINDOW = 12, 48
-HASHES, LEVELS = 6, 5      # a key has so many hashes, each the largest of so many signed projections (a cross-polytope of that size)
+PASSES, WINDOW = 12, 48    # at least so many passes
+HASHES, LEVELS = 6, 5      # a key has at least so many hashes, each the largest of so many signed projections (a cross-polytope of that size)
+RECALL, AGREE = 0.99, 0.64  # wanted chance that a lone pair at COSINE meets in a window; chance that one hash agrees at COSINE (Monte Carlo)
+HOT_COPIES = 1000          # copies of a vector above which their rows are dealt over several tasks
 BLOCK = 512                # members of a class compared at once
 
 
@@ -35,23 +40,40 @@ def _usable(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return ok, x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _keyed(dim: int, passes: int, seed: int):
-    planes = np.random.default_rng(seed).standard_normal((passes, HASHES, LEVELS, dim))
+def effort(vectors: int, window: int = WINDOW) -> tuple[int, int]:
+    """(passes, hashes) for so many distinct vectors: a pair meets when it agrees on the leading hashes that leave about half of `window` vectors together."""
+    depth = max(0.0, math.log(max(vectors, 1) / (window / 2), 2 * LEVELS))
+    chance = AGREE ** depth
+    passes = PASSES if chance >= RECALL else max(PASSES, math.ceil(math.log(1 - RECALL) / math.log(1 - chance)))
+    return passes, max(HASHES, math.ceil(depth) + 1)
+
 
+def _units(dim: int):
     def run(batches):
         for batch in batches:
-            ids = batch.column("row").to_pylist()
             ok, x = _usable(batch.column("embedding").to_pylist(), dim)
-            names = [i for i, k in zip(ids, ok) if k]
-            unit = [r.tobytes() for r in x]
+            names = [i for i, k in zip(batch.column("row").to_pylist(), ok) if k]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([r.tobytes() for r in x + 0.0], pa.binary())], names=["row", "unit"])     # no negative zeros
+    return run
+
+
+def codes(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """The key of every row of x in one pass: the hashes, then the size of the first one's projection."""
+    y = np.einsum("nd,hld->nhl", x, planes, optimize=True)
+    best = np.abs(y).argmax(axis=2)
+    top = np.take_along_axis(y, best[:, :, None], 2)[:, :, 0]
+    return np.hstack([(2 * best + (top < 0)).astype(np.uint8), (np.abs(top) * 8).astype(np.uint8)[:, :1]])
+
+
+def _keyed(dim: int, passes: int, hashes: int, seed: int):
+    planes = np.random.default_rng(seed).standard_normal((passes, hashes, LEVELS, dim))
+
+    def run(batches):
+        for batch in batches:
+            x = _matrix(batch.column("unit")) if batch.num_rows else np.zeros((0, dim))
             for p in range(passes):
-                y = np.einsum("nd,hld->nhl", x, planes[p])
-                best = np.abs(y).argmax(axis=2)
-                sign = np.take_along_axis(y, best[:, :, None], 2)[:, :, 0] < 0
-                code = (2 * best + sign).astype(np.uint8)
-                fine = ((np.take_along_axis(np.abs(y), best[:, :, None], 2)[:, :, 0]) * 8).astype(np.uint8)[:, :1]
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(names), pa.int32()), pa.array([r.tobytes() for r in np.hstack([code, fine])], pa.binary()),
-                                                  pa.array(names, pa.int64()), pa.array(unit, pa.binary())], names=["pass", "code", "row", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(x), pa.int32()), pa.array([r.tobytes() for r in codes(x, planes[p])], pa.binary()),
+                                                  batch.column("row"), batch.column("unit")], names=["pass", "code", "row", "unit"])
     return run
 
 
@@ -134,6 +156,7 @@ def _counted(cosine: float):
     def run(batches):
         for t in sorted_runs(batches, "pair", 4 * BLOCK):
             pair, first, ids, x = (t.column("pair").to_numpy(), t.column("first").to_numpy(zero_copy_only=False), t.column("row").to_numpy(), _matrix(t.column("unit")))
+            copies = t.column("copies").to_numpy()
             start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
             rows, counts = [], []
             for a, b in zip(start, np.append(start[1:], len(pair))):
@@ -142,7 +165,7 @@ def _counted(cosine: float):
                     n = np.zeros(len(p[i: i + 1024]), np.int64)
                     for j in range(0, len(q), 1024):
                         hit = x[p[i: i + 1024]] @ x[q[j: j + 1024]].T >= cosine
-                        n += (hit & (ids[p[i: i + 1024]][:, None] != ids[q[j: j + 1024]][None, :])).sum(axis=1)
+                        n += (hit & (ids[p[i: i + 1024]][:, None] != ids[q[j: j + 1024]][None, :])) @ copies[q[j: j + 1024]]
                     rows.append(ids[p[i: i + 1024]])
                     counts.append(n)
             if rows:
@@ -150,7 +173,7 @@ def _counted(cosine: float):
     return run
 
 
-def near_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, seed: int = 0) -> DataFrame:
+def near_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, cosine: float = COSINE, passes: int | None = None, window: int = WINDOW, seed: int = 0) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors.
 
     Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components link with nothing. Rows
@@ -167,7 +190,10 @@ def near_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     # A row number that survives a lost task: the identifier where it is unique, else a number written once.
     named = stored(rows.withColumn("row", F.monotonically_increasing_id()), "vectors-rows")
     with arrow_rows(spark, 2000):
-        keyed = stored(named.select("row", "embedding").mapInArrow(_keyed(dim, passes, seed), "pass int, code binary, row long, unit binary"), "vectors-keys")
+        units = stored(named.select("row", "embedding").mapInArrow(_units(dim), "row long, unit binary").withColumn("name", F.sha2("unit", 256)), "vectors-units")
+        distinct = stored(units.groupBy("name").agg(F.min("row").alias("rep"), F.first("unit").alias("unit"), F.count(F.lit(1)).alias("copies")), "vectors-distinct")
+        most, hashes = effort(distinct.count(), window)
+        keyed = stored(distinct.select(F.col("rep").alias("row"), "unit").mapInArrow(_keyed(dim, passes or most, hashes, seed), "pass int, code binary, row long, unit binary"), "vectors-keys")
         order = keyed.repartitionByRange("pass", "code", "row").sortWithinPartitions("pass", "code", "row")
         found = stored(order.mapInArrow(_windows(window, cosine), "kind int, part int, pos long, left long, right long, pass int, unit binary"), "vectors-windows")
         ends = found.where("kind > 0").withColumn("border", F.when(F.col("kind") == 2, F.col("part")).otherwise(F.col("part") - 1))
@@ -175,12 +201,16 @@ def near_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         links = stored(found.where("kind = 0").select("left", "right").unionByName(across).distinct(), "vectors-links")
         label = components(links)
         blocks = _blocks(label)
-        unit = keyed.where("pass = 0").select("row", "unit")
+        unit = distinct.select(F.col("rep").alias("row"), "unit", "copies")
         member = stored(blocks.join(unit, "row"), "vectors-members")
-        twice = member.select("row", "unit", "pair", F.col("first")).repartition("pair").sortWithinPartitions("pair")
+        twice = member.select("row", "unit", "copies", "pair", F.col("first")).repartition("pair").sortWithinPartitions("pair")
         counts = stored(twice.mapInArrow(_counted(cosine), "row long, n long").groupBy("row").agg(F.sum("n").alias("n_links")), "vectors-counts")
     ids = named.select("row", "vec_id")
-    full = ids.join(counts, "row", "left").join(label.withColumnRenamed("node", "row"), "row", "left")
+    known = (distinct.select("name", "rep", "copies").join(counts.withColumnRenamed("row", "rep"), "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+             .select("name", "copies", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", F.when(F.col("copies") > 1, F.col("rep"))).alias("label")))
+    known = stored(known, "vectors-known")
+    mine = skew_join(units.select("row", "name"), known, ["name"], counts=known.select("name", "copies"), count_col="copies", hot_rows=HOT_COPIES, right_unique=True)
+    full = ids.join(mine.select("row", "n_links", "label"), "row", "left")
     classes = full.where("label is not null").groupBy("label").agg(F.min("vec_id").alias("least"), F.min(F.struct(F.col("vec_id").isNull(), "vec_id", "row")).alias("first"))
     out = full.join(classes, "label", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("least", "vec_id").alias("component_id"),

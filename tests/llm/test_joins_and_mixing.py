@@ -187,6 +187,42 @@ def test_sorted_projection_window_crosses_partitions(spark):
     assert out[0] == out[1]
 
 
+def test_sorted_projection_copies_do_not_fill_the_windows(spark, monkeypatch):
+    """Many copies of two vectors near each other: one vector each in keys and windows, all links in the counts."""
+    monkeypatch.setattr(sorted_projection, "HOT_COPIES", 20)
+    rng = np.random.default_rng(6)
+    a = rng.standard_normal(8)
+    b = a + 0.1 * rng.standard_normal(8)
+    rows = [(i, (a if i % 2 else b).tolist()) for i in range(80)] + [(100 + i, (a + 0.12 * rng.standard_normal(8)).tolist()) for i in range(4)]
+    rows += [(200, [1.0] + [0.0] * 7), (201, [1.0] + [-0.0] * 7), (300, rng.standard_normal(8).tolist())]
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in sorted_projection.near_classes(vectors(spark, rows), passes=2, window=6).collect()), key=str)
+    assert got == brute_vectors(rows, 8)
+
+
+def test_sorted_projection_passes_follow_the_rows():
+    """The number of passes grows with the table, and lone pairs at the threshold are found as often as it says."""
+    assert [sorted_projection.effort(n)[0] for n in (0, 100, 10 ** 3)] == [12, 12, 12] and sorted_projection.effort(10 ** 7)[0] > sorted_projection.effort(10 ** 6)[0] > 24
+    assert sorted_projection.effort(10 ** 9)[1] > sorted_projection.HASHES
+    assert recall(20_000, 300, 16) > 0.96
+
+
+def recall(n, lone, dim, seed=1):
+    """Share of `lone` pairs at cosine 0.9 among n vectors that meet in a window of the passes."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = rng.standard_normal((lone, dim))
+    other -= (other * x[:lone]).sum(axis=1, keepdims=True) * x[:lone]
+    x[lone: 2 * lone] = 0.9 * x[:lone] + math.sqrt(1 - 0.81) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    passes, hashes = sorted_projection.effort(n)
+    planes, met = np.random.default_rng(0).standard_normal((passes, hashes, sorted_projection.LEVELS, dim)), np.zeros(lone, bool)
+    for p in range(passes):
+        place = np.empty(n, np.int64)
+        place[np.lexsort(sorted_projection.codes(x, planes[p]).T[::-1])] = np.arange(n)
+        met |= np.abs(place[:lone] - place[lone: 2 * lone]) <= sorted_projection.WINDOW
+    return met.mean()
+
+
 def test_sorted_projection_empty(spark):
     assert sorted_projection.near_classes(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     only = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
