@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanlake.llm import exact_dedup, jaccard_join, langid, lattice, mixing, secret_forest, separators, sorted_projection, surrogates, warc_store
+from cleanlake.llm import exact_dedup, jaccard_join, langid, lattice, mixing, quality_ftrl, secret_forest, separators, sorted_projection, surrogates, warc_store
 from cleanlake.llm.common import arrow_rows, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_secret_forest")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_forest.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_quality_ftrl")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ftrl.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -31,9 +31,11 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([np.ones(1, np.uint64), np.full(size, _BASE)]).cumprod(), np.concatenate([np.ones(1, np.uint64), np.full(size, inverse)]).cumprod()
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of every text, in order, and the number of words of every text. Words are folded from A-Z to a-z."""
-    data = np.frombuffer(b" ".join(texts).translate(_FOLD) + b" ", np.uint8)
+def word_bounds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts, first byte, byte after the last one and hash of every word, in order, and the number of words of every text.
+    Words are hashed with A-Z folded to a-z."""
+    joined = b" ".join(texts) + b" "
+    data = np.frombuffer(joined.translate(_FOLD), np.uint8)
     gap = _SEPARATOR[data]
     edge = np.flatnonzero(np.diff(gap, prepend=True))
     start, end = edge[0::2], edge[1::2]
@@ -43,7 +45,12 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         run = np.concatenate([np.zeros(1, np.uint64), (_BYTE[data] * power[: len(data)]).cumsum()])
         words = mix((run[end] - run[start]) * inverse[start] + (end - start).astype(np.uint64))
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return words, np.diff(np.searchsorted(start, ends), prepend=0)
+    return np.frombuffer(joined, np.uint8), start, end, words, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of every text, in order, and the number of words of every text."""
+    return word_bounds(texts)[3:]
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
