@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanlake.llm import exact_dedup, jaccard_join, langid, lattice, mixing, quality_ftrl, secret_forest, separators, sorted_projection, surrogates, warc_store
+from cleanlake.llm import exact_dedup, jaccard_join, langid, lattice, mixing, orchard, quality_ftrl, secret_forest, separators, sorted_projection, surrogates, warc_store
 from cleanlake.llm.common import arrow_rows, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,33 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_quality_ftrl")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ftrl.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """The rounds of op12 as chained tables: nearest centroid of every vector (n), then the centroids that follow (c)."""
+    nearest = """near{i} AS MATERIALIZED (SELECT vec_id, row, cluster, distance FROM (
+          SELECT p.vec_id, p.row, m.cluster, sum((p.x - m.x) * (p.x - m.x)) AS distance
+          FROM parts p JOIN c{i} m ON p.j = m.j GROUP BY p.vec_id, p.row, m.cluster)
+          QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, cluster) = 1)"""
+    move = """c{j} AS MATERIALIZED (SELECT m.cluster, m.j, coalesce(s.x, m.x) AS x FROM c{i} m LEFT JOIN (
+          SELECT n.cluster, p.j, CAST((sum(p.x) - ((sum(p.x) % count(*) + count(*)) % count(*))) // count(*) AS BIGINT) AS x
+          FROM near{i} n JOIN parts p ON n.row = p.row GROUP BY n.cluster, p.j) s ON m.cluster = s.cluster AND m.j = s.j)"""
+    out = []
+    for i in range(rounds):
+        out += [nearest.format(i=i), move.format(i=i, j=i + 1)]
+    return ",\n".join([*out, nearest.format(i=rounds)])
+
+
+@query("op12_orchard", f"""
+    WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+         parts AS MATERIALIZED (SELECT row, vec_id, unnest(range(64)) AS j, CAST(floor(1024 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM kept),
+         first AS (SELECT row, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS cluster FROM kept WHERE vec_id IS NOT NULL ORDER BY sha256('3:' || vec_id) LIMIT 8),
+         c0 AS MATERIALIZED (SELECT f.cluster, p.j, p.x FROM first f JOIN parts p ON f.row = p.row),
+         {_rounds_sql(10)},
+         named AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS centroid_sha256 FROM c10 GROUP BY cluster)
+    SELECT n.vec_id, CAST(n.cluster AS INTEGER) AS cluster, CAST(n.distance AS BIGINT) AS distance,
+           CAST(sum(n.distance) OVER (PARTITION BY n.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(n.distance) OVER () AS BIGINT) AS inertia, d.centroid_sha256
+    FROM near10 n JOIN named d ON n.cluster = d.cluster""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.cluster(table(spark, sf_dir, "embeddings"))
