@@ -27,8 +27,8 @@ from cleanlake.llm.shingles import mix, word_bounds
 BITS = 18
 BUCKETS = 1 << BITS            # weights of the model; one more is the intercept
 WORDS, SHAPES = 2, 3           # n-grams of words and of shapes, up to so many in a row
-SAMPLE = 20_000                # labelled rows of each class that training takes, in expectation
-SHARDS, ROUNDS, EPOCHS = 8, 3, 2
+SAMPLE = 6_000                 # labelled rows of each class that training takes, in expectation
+SHARDS, ROUNDS, EPOCHS = 8, 2, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.01
 PIECE = 1 << 20                # bytes of text looked at together; n-grams do not cross the pieces of a longer text
 #: Kinds of bytes, as bits: capital, small letter, digit, other sign, part of a letter beyond ASCII.
