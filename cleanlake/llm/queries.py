@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanlake.llm import exact_dedup, jaccard_join, langid, lattice, mixing, orchard, quality_ftrl, secret_forest, separators, sorted_projection, surrogates, warc_store
+from cleanlake.llm import burst_trie, exact_dedup, jaccard_join, langid, lattice, mixing, orchard, quality_ftrl, secret_forest, separators, sorted_projection, surrogates, warc_store
 from cleanlake.llm.common import arrow_rows, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,32 @@ def _rounds_sql(rounds: int) -> str:
     FROM near10 n JOIN named d ON n.cluster = d.cluster""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orchard.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_burst_trie", """
+    WITH table8 AS MATERIALIZED (SELECT list(list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY x) AS t
+                                 FROM range(256) r(x)),
+         turns AS MATERIALIZED (SELECT conv_id, md5(octet_length(encode(role)) || ':' || role || text) AS id, octet_length(encode(text)) AS bytes,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(octet_length(encode(role)) || ':' || role || text)) AS i
+                   FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+         own AS MATERIALIZED (SELECT c.conv_id, c.conv_id - c.conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT,
+                   [ascii(x)::BIGINT for x in string_split(c.conv_id::VARCHAR, '')]), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h
+                   FROM (SELECT DISTINCT conv_id FROM turns) c, table8),
+         parts AS (SELECT o.conv_id, 0 AS part, t.i, t.id, t.bytes FROM own o JOIN turns t ON t.conv_id = o.base AND t.i <= o.h
+                   UNION ALL SELECT o.conv_id, 1, t.i, t.id, t.bytes FROM own o JOIN turns t ON t.conv_id = o.conv_id AND t.i > o.h),
+         rows AS MATERIALIZED (SELECT conv_id, count(*) OVER w AS depth, sha256(string_agg(id, ',') OVER w) AS node, bytes FROM parts
+                   WINDOW w AS (PARTITION BY conv_id ORDER BY part, i ROWS UNBOUNDED PRECEDING)),
+         paths AS MATERIALIZED (SELECT conv_id, depth, node, lag(node, 1, 'root') OVER (PARTITION BY conv_id ORDER BY depth) AS parent, bytes,
+                   depth = max(depth) OVER (PARTITION BY conv_id) AS ended FROM rows
+                   UNION ALL SELECT conv_id, 0, 'root', NULL, 0, conv_id NOT IN (SELECT conv_id FROM rows) FROM own),
+         nodes AS MATERIALIZED (SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(parent) AS parent, count(*) AS n_convs, any_value(bytes) AS bytes,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256 FROM paths GROUP BY node),
+         children AS (SELECT parent, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+         counted AS MATERIALIZED (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.node = c.parent),
+         below AS (SELECT p.node, sum((n.n_convs - 1) * n.bytes) AS saved, count(*) FILTER (n.n_children = 0) AS leaves
+                   FROM counted n JOIN paths q ON q.node = n.node AND q.conv_id = n.conv_id JOIN paths p ON p.conv_id = q.conv_id AND p.depth <= q.depth GROUP BY p.node)
+    SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(n.n_children AS BIGINT) AS n_children,
+           CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+    FROM counted n JOIN below b ON n.node = b.node LEFT JOIN nodes u ON n.parent = u.node""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return burst_trie.prefixes(table(spark, sf_dir, "conversations"))
