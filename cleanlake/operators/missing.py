@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleanlake.core import c, count_if, dbl, durable, numeric_columns, small_frame, spread, text_columns
+from cleanlake.core import c, count_if, dbl, durable, numeric_columns, small_frame, text_columns
 from cleanlake.operators import ordered
+from cleanlake.operators.knn import impute_knn
 from cleanlake.operators.profile import gram, most_frequent, per_column, profile
 from cleanlake.operators.quantiles import exact_quantiles
 
@@ -84,77 +85,6 @@ fill_ordered = ordered.fill
 interpolate = ordered.interpolate
 
 
-# ---------------------------------------------------------------- KNN
-
-def _knn_update(columns: list[str], k: int, target: list[str], donors: np.ndarray, donor_ids: np.ndarray):
-    """Batch function: merge one block of donors into the k nearest kept per missing cell."""
-    d = len(columns)
-    known_d = ~np.isnan(donors)
-    zero_d = np.where(known_d, donors, 0.0)
-    sq_d = zero_d ** 2
-
-    def run(batches):
-        for pdf in batches:
-            x = pdf[columns].to_numpy(dtype=float)
-            known = ~np.isnan(x)
-            z = np.where(known, x, 0.0)
-            best = {t: list(pdf["__nn_" + t]) for t in target}
-            for lo in range(0, len(x), 512):
-                sl = slice(lo, lo + 512)
-                both = known[sl].astype(float) @ known_d.T.astype(float)
-                # NaN-aware squared Euclidean distance, scaled to all columns
-                dist = (z[sl] ** 2) @ known_d.T.astype(float) + known[sl].astype(float) @ sq_d.T - 2 * z[sl] @ zero_d.T
-                dist = np.where(both > 0, np.maximum(dist, 0.0) * d / np.maximum(both, 1.0), np.nan)
-                for t in target:
-                    j = columns.index(t)
-                    cand = np.where(known_d[:, j][None, :], dist, np.nan)
-                    for r in np.nonzero(~known[sl][:, j])[0]:
-                        ok = np.nonzero(~np.isnan(cand[r]))[0]
-                        if len(ok) > k:
-                            kth = np.partition(cand[r][ok], k - 1)[k - 1]
-                            ok = ok[cand[r][ok] <= kth]
-                        new = [(float(cand[r][i]), int(donor_ids[i]), float(donors[i, j])) for i in ok]
-                        old = best[t][lo + r]
-                        old = [(o["d"], o["i"], o["v"]) for o in old] if old is not None else []
-                        best[t][lo + r] = [{"d": a, "i": b, "v": v} for a, b, v in sorted(old + new)[:k]]
-            out = pdf.copy()
-            for t in target:
-                out["__nn_" + t] = best[t]
-            yield out
-    return run
-
-
-def impute_knn(df: DataFrame, columns: list[str], key: str, k: int = 5, donors_per_block: int = 20_000, seed: int = 42) -> DataFrame:
-    """Mean of the k nearest rows (NaN-aware Euclidean distance, ties by key) for every missing numeric cell.
-
-    Recipients stay distributed. Donors are sent in hash blocks of a bounded size, one after the other, and every block is
-    merged into the k nearest found so far, so the result is exact for any number of donors.
-    """
-    base = df.select(c(key), *[dbl(x).alias(x) for x in columns])
-    n_known = [F.count(dbl(x)).alias(x) for x in columns]
-    stats = df.agg(F.count(F.lit(1)).alias("__n"), *n_known, *[F.avg(dbl(x)).alias("m_" + x) for x in columns]).first()
-    target = [x for x in columns if stats[x] < stats["__n"]]
-    if not target:
-        return df
-    missing = F.lit(False)
-    for x in target:
-        missing = missing | c(x).isNull()
-    nn = "array<struct<d:double,i:bigint,v:double>>"
-    state = spread(base.where(missing)).select("*", *[F.lit(None).cast(nn).alias("__nn_" + x) for x in target])
-    donors = base.select(F.xxhash64(c(key)).alias("__id"), *[c(x) for x in columns])
-    blocks = max(1, -(-stats["__n"] // donors_per_block))
-    for b in range(blocks):
-        block = donors.where(F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(blocks)) == b).toPandas()
-        fn = _knn_update(columns, k, target, block[columns].to_numpy(dtype=float), block["__id"].to_numpy())
-        state = state.mapInPandas(fn, state.schema)
-        if blocks > 1:
-            state = durable(state)
-    got = state.select(c(key).alias("__k"), *[F.when(F.size("__nn_" + x) > 0, F.aggregate("__nn_" + x, F.lit(0.0), lambda s, e: s + e["v"]) / F.size("__nn_" + x))
-                                              .otherwise(F.lit(stats["m_" + x])).alias("__v_" + x) for x in target])
-    t = df.join(got, c(key) == F.col("__k"), "left")
-    return t.select(*[F.coalesce(dbl(x), F.col("__v_" + x)).alias(x) if x in target else c(x) for x in df.columns])
-
-
 # ---------------------------------------------------------------- iterative regression
 
 @dataclass

@@ -163,7 +163,11 @@ query("interpolate_linear", ora("events_gaps", f"""WITH i AS (SELECT event_id, t
   k AS (SELECT *, CASE WHEN value IS NOT NULL THEN i END AS ki FROM i), f AS (SELECT *, {LASTV('value')} AS pv, {LASTV('ki')} AS pi, {NEXTV('value')} AS nv, {NEXTV('ki')} AS ni FROM k)
   SELECT event_id, {R('CASE WHEN value IS NOT NULL THEN value WHEN pv IS NOT NULL AND nv IS NOT NULL THEN pv + (nv - pv) * (i - pi) / CAST(ni - pi AS DOUBLE) ELSE pv END')} AS value FROM f"""))(
     lambda s, d: rounded(M.interpolate(eg(s, d), "value", TS).select("event_id", "value")))
-query("impute_knn")(lambda s, d: rounded(M.impute_knn(table(s, d, "customer_geo"), ["c_acctbal", "latitude", "longitude"], "c_custkey", 5).select("c_custkey", "latitude", "longitude")))
+query("impute_knn", ora("customer_geo", f"""WITH pairs AS (SELECT r.c_custkey, d.latitude AS v, 3 / 2.0 * (power(CAST(r.c_acctbal AS DOUBLE) - CAST(d.c_acctbal AS DOUBLE), 2) + power(r.longitude - d.longitude, 2)) AS d2, d.c_custkey AS donor
+    FROM customer_geo r JOIN customer_geo d ON r.latitude IS NULL AND d.latitude IS NOT NULL),
+  best AS (SELECT c_custkey, avg(v) AS v FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY d2, donor) <= 5) GROUP BY c_custkey)
+  SELECT g.c_custkey, {R('coalesce(g.latitude, b.v)')} AS latitude, {R('g.longitude')} AS longitude FROM customer_geo g LEFT JOIN best b ON g.c_custkey = b.c_custkey"""))(
+    lambda s, d: rounded(M.impute_knn(table(s, d, "customer_geo"), ["c_acctbal", "latitude", "longitude"], "c_custkey", 5).select("c_custkey", "latitude", "longitude")))
 
 
 def _iterative(s, d):
@@ -173,7 +177,8 @@ def _iterative(s, d):
 
 
 query("impute_iterative")(_iterative)
-query("impute_auto")(lambda s, d: rounded(M.impute_auto(table(s, d, "customer_geo"), "c_custkey", ["c_custkey"])[0]))
+query("impute_auto", ora("customer_geo", f"SELECT c_custkey, c_name, c_mktsegment, {R('c_acctbal')} AS c_acctbal, {R('coalesce(latitude, (SELECT quantile_cont(latitude, 0.5) FROM customer_geo))')} AS latitude, {R('longitude')} AS longitude FROM customer_geo"))(
+    lambda s, d: rounded(M.impute_auto(table(s, d, "customer_geo"), "c_custkey", ["c_custkey"])[0]))
 query("impute_auto_simple", ora("orders_dirty", f"SELECT o_orderkey, copy, {R('coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM orders_dirty))')} AS o_totalprice, coalesce(o_orderpriority, {MODEP}) AS o_orderpriority FROM orders_dirty"))(
     lambda s, d: rounded(M.impute_simple(od(s, d)).select(*KEY)))
 query("recommend_imputation", od_prof(f"""SELECT col AS "column", CASE WHEN role = 'numeric' THEN CASE WHEN 100.0 * nulls / n > 50 THEN 'knn' WHEN abs(skewp) > 1 THEN 'median' ELSE 'mean' END WHEN 100.0 * nulls / n > 30 THEN 'unknown_category' ELSE 'mode' END AS method,

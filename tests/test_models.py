@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cleanlake.core import c
-from cleanlake.operators import encode, features, missing, outliers, profile, scale
+from cleanlake.operators import knn, encode, features, missing, outliers, profile, scale
 
 
 def gaps(n=120, seed=0):
@@ -31,19 +31,54 @@ def knn_reference(pdf, cols, k):
         for i in range(len(x)):
             both = ~np.isnan(x[r]) & ~np.isnan(x[i])
             if not np.isnan(x[i, col]) and both.any():
-                d.append((((x[r, both] - x[i, both]) ** 2).sum() * len(cols) / both.sum(), x[i, col]))
+                d.append((((x[r, both] - x[i, both]) ** 2).sum() * len(cols) / both.sum(), i, x[i, col]))
         d.sort()
-        out[r, col] = np.mean([v for _, v in d[:k]])
+        out[r, col] = np.mean([v for *_, v in d[:k]])
     return out
 
 
-@pytest.mark.parametrize("block", [1000, 25])
-def test_knn_is_exact_over_blocks(spark, block):
+@pytest.mark.parametrize("cell,most", [(16, 64), (2, 64), (16, 1)])
+def test_knn_is_exact(spark, cell, most, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 25)
     pdf = gaps()
-    got = missing.impute_knn(frame(spark, pdf), ["a", "b", "c"], "id", 4, donors_per_block=block).toPandas().sort_values("id")
+    got = missing.impute_knn(frame(spark, pdf), ["a", "b", "c"], "id", 4, cell=cell, max_patterns=most).toPandas().sort_values("id")
     assert np.allclose(got[["a", "b", "c"]].to_numpy(), knn_reference(pdf, ["a", "b", "c"], 4), atol=1e-6)
 
 
+def test_knn_with_copies_outliers_and_ties(spark):
+    rng = np.random.default_rng(5)
+    n = 400
+    pdf = pd.DataFrame({"id": rng.permutation(n), "a": rng.integers(0, 4, n).astype(float), "b": rng.lognormal(0, 2, n).round(1), "c": rng.random(n) * 100, "d": np.where(np.arange(n) % 3, 7.0, 1e6)})
+    pdf.loc[:130, ["a", "b", "c", "d"]] = [1.0, 2.0, 3.0, 4.0]              # a third of the rows alike
+    for x, m in zip("abcd", (5, 7, 11, 13)):
+        pdf.loc[rng.random(n) < 1 / m, x] = np.nan
+    pdf.loc[3, ["a", "b", "c", "d"]] = np.nan
+    pdf = pdf.sort_values("id").reset_index(drop=True)
+    want = knn_reference(pdf, list("abcd"), 3)
+    want = np.where(np.isnan(want), np.nanmean(pdf[list("abcd")].to_numpy(), axis=0), want)
+    got = missing.impute_knn(frame(spark, pdf).repartition(5), list("abcd"), "id", 3, cell=4).toPandas().sort_values("id")
+    assert np.allclose(got[list("abcd")].to_numpy(), want, atol=1e-6)
+
+
+def test_knn_of_little(spark):
+    schema = "id string, x double, y double, __knn0 string"
+    rows = [("a", 1.0, None, "s"), ("b", None, 2.0, "s"), ("c", None, None, None), ("c", None, None, None)]
+    got = missing.impute_knn(spark.createDataFrame(rows, schema), ["x", "y"], "id").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [("a", 1.0, 2.0, "s"), ("b", 1.0, 2.0, "s"), ("c", 1.0, 2.0, None), ("c", 1.0, 2.0, None)]
+    none = spark.createDataFrame([("a", None, 1.0, ""), ("b", None, None, "")], schema)
+    assert [r.x for r in missing.impute_knn(none, ["x", "y"], "id").collect()] == [None, None]
+    assert missing.impute_knn(none.limit(0), ["x", "y"], "id").count() == 0
+
+
+def test_knn_searches_few_cells(spark):
+    """The first round of a large even table touches a small share of all pairs."""
+    df = spark.range(20000).select("id", F.when(F.col("id") % 50 > 0, F.rand(1)).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("c"))
+    best, target, _ = knn.nearest(df, ["a", "b", "c"], "id", 5)
+    assert target == [0] and best.count() == 400 * 5
+    grids, _, _ = knn._indexes({"111": 19600, "011": 400}, [0], [np.linspace(0, 1, 1023)] * 3, 16)
+    assert len(grids) == 1 and len(grids[0].cuts) == 2 and 800 < np.prod([len(e) + 1 for _, e in grids[0].cuts]) < 1600
+
+
 def test_iterative_recovers_a_line(spark):
     pdf = gaps(400)
     df = frame(spark, pdf)
