@@ -190,7 +190,7 @@ def nearest(df: DataFrame, columns: list[str], key: str, k: int = 5, *, cell: in
     finite = lambda x: F.when(~dbl(x).isin(float("inf"), float("-inf")), dbl(x))
     base = df.select(c(key).alias("id"), *[finite(x).alias(n) for x, n in zip(columns, names)])
     base = base.withColumn("pattern", F.concat(*[F.when(F.col(n).isNull(), "0").otherwise("1") for n in names]))
-    cut = [(i + 1) / FINE for i in range(FINE - 1)]
+    cut = F.expr("array(" + ", ".join(f"{(i + 1) / FINE}D" for i in range(FINE - 1)) + ")")
     row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(dbl(x)).alias(f"k{j}") for j, x in enumerate(columns)], *[F.avg(finite(x)).alias(f"m{j}") for j, x in enumerate(columns)],
                  *[F.percentile_approx(finite(x), cut, 4 * FINE).alias(f"q{j}") for j, x in enumerate(columns)]).first()
     target = [j for j in range(len(columns)) if row[f"k{j}"] < row["n"]]
