@@ -1,11 +1,12 @@
-"""Categorical encoding. Fits are category lists under a cap or look-up tables that stay distributed."""
+"""Categorical encoding. Fits are short category lists or look-up tables that stay distributed, whatever the number of values."""
 
 from __future__ import annotations
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleanlake.core import c, dbl, small_frame, text_columns
+from cleanlake.core import c, dbl, small_frame, text_columns, written
 from cleanlake.operators.profile import profile
 from cleanlake.operators.quantiles import grouped_quantiles
 from cleanlake.operators.skew import group_stats_join, lookup_join
@@ -21,15 +22,53 @@ def _value(column: str) -> Column:
 
 # ---------------------------------------------------------------- one-hot
 
-def onehot(df: DataFrame, columns: list[str], cats: Categories | None = None, *, missing: bool = False, keep: bool = False) -> DataFrame:
-    """0/1 column per value, sorted; `missing` adds an indicator for nulls, `keep` keeps the source."""
-    cats = cats or fit_categories(df, columns)
-    out = [c(x) for x in df.columns if keep or x not in columns]
+WIDE = 1000       # up to so many values become columns of their own; more become one sparse vector
+
+
+def onehot(df: DataFrame, columns: list[str], cats: Categories | None = None, *, missing: bool = False, keep: bool = False, wide: int = WIDE) -> DataFrame:
+    """0/1 column per value, sorted; `missing` adds an indicator for nulls, `keep` keeps the source.
+
+    A column of more than `wide` values becomes one sparse vector `<column>_onehot` instead, with the sorted values' codes as places (see
+    `fit_label`; nulls have the last place with `missing`, else an empty vector).
+    """
+    found = {x: cats.values[x] if cats else (few.values[x] if (few := fit_categories(df, [x], wide)) else None) for x in columns}
+    out = df.select(*[c(x) for x in df.columns if x not in columns or keep or found[x] is None],
+                    *[e for x in columns if found[x] is not None for e in
+                      [F.coalesce((c(x).cast("string") == v).cast("int"), F.lit(0)).alias(f"{x}_{v}") for v in found[x]] + ([c(x).isNull().cast("int").alias(f"{x}_nan")] if missing else [])])
     for x in columns:
-        out += [F.coalesce((c(x).cast("string") == v).cast("int"), F.lit(0)).alias(f"{x}_{v}") for v in cats.values[x]]
-        if missing:
-            out.append(c(x).isNull().cast("int").alias(f"{x}_nan"))
-    return df.select(*out)
+        if found[x] is None:
+            out = onehot_vector(out, x, missing=missing)
+            out = out if keep else out.drop(x)
+    return out
+
+
+def fit_values(df: DataFrame, column: str) -> DataFrame:
+    """value, code: the sorted distinct known values, numbered from 0."""
+    from cleanlake.operators.ordered import with_index
+    return with_index(df.where(c(column).isNotNull()).select(c(column).cast("string").alias("value")).distinct(), ["value"], "code")
+
+
+def onehot_vector(df: DataFrame, column: str, fit: DataFrame | None = None, *, missing: bool = False, name: str | None = None) -> DataFrame:
+    """One sparse vector with a 1 at the value's code. Unknown values and, without `missing`, nulls have no 1."""
+    fit = fit if fit is not None else written(fit_values(df, column), "onehot-values")
+    n = fit.count()
+    known = c(column).isNotNull()
+    t = lookup_join(df.withColumn("__value", c(column).cast("string")), fit.select(F.col("value").alias("__value"), F.col("code").alias("__code")), ["__value"], "left")
+    # The last place stands for null, the one after it for nothing, which the encoder leaves out.
+    t = t.withColumn("__code", F.coalesce(F.col("__code"), F.when(~known & F.lit(missing), n).otherwise(n + int(missing))).cast("double"))
+    return _places(t, n + int(missing), name or column + "_onehot").drop("__value", "__code")
+
+
+def _places(df: DataFrame, size: int, name: str) -> DataFrame:
+    top = df.sparkSession.createDataFrame([(float(size),)], "__code double")
+    encoder = OneHotEncoder(inputCol="__code", outputCol=name, dropLast=True).fit(top)
+    return encoder.transform(df)
+
+
+def onehot_long(df: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
+    """key, column, value: one row per known cell, the long form of one-hot columns of any number."""
+    cells = F.array(*[F.struct(F.lit(x).alias("column"), c(x).cast("string").alias("value")) for x in columns])
+    return df.select(*[c(k) for k in key], F.inline(cells)).where("value is not null")
 
 
 # ---------------------------------------------------------------- look-up tables
@@ -57,12 +96,16 @@ def label(df: DataFrame, column: str, fit: DataFrame | None = None, name: str |
 
 def ordinal(df: DataFrame, column: str, order: list[str] | None = None, unknown: str = "error", name: str | None = None) -> DataFrame:
     """Position in the given order (or the sorted values). unknown: error or null."""
-    order = order or fit_categories(df, [column]).values[column]
-    case = F
-    for i, v in enumerate(order):
-        case = case.when(c(column).cast("string") == v, F.lit(i))
-    other = F.when(c(column).isNotNull(), F.raise_error(F.concat(F.lit(f"unknown category in {column}: "), c(column).cast("string"))).cast("int")) if unknown == "error" else F.lit(None).cast("int")
-    return df.withColumn(name or column + "_ordinal", case.otherwise(other))
+    new = name or column + "_ordinal"
+    fit = fit_values(df, column) if order is None else small_frame(df.sparkSession, [(v, i) for i, v in enumerate(order)], "value string, code long")
+    t = fit.select(F.col("value").alias("__value"), F.col("code").cast("int").alias("__code"))
+    out = lookup_join(df.withColumn("__value", c(column).cast("string")), t, ["__value"], "left")
+    strange = F.col("__code").isNull() & c(column).isNotNull()
+    if unknown == "error":
+        code = F.when(strange, F.raise_error(F.concat(F.lit(f"unknown category in {column}: "), F.col("__value"))).cast("int")).otherwise(F.col("__code"))
+    else:
+        code = F.col("__code")
+    return out.select(*[c(x) for x in df.columns if x != new], code.alias(new))
 
 
 def binary(df: DataFrame, column: str, fit: DataFrame | None = None) -> DataFrame:
@@ -88,18 +131,27 @@ def target(df: DataFrame, column: str, target_col: str, fit: DataFrame | None =
     return _apply(df, column, fit, {"encoded": new}).withColumn(new, F.coalesce(c(new), F.lit(prior)))
 
 
+def _exact_sum(x: Column) -> Column:
+    """Sum of a double column that does not depend on the order of the rows: the decimal part to ten places exactly, and what is left of it."""
+    part = x.try_cast("decimal(28,10)")
+    return F.coalesce(F.sum(part).cast("double"), F.lit(0.0)) + F.coalesce(F.sum(x - F.coalesce(part.cast("double"), F.lit(0.0))), F.lit(0.0))
+
+
 def target_out_of_fold(df: DataFrame, column: str, target_col: str, key: str, folds: int = 5, smoothing: float = 10.0, name: str | None = None) -> DataFrame:
-    """Target encoding in which a row never sees its own fold (folds by key modulo)."""
+    """Target encoding in which a row never sees its own fold (folds by key modulo). Sums are exact, so that runs agree to the last digit."""
     new = name or column + "_target_encoded"
-    prior = df.agg(F.avg(dbl(target_col))).first()[0] or 0.0
+    y = dbl(target_col)
+    total = df.agg(_exact_sum(y).alias("s"), F.count(y).alias("n")).first()
+    prior = total["s"] / total["n"] if total["n"] else 0.0
     fold = F.pmod(c(key), F.lit(folds)).cast("int")
-    per = df.groupBy(_value(column).alias("value"), fold.alias("fold")).agg(F.count(dbl(target_col)).alias("n"), F.sum(dbl(target_col)).alias("s"))
-    total = per.groupBy("value").agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "s")))).alias("by"))
-    t = total.select(F.col("value").alias("__value"), "tn", "ts", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("__fold"), "by")
+    value = _value(column)
+    per = df.groupBy(value.alias("value"), fold.alias("fold")).agg(F.count(y).alias("n"), _exact_sum(y).alias("s"))
+    whole = per.groupBy("value").agg(F.sum("n").alias("tn"), _exact_sum(F.col("s")).alias("ts"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "s")))).alias("by"))
+    t = whole.select(F.col("value").alias("__value"), "tn", "ts", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("__fold"), "by")
     own = F.try_element_at("by", F.col("__fold"))
-    n, s = F.col("tn") - F.coalesce(own["n"], F.lit(0)), F.coalesce("ts", F.lit(0.0)) - F.coalesce(own["s"], F.lit(0.0))
+    n, s = F.col("tn") - F.coalesce(own["n"], F.lit(0)), F.col("ts") - F.coalesce(own["s"], F.lit(0.0))
     t = t.select("__value", "__fold", ((s + smoothing * prior) / (n + smoothing)).alias("__enc"))
-    out = lookup_join(df.withColumn("__value", _value(column)).withColumn("__fold", fold), t, ["__value", "__fold"], "left")
+    out = lookup_join(df.withColumn("__value", value).withColumn("__fold", fold), t, ["__value", "__fold"], "left")
     return out.select(*[c(x) for x in df.columns], F.coalesce("__enc", F.lit(prior)).alias(new))
 
 
@@ -196,7 +248,7 @@ def auto(df: DataFrame, columns: list[str] | None = None, limit: int = 10) -> Da
 
 
 def bulk(df: DataFrame, strategy: str = "smart", columns: list[str] | None = None, target_col: str | None = None) -> DataFrame:
-    """strategy: smart, onehot (<= 20 values), label, target. Sources are kept."""
+    """strategy: smart, onehot (columns up to 20 values, one sparse vector above), label, target. Sources are kept, every column is encoded."""
     cols = columns or text_columns(df)
     card = _small_cardinality(df, cols)
     out = df
@@ -206,7 +258,7 @@ def bulk(df: DataFrame, strategy: str = "smart", columns: list[str] | None = Non
         elif strategy == "label":
             out = label(out, x, name=x + "_label_encoded")
         elif strategy == "onehot":
-            out = onehot(out, [x], missing=True, keep=True) if card[x] <= 20 else out
+            out = onehot(out, [x], missing=True, keep=True, wide=20)
         elif card[x] <= 2:
             out = label(out, x)
         elif card[x] <= 10:

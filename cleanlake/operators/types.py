@@ -203,21 +203,22 @@ class Categories:
     values: dict[str, list[str]]
 
 
-def fit_categories(df: DataFrame, columns: list[str], cap: int = 1000) -> Categories:
-    """Distinct values per column; fails above the cap instead of gathering an unbounded list."""
+def fit_categories(df: DataFrame, columns: list[str], cap: int = 1000) -> Categories | None:
+    """Sorted distinct values per column, or None when a column has more than `cap`: a list on the driver is for few values only."""
     got = {}
     for x in columns:
         rows = df.where(c(x).isNotNull()).select(c(x).cast("string").alias("v")).distinct().limit(cap + 1).collect()
         if len(rows) > cap:
-            raise ValueError(f"{x} has more than {cap} categories; use encode_hash or keep it as text")
+            return None
         got[x] = sorted(r["v"] for r in rows)
     return Categories(got)
 
 
 def to_category(df: DataFrame, columns: list[str], categories: Categories | None = None) -> DataFrame:
-    """Text restricted to its category list; a value outside a given list becomes null."""
-    cats = categories or fit_categories(df, columns)
-    return _replace(df, {x: F.when(c(x).cast("string").isin(cats.values[x]), c(x).cast("string")) if cats.values[x] else F.lit(None).cast("string")
+    """Text restricted to its category list; a value outside a given list becomes null. Without a list every value is a category."""
+    if categories is None:
+        return _replace(df, {x: c(x).cast("string") for x in columns})
+    return _replace(df, {x: F.when(c(x).cast("string").isin(categories.values[x]), c(x).cast("string")) if categories.values[x] else F.lit(None).cast("string")
                          for x in columns})
 
 

@@ -34,12 +34,21 @@ query("encode_label_high_cardinality", f"SELECT o_orderkey, code AS key_text_enc
     lambda s, d: E.label(table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % 100003).cast("string").alias("key_text")), "key_text").select("o_orderkey", "key_text_encoded"))
 query("encode_ordinal", "SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS o_orderstatus_ordinal FROM orders")(
     lambda s, d: E.ordinal(table(s, d, "orders"), "o_orderstatus", ["P", "O", "F"]).select("o_orderkey", "o_orderstatus_ordinal"))
+CARD = "(SELECT o_orderkey, CAST(o_orderkey * 7919 % 100003 AS VARCHAR) AS key_text FROM orders)"
+many = lambda s, d: table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % 100003).cast("string").alias("key_text"))
+# columns of as many values as rows: one-hot as a sparse vector, ordinal by the sorted position
+query("encode_onehot_high_cardinality", f"SELECT o_orderkey, [code] AS places, (SELECT count(DISTINCT key_text) FROM {CARD}) AS size FROM {CARD} JOIN {LABEL(CARD, 'key_text')} ON v = key_text")(
+    lambda s, d: E.onehot(many(s, d), ["key_text"]).select("o_orderkey", F.from_json(F.to_json(F.struct(F.col("key_text_onehot").alias("v"))), "v struct<size long, indices array<long>>").alias("j")).select("o_orderkey", F.col("j.v.indices").alias("places"), F.col("j.v.size").alias("size")))
+query("encode_ordinal_high_cardinality", f"SELECT o_orderkey, CAST(code AS INT) AS key_text_ordinal FROM {CARD} JOIN {LABEL(CARD, 'key_text')} ON v = key_text")(
+    lambda s, d: E.ordinal(many(s, d), "key_text").select("o_orderkey", "key_text_ordinal"))
+query("encode_bulk_onehot", f"SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INT) AS o_orderstatus_F, CAST(o_orderstatus = 'O' AS INT) AS o_orderstatus_O, CAST(o_orderstatus = 'P' AS INT) AS o_orderstatus_P, CAST(o_orderstatus IS NULL AS INT) AS o_orderstatus_nan, code AS place FROM orders JOIN {LABEL('(SELECT CAST(o_custkey AS VARCHAR) AS cust FROM orders)', 'cust')} ON v = CAST(o_custkey AS VARCHAR)")(
+    lambda s, d: E.bulk(table(s, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_custkey").cast("string").alias("cust")), "onehot").select("o_orderkey", "o_orderstatus_F", "o_orderstatus_O", "o_orderstatus_P", "o_orderstatus_nan", F.from_json(F.to_json(F.struct(F.col("cust_onehot").alias("v"))), "v struct<indices array<long>>")["v"]["indices"][0].alias("place")))
 query("encode_binary", f"SELECT p_partkey, " + ", ".join(f"CAST(((code + 1) >> {4 - i}) & 1 AS INT) AS p_brand_{i}" for i in range(5)) + f" FROM part JOIN {LABEL('part', 'p_brand')} ON v = p_brand")(
     lambda s, d: E.binary(part(s, d).select("p_partkey", "p_brand"), "p_brand").drop("p_brand"))
 TGT = lambda t, col, y: f"SELECT coalesce({col}, 'missing') AS v, (sum({y}) + 10 * (SELECT avg({y}) FROM {t})) / (count({y}) + 10) AS enc FROM {t} GROUP BY 1"
 query("encode_target", ora("orders_dirty", f"SELECT o_orderkey, copy, {R('enc', 3)} AS encoded FROM orders_dirty JOIN ({TGT('orders_dirty', 'o_orderpriority', 'o_totalprice')}) ON v = coalesce(o_orderpriority, 'missing')"))(
     lambda s, d: E.target(od(s, d), "o_orderpriority", "o_totalprice", name="encoded").select("o_orderkey", "copy", rnd("encoded", 3).alias("encoded")))
-query("encode_target_out_of_fold", f"""WITH g AS (SELECT p_brand, p_partkey % 5 AS f, count(*) AS n, sum(p_retailprice) AS s FROM part GROUP BY 1, 2), t AS (SELECT p_brand, sum(n) AS n, sum(s) AS s FROM g GROUP BY 1), a AS (SELECT avg(p_retailprice) AS m FROM part)
+query("encode_target_out_of_fold", f"""WITH g AS (SELECT p_brand, p_partkey % 5 AS f, count(*) AS n, CAST(sum(CAST(p_retailprice AS DECIMAL(28, 10))) AS DOUBLE) AS s FROM part GROUP BY 1, 2), t AS (SELECT p_brand, count(*) AS n, CAST(sum(CAST(p_retailprice AS DECIMAL(28, 10))) AS DOUBLE) AS s FROM part GROUP BY 1), a AS (SELECT CAST(sum(CAST(p_retailprice AS DECIMAL(28, 10))) AS DOUBLE) / count(p_retailprice) AS m FROM part)
   SELECT p_partkey, {R('(t.s - g.s + 10 * m) / (t.n - g.n + 10)', 3)} AS encoded FROM part p JOIN g ON g.p_brand = p.p_brand AND g.f = p_partkey % 5 JOIN t ON t.p_brand = p.p_brand, a""")(
     lambda s, d: E.target_out_of_fold(part(s, d), "p_brand", "p_retailprice", "p_partkey", name="encoded").select("p_partkey", rnd("encoded", 3).alias("encoded")))
 query("encode_frequency", ora("orders_dirty", "SELECT o_orderkey, copy, CASE WHEN o_orderpriority IS NOT NULL THEN count(*) OVER (PARTITION BY o_orderpriority) END AS o_orderpriority_freq FROM orders_dirty"))(

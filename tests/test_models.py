@@ -186,8 +186,16 @@ def test_encoding_edges(spark):
     with pytest.raises(Exception):
         encode.ordinal(df, "s", ["a"]).collect()
     assert encode.ordinal(df, "s", ["a"], unknown="null").where("s_ordinal IS NULL").count() == 3
-    with pytest.raises(ValueError):
-        encode.fit_categories(spark.range(50).select(F.col("id").cast("string").alias("s")), ["s"], cap=10)
+    many = spark.range(50).select("id", F.when(F.col("id") > 0, F.format_string("%02d", "id")).alias("s"))
+    assert encode.fit_categories(many, ["s"], cap=10) is None
+    vec = {r["id"]: r["s_onehot"] for r in encode.onehot(many, ["s"], missing=True, wide=10).collect()}
+    assert all(v.size == 50 and v.indices.tolist() == [i - 1 if i else 49] for i, v in vec.items())
+    bare = {r["id"]: r["s_onehot"] for r in encode.onehot(many, ["s"], wide=10).collect()}
+    assert bare[0].size == 49 and not len(bare[0].indices) and bare[49].indices.tolist() == [48]
+    long = encode.onehot_long(many, ["s"], ["id"]).collect()
+    assert len(long) == 49 and {r["column"] for r in long} == {"s"}
+    sizes = {r["id"]: r["s_ordinal"] for r in encode.ordinal(many, "s").collect()}
+    assert sizes == {0: None, **{i: i - 1 for i in range(1, 50)}}
 
 
 def test_model_selection_finds_the_signal(spark):
