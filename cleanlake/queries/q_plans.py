@@ -44,6 +44,16 @@ def _csv(s, d, sep=","):
 query("scan_delimited", CU)(_csv)
 
 
+def _broken(s, d):
+    p = scratch_path(s, "csv-lines")
+    SK.sink_csv(table(s, d, "documents").select("doc_id", "text", "lang", "n_chars"), p)
+    return SC.scan_delimited(s, p, schema="doc_id long, text string, lang string, n_chars long")
+
+
+# texts with line breaks, quotes and separators survive the round trip
+query("scan_delimited_line_breaks", "SELECT doc_id, nullif(text, '') AS text, nullif(lang, '') AS lang, n_chars FROM documents")(_broken)
+
+
 def _tsv(s, d):
     p = scratch_path(s, "tsv")
     SK.sink_csv(cu(s, d), p, sep="\t")

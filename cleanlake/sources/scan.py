@@ -2,29 +2,138 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cleanlake.core import c, nan_to_null
+from cleanlake.core import c, nan_to_null, qn, written
 
 FORMATS = {"csv": "csv", "tsv": "csv", "txt": "csv", "json": "json", "parquet": "parquet", "orc": "orc", "xml": "xml"}
 DELIMITERS = [",", "\t", ";", "|"]
 
 
-def scan_delimited(spark: SparkSession, path: str | list[str], sep: str = ",", schema: str | T.StructType | None = None) -> DataFrame:
-    """Header row; types inferred unless a schema is given (inference costs one more pass over the files)."""
-    r = spark.read.option("header", True).option("sep", sep).option("multiLine", False).option("escape", '"').option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
+OPTIONS = {"escape": '"', "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+
+
+def scan_delimited(spark: SparkSession, path: str | list[str], sep: str = ",", schema: str | T.StructType | None = None, multiline: bool | None = None) -> DataFrame:
+    """Header row; types inferred unless a schema is given (inference costs one more pass over the files).
+
+    Quoted values may hold line breaks. multiline=None looks for them in one pass over the lines (JVM only): without any, the files go
+    through the plain reader; otherwise, or with multiline=True, records are put together block by block (see `csv_records`).
+    Either way a file is read by as many tasks as it has blocks. A quote inside a value is doubled, and a value with one is quoted.
+    An empty value is missing, quoted or not.
+    """
+    if multiline is None:
+        broken = _lines(spark, path).where(_quotes("value") % 2 == 1)
+        multiline = not broken.isEmpty()
+    if multiline:
+        return nan_to_null(_scan_records(spark, path, sep, schema))
+    r = spark.read.options(header=True, sep=sep, multiLine=False, **OPTIONS)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
     return nan_to_null(r.csv(path))
 
 
+def _quotes(column: str) -> Column:
+    return F.length(column) - F.length(F.replace(F.col(column), F.lit('"'), F.lit("")))
+
+
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """value, file, block of every line, in the order of its block within a task. Line feeds end lines, so carriage returns stay."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def _joined(frames):
+    """Puts the lines of a block together: whole records, and the pieces of records that other blocks hold the rest of.
+
+    A piece is what comes before the first line that starts a record (role head), or the last record when its quote is still open (tail).
+    """
+    def rows(key, parts, head, start, open_end):
+        role = "head" if head else "tail" if open_end else "record"
+        return (*key, role, "\n".join(parts), start)
+
+    key, held, is_open, head, first, out = None, [], False, False, False, []
+
+    def flush():
+        if held:
+            out.append(rows(key, held, head, first, is_open))
+
+    for f in frames:
+        counts = f["value"].str.count('"').to_numpy()
+        for value, file, block, begins_open, n in zip(f["value"], f["file"], f["block"], f["open"], counts):
+            if (file, block) != key:
+                flush()
+                key, held, is_open, head, first = (file, block), [], bool(begins_open), bool(begins_open), block == 0
+            elif not is_open:                 # the line before ended a record
+                flush()
+                held, head, first = [], False, False
+            held.append(value)
+            is_open ^= bool(n % 2)
+        if out:
+            yield pd.DataFrame(out, columns=["file", "block", "role", "record", "first"])
+            out.clear()
+    flush()
+    if out:
+        yield pd.DataFrame(out, columns=["file", "block", "role", "record", "first"])
+
+
+def csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """record, first (the file's first one) of every CSV record, read in blocks although quoted values may hold line breaks.
+
+    One pass counts the quotes of every block; a running sum over the blocks of a file (one row each) tells which blocks begin inside a
+    quoted value. With that, each block's lines are put together on their own in a second pass, and only the pieces of records that cross a
+    border meet again: a head belongs to the last block before it that ends with an open record.
+    """
+    lines = _lines(spark, path)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "block").agg(F.sum(_quotes("value")).alias("n"))
+    inside = written(blocks.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) % 2 == 1).alias("open")).where("open"), "csv-blocks")
+    # At most one row per block of the files; a broadcast keeps the lines in their order.
+    marked = lines.join(F.broadcast(inside), ["file", "block"], "left").select("value", "file", "block", F.coalesce("open", F.lit(False)).alias("open"))
+    parts = written(marked.mapInPandas(_joined, "file string, block long, role string, record string, first boolean"), "csv-records")
+    pieces = parts.where("role <> 'record'")
+    upto = Window.partitionBy("file").orderBy("block", F.col("role") == "tail").rowsBetween(Window.unboundedPreceding, 0)
+    owner = F.last(F.when(F.col("role") == "tail", F.struct("block", "first")), ignorenulls=True)
+    # A tail opens a record; heads up to the next tail close or go on with it.
+    cut = pieces.select("file", "block", "role", "first").withColumn("owner", owner.over(upto))
+    whole = pieces.drop("first").join(cut.drop("first"), ["file", "block", "role"]).groupBy("file", F.col("owner.block").alias("start"), F.col("owner.first").alias("first"))
+    listed = F.sort_array(F.collect_list(F.struct("block", F.when(F.col("role") == "tail", 1).otherwise(0).alias("late"), "record")))
+    whole = whole.agg(F.array_join(F.transform(listed, lambda x: x["record"]), "\n").alias("record"))
+    return parts.where("role = 'record'").select("record", "first").unionByName(whole.select("record", "first"))
+
+
+def _scan_records(spark: SparkSession, path: str | list[str], sep: str, schema: str | T.StructType | None) -> DataFrame:
+    records = csv_records(spark, path).withColumn("record", F.regexp_replace("record", r"\r$", ""))
+    top = records.where("first").first()
+    if top is None:
+        return spark.createDataFrame([], schema if schema is not None else T.StructType())
+    if schema is None:
+        names = next(csv.reader([top["record"]], delimiter=sep))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        infer = True
+    else:
+        schema, infer = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema), False
+    body = records.where(~F.col("first") & (F.length("record") > 0))
+    fields = ", ".join(f"{qn(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
+    rows = body.select(F.from_csv("record", fields, {"sep": sep, "multiLine": "true", **OPTIONS}).alias("r")).select("r.*")
+    return _typed(rows) if infer else rows
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    """Columns cast to the narrowest type that all of their values have: int, bigint, double, timestamp, boolean, else text."""
+    kinds = ["int", "bigint", "double", "timestamp", "boolean"]
+    fits = rows.agg(*[F.coalesce(F.bool_and(c(x).isNull() | c(x).try_cast(k).isNotNull()), F.lit(False)).alias(f"{i}_{k}") for i, x in enumerate(rows.columns) for k in kinds]).first()
+    chosen = [next((k for k in kinds if fits[f"{i}_{k}"]), "string") for i in range(len(rows.columns))]
+    return rows.select(*[c(x).cast(k).alias(x) for x, k in zip(rows.columns, chosen)])
+
+
 def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
     """Nested structs to columns with dotted names, at any depth."""
     def leaves(t: T.StructType, path: list[str]):
@@ -68,7 +177,7 @@ def scan_zip_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", ro
 
     An archive without a CSV member stops the job.
     """
-    names = [f.name for f in T._parse_datatype_string(schema).fields]
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
     text = ", ".join(f"`{n}` string" for n in names)
 
     def unzip(batches):
@@ -85,7 +194,7 @@ def scan_zip_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", ro
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
     raw = files.mapInPandas(unzip, text)
-    types = {f.name: f.dataType for f in T._parse_datatype_string(schema).fields}
+    types = {f.name: f.dataType for f in T.StructType.fromDDL(schema).fields}
     return raw.select(*[c(n).try_cast(types[n]).alias(n) for n in names])
 
 

@@ -12,10 +12,11 @@ from cleanlake.operators import selection as SE
 
 
 def sink_csv(df: DataFrame, path: str, index_by: list[str] | None = None, sep: str = ",") -> None:
-    """index_by: also write the 0-based row number in that order as the first column `index`."""
+    """index_by: also write the 0-based row number in that order as the first column `index`. Texts are written whole: blanks at their ends stay,
+    and texts with a separator, a quote or a line break are quoted."""
     if index_by:
         df = ordered.with_index(df, index_by, "index").select("index", *[c(x) for x in df.columns])
-    df.write.mode("error").option("header", True).option("sep", sep).option("escape", '"').option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").csv(path)
+    df.write.mode("error").option("header", True).option("sep", sep).options(escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").csv(path)
 
 
 def sink_json(df: DataFrame, path: str) -> None:

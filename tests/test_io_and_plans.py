@@ -166,3 +166,46 @@ def test_package_is_readable(spark, sf):
     sink.sink_package(table(spark, sf, "orders"), path)
     assert spark.read.parquet(path + "/data").count() == table(spark, sf, "orders").count()
     assert spark.read.option("header", True).csv(path + "/column_info").count() == 6
+
+
+TEXTS = ["plain", "two\nlines", 'a "quoted" word', "x,y;z", "", None, "crlf\r\nkept\rhere", "\n\n\n", "  blanks  ", '"', '""', "long\n" * 3000, "é漢😀\n", "\\n \\", "#no comment", 'end"\n"', "\t"]
+
+
+def _rows(n):
+    return [(i, TEXTS[i % len(TEXTS)], i % 7 * 0.5, None if i % 5 else f"t{i}") for i in range(n)]
+
+
+def _missing(rows):
+    """Rows as read back: an empty value is a missing one."""
+    return sorted(((i, t or None, v, s) for i, t, v, s in rows), key=repr)
+
+
+@pytest.mark.parametrize("sep", [",", "\t"])
+def test_line_breaks_survive_in_blocks(spark, tmp_path, sep):
+    rows = _rows(340)
+    df = spark.createDataFrame(rows, "id long, text string, v double, s string")
+    sink.sink_csv(df.coalesce(1), str(tmp_path / "t"), sep=sep)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")      # values are longer than a block
+        lines = scan._lines(spark, str(tmp_path / "t"))
+        assert lines.rdd.getNumPartitions() > 50
+        got = scan.scan_delimited(spark, str(tmp_path / "t"), sep, df.schema)
+        assert sorted(map(tuple, got.collect()), key=repr) == _missing(rows)
+        assert scan.csv_records(spark, str(tmp_path / "t")).where("first").count() == 1
+        loose = scan.scan_delimited(spark, str(tmp_path / "t"), sep)
+        assert [t for _, t in loose.dtypes] == ["int", "string", "double", "string"] and loose.count() == 340
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_line_breaks_over_files_and_without_rows(spark, tmp_path):
+    rows = _rows(60)
+    df = spark.createDataFrame(rows, "id long, text string, v double, s string")
+    sink.sink_csv(df.repartition(5), str(tmp_path / "many"))
+    got = scan.scan_delimited(spark, str(tmp_path / "many"), schema=df.schema)
+    assert sorted(map(tuple, got.collect()), key=repr) == _missing(rows)
+    sink.sink_csv(df.limit(0), str(tmp_path / "none"))
+    assert scan.scan_delimited(spark, str(tmp_path / "none"), schema=df.schema, multiline=True).count() == 0
+    (tmp_path / "by_hand.csv").write_bytes(b'a,b\r\n1,"x\r\ny"\r\n2,z\r\n')
+    assert [tuple(r) for r in scan.scan_delimited(spark, str(tmp_path / "by_hand.csv")).orderBy("a").collect()] == [(1, "x\r\ny"), (2, "z")]
