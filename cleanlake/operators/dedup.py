@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleanlake.core import c, share
+from cleanlake.core import c, share, small_frame
 from cleanlake.operators.profile import distinct_groups
 from cleanlake.operators.skew import group_stats_join, skew_join
 
@@ -113,7 +114,8 @@ def dedup_column(df: DataFrame, column: str, keep: str, order_by: list[str]) ->
 
 
 def near(df: DataFrame, columns: list[str], key: str, max_differences: int = 1) -> DataFrame:
-    """Pairs of distinct value tuples that differ in 1..k of the columns, null being equal to null.
+    """Pairs of distinct value tuples that differ in 1..k of the columns, null being equal to null. Their number may grow with the square of a block:
+    `near_blocks` says the same in rows linear in the input, `near_counts` how many pairs there would be.
 
     Equal rows are collapsed first: `left_key`/`right_key` are the smallest keys of each side and `row_pairs` is the
     number of row pairs the two tuples stand for. For each choice of m-k columns the tuples are joined on them (an equi
@@ -142,6 +144,50 @@ def near(df: DataFrame, columns: list[str], key: str, max_differences: int = 1)
     return out
 
 
+def near_blocks(df: DataFrame, columns: list[str], key: str, max_differences: int = 1) -> DataFrame:
+    """Rows that differ in at most k of the columns, as blocks instead of pairs; null equals null.
+
+    A block is a choice of m - k columns (`fixed`) and values that at least two distinct tuples share there, so all its members are near each
+    other, and every near pair is in a block. One row per member: fixed, block (its smallest key), member (smallest key of the tuple), rows (that
+    have the tuple), block_members, block_rows. There are at most C(m, k) rows per distinct tuple, however large the blocks: a tuple is
+    exploded once, blocks are counted by one grouped aggregation, and large ones meet their members by a salted join.
+    """
+    t = _near_parts(df, columns, key, [len(columns) - max_differences])
+    values = [f"__v{i}" for i in range(len(columns))]
+    t = group_stats_join(t, ["fixed", *values], {"block": F.min("member"), "block_members": F.count(F.lit(1)), "block_rows": F.sum("rows")}, where=F.col("__n") > 1, spread_by=["member"])
+    return t.select("fixed", "block", "member", "rows", "block_members", "block_rows")
+
+
+def _near_parts(df: DataFrame, columns: list[str], key: str, sizes: list[int]) -> DataFrame:
+    """Every distinct tuple once per choice of `sizes` columns: fixed, the values of these columns (others null), member, rows."""
+    m = len(columns)
+    if not all(1 <= n < m for n in sizes):
+        raise ValueError("max_differences must be at least 1 and below the number of columns")
+    t = df.groupBy(*[c(x).alias(f"__v{i}") for i, x in enumerate(columns)]).agg(F.min(c(key)).alias("member"), F.count(F.lit(1)).alias("rows"))
+    choices = [set(x) for n in sizes for x in combinations(range(m), n)]
+    part = lambda chosen: F.struct(F.lit(",".join(columns[i] for i in sorted(chosen))).alias("fixed"), F.lit(len(chosen)).alias("size"),
+                                   *[(F.col(f"__v{i}") if i in chosen else F.lit(None).cast(t.schema[f"__v{i}"].dataType)).alias(f"__v{i}") for i in range(m)])
+    return t.select("member", "rows", F.inline(F.array(*[part(x) for x in choices])))
+
+
+def near_counts(df: DataFrame, columns: list[str], max_differences: int = 1) -> DataFrame:
+    """differences, pairs (of distinct tuples), row_pairs: how many pairs differ in exactly 1..k columns, without forming a pair.
+
+    Blocks of every choice of j columns count the pairs that agree there; a pair that agrees in a columns is counted C(a, j) times, so the exact
+    numbers follow from the largest j down.
+    """
+    m, k = len(columns), max_differences
+    parts = _near_parts(df.withColumn("__one", F.lit(1)), columns, "__one", list(range(m - k, m)))
+    blocks = parts.groupBy("fixed", "size", *[f"__v{i}" for i in range(m)]).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"), F.sum("rows").cast("decimal(38,0)").alias("r"),
+                                                                                F.sum(F.col("rows").cast("decimal(19,0)") * F.col("rows")).alias("own"))
+    counts = blocks.groupBy("size").agg(F.sum(F.expr("n * (n - 1) / 2")).alias("pairs"), F.sum(F.expr("(r * r - own) / 2")).alias("row_pairs")).collect()
+    found = {r["size"]: [int(r["pairs"]), int(r["row_pairs"])] for r in counts}      # one row per number of columns
+    exact: dict[int, list[int]] = {}
+    for a in range(m - 1, m - k - 1, -1):
+        exact[a] = [found.get(a, [0, 0])[i] - sum(comb(b, a) * exact[b][i] for b in exact) for i in (0, 1)]
+    return small_frame(df.sparkSession, [(m - a, *x) for a, x in exact.items()], "differences int, pairs long, row_pairs long")
+
+
 def similar_positions(df: DataFrame, column: str, threshold: float = 0.8) -> DataFrame:
     """Pairs of distinct lower-cased values of equal length with more than `threshold` equal characters by position.
 

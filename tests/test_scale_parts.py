@@ -144,6 +144,16 @@ def test_near_duplicates(spark, k):
         if 1 <= d <= k:
             want[tuple(sorted((min(xs), min(ys))))] = (d, len(xs) * len(ys))
     assert got == want
+    df = spark.createDataFrame(data, "id long, a int, b int, c int, d int")
+    counts = {r["differences"]: (r["pairs"], r["row_pairs"]) for r in dedup.near_counts(df, ["a", "b", "c", "d"], k).collect()}
+    assert counts == {n: (len(x := [v for v in want.values() if v[0] == n]), sum(v[1] for v in x)) for n in range(1, k + 1)}
+    rows = dedup.near_blocks(df, ["a", "b", "c", "d"], "id", k).collect()
+    blocks = {}
+    for r in rows:
+        blocks.setdefault((r["fixed"], r["block"]), []).append(r)
+    assert {tuple(sorted((x["member"], y["member"]))) for b in blocks.values() for x, y in itertools.combinations(b, 2)} == set(want)
+    assert all(len(b) == b[0]["block_members"] > 1 and sum(r["rows"] for r in b) == b[0]["block_rows"] and min(r["member"] for r in b) == b[0]["block"] for b in blocks.values())
+    assert len(rows) <= len(list(itertools.combinations("abcd", k))) * len(groups)
 
 
 def test_range_join(spark):
