@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import pyarrow
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,6 +118,15 @@ def written(df: DataFrame, name: str = "written") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(path: str) -> None:
+    """Deletes a table that `written` or a step left in the shared folder; what cannot be deleted stays."""
+    try:
+        fs, at = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+        fs.delete_dir(at)
+    except (OSError, pyarrow.ArrowInvalid):
+        return
+
+
 def small_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """DataFrame from a driver-side list whose length is bounded by the number of columns, rules or parameters."""
     return spark.createDataFrame(rows, schema).coalesce(1)

@@ -7,60 +7,46 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanlake.core import count_if, durable, numeric_columns, roles, small_frame, text_columns
+from cleanlake.core import c, count_if, numeric_columns, roles, small_frame, text_columns
 from cleanlake.operators import dedup, encode, features, geo, missing, outliers, scale, temporal, textops, types
 from cleanlake.operators import profile as P
+from cleanlake.plans.runner import Steps
 from cleanlake.sources import sink
 
 STEPS = ["types", "duplicates", "missing", "outliers", "text", "datetime", "geospatial", "encoding", "scaling", "features"]
 
 
 def prepare(df: DataFrame, key: list[str], steps: list[str] | None = None, lat: str | None = None, lon: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """All automatic steps in order. Steps that fit on earlier changes read from reliable storage, so no fit repeats
-    the work before it. Key columns are left alone. Second result: rows and columns after every step."""
-    todo = steps or STEPS
-    out, trail = df, []
+    """All automatic steps in order. Every step is run and stored, so the next one's fit reads its result and repeats nothing; a step that fails is
+    logged and leaves the table as it was. Key columns are left alone. Second result: the log of the steps."""
     free = lambda names: [x for x in names if x not in key]
-
-    def note(step: str) -> None:
-        trail.append((len(trail) + 1, step, len(out.columns)))
-
-    if "types" in todo:
-        out, _ = types.apply_recommended(out)
-        note("types")
-    if "duplicates" in todo:
-        out = durable(out.dropDuplicates())
-        note("duplicates")
-    if "missing" in todo:
-        out = missing.impute_simple(out)
-        note("missing")
-    if "outliers" in todo:
-        nums = free(numeric_columns(out))
-        out = outliers.cap(out, outliers.fit_iqr(out, nums)) if nums else out
-        note("outliers")
-    if "text" in todo:
-        texts = set(free(text_columns(out)))
-        out = out.select(*[textops.X.standardize_ws(F.lower(F.col(f"`{x}`"))).alias(x) if x in texts else F.col(f"`{x}`") for x in out.columns])
-        note("text")
-    if "datetime" in todo:
-        out = temporal.auto_extract(out)
-        note("datetime")
-    if "geospatial" in todo and lat and lon:
-        out = geo.clip(out, lat, lon)
-        note("geospatial")
-    if "encoding" in todo:
-        out = durable(out)
-        out = encode.auto(out, free(text_columns(out)))
-        note("encoding")
-    if "scaling" in todo:
-        floats = free([n for n, t in out.dtypes if t in ("double", "float")])
-        out = scale.transform(out, scale.fit_standard(out, floats), None) if floats else out
-        note("scaling")
-    if "features" in todo:
-        floats = free([n for n, t in out.dtypes if t in ("double", "float")])
-        out = features.auto_simple(out, floats) if floats else out
-        note("features")
-    return out, small_frame(df.sparkSession, trail, "position int, step string, columns int")
+    floats = lambda t: free([n for n, kind in t.dtypes if kind in ("double", "float")])
+
+    def clean_outliers(t):
+        nums = free(numeric_columns(t))
+        return outliers.cap(t, outliers.fit_iqr(t, nums)) if nums else t
+
+    def clean_text(t):
+        texts = set(free(text_columns(t)))
+        return t.select(*[textops.X.standardize_ws(F.lower(c(x))).alias(x) if x in texts else c(x) for x in t.columns]) if texts else t
+
+    make = {
+        "types": lambda t: types.apply_recommended(t)[0],
+        "duplicates": lambda t: t.dropDuplicates(),
+        "missing": missing.impute_simple,
+        "outliers": clean_outliers,
+        "text": clean_text,
+        "datetime": temporal.auto_extract,
+        "geospatial": lambda t: geo.clip(t, lat, lon),
+        "encoding": lambda t: encode.auto(t, free(text_columns(t))) if free(text_columns(t)) else t,
+        "scaling": lambda t: scale.transform(t, scale.fit_standard(t, floats(t)), None) if floats(t) else t,
+        "features": lambda t: features.auto_simple(t, floats(t)) if floats(t) else t,
+    }
+    run = Steps(df)
+    for step in STEPS:
+        if step in (steps or STEPS) and (step != "geospatial" or (lat and lon)):
+            run.run(step, make[step])
+    return run.df, run.log_frame()
 
 
 # ---------------------------------------------------------------- batch
@@ -92,25 +78,31 @@ RESULT = "table string, status string, rows_before long, columns_before long, ro
 
 
 def batch(tables: dict[str, DataFrame], operations: list[str], workers: int = 4, out_dir: str | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Run the operations over every table; jobs of different tables overlap (FAIR scheduling), a failure stays with its table."""
+    """Run the operations over every table, each one executed and stored before the next; jobs of different tables overlap (FAIR scheduling).
+
+    A failure, also one that shows only while an operation runs, stays with its table: `operations` says how many were done, `error` which one failed.
+    """
     if not tables:
         raise ValueError("no tables")
     spark = next(iter(tables.values())).sparkSession
 
     def one(item):
         name, df = item
-        before = (None, len(df.columns))
+        columns = len(df.columns)
         try:
-            before = (df.count(), len(df.columns))
-            out = df
+            run = Steps(df)
+            done = 0
             for op in operations:
-                out = run_operation(out, op)
+                if not run.run(op, lambda t: run_operation(t, op)):
+                    return name, None, (name, "failed", run.rows, columns, None, None, done, f"{op}: {run.log[-1][4]}")
+                done += 1
+            out, before = run.df, run.log[0][5] if run.log else df.count()
             if out_dir:
                 sink.sink_parquet(out, f"{out_dir}/{name}")
                 out = spark.read.parquet(f"{out_dir}/{name}")
-            return name, out, (name, "completed", *before, out.count(), len(out.columns), len(operations), None)
-        except Exception as e:  # reported in the result table
-            return name, None, (name, "failed", *before, None, None, 0, type(e).__name__)
+            return name, out, (name, "completed", before, columns, out.count(), len(out.columns), done, None)
+        except Exception as e:  # the table cannot be read or its result not be written: reported in the result table
+            return name, None, (name, "failed", None, columns, None, None, 0, type(e).__name__)
 
     with ThreadPoolExecutor(max_workers=min(max(workers, 1), 8)) as pool:
         done = list(pool.map(one, tables.items()))

@@ -9,6 +9,7 @@ from cleanlake.core import c, count_if, numeric_columns, small_frame, text_colum
 from cleanlake.operators import dedup, encode, features, missing, outliers, scale, types
 from cleanlake.operators import profile as P
 from cleanlake.operators import textops
+from cleanlake.plans.runner import Steps
 
 SCHEMA = "type string, column string, severity string, value double, action string, auto_fixable boolean, minutes int"
 # fixed values: minutes saved per action, order of severities and of treatments
@@ -125,18 +126,22 @@ def apply_recommendation(df: DataFrame, action: str, column: str, key: str | Non
 
 
 def apply_all(df: DataFrame, recommendations: list[tuple] | None = None, key: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """All auto-fixable actions, worst severity first; a failing action is reported and skipped."""
+    """All auto-fixable actions, worst severity first. Every action is run and its result stored; the next one comes from a new profile of that
+    result, so a rule is never older than the table. Without `recommendations` the rules go on until none is left that has not been tried; only
+    columns of the input are treated, not the ones that actions add. A failing action is reported, and the table stays as it was before it.
+    Second result: the log of the steps.
+    """
+    steps, tried, own = Steps(df), set(), {*df.columns, "all", "numeric_features"}
     recs = rules(df) if recommendations is None else recommendations
-    done, out = [], df
-    for r in sorted(recs, key=lambda r: SEVERITY.get(r[2], 3)):
-        if not r[5]:
-            continue
-        try:
-            out = apply_recommendation(out, r[4], r[1], key)
-            done.append((len(done) + 1, r[0], r[1], r[4], True, "ok"))
-        except Exception as e:  # an action must not stop the others
-            done.append((len(done) + 1, r[0], r[1], r[4], False, type(e).__name__))
-    return out, small_frame(df.sparkSession, done, "position int, type string, column string, action string, success boolean, message string")
+    while True:
+        todo = [r for r in sorted(recs, key=lambda r: SEVERITY.get(r[2], 3)) if r[5] and r[1] in own and (r[0], r[1], r[4]) not in tried]
+        if not todo:
+            return steps.df, steps.log_frame()
+        r = todo[0]
+        tried.add((r[0], r[1], r[4]))
+        done = steps.run(r[4], lambda t: apply_recommendation(t, r[4], r[1], key), r[1])
+        if done and recommendations is None:
+            recs = rules(steps.df)
 
 
 def auto_fix(df: DataFrame) -> DataFrame:

@@ -208,7 +208,9 @@ def _sinkbatch(s, d):
     return result
 
 
-query("sink_batch")(_sinkbatch)
+SB = {"orders": (9, "SELECT * EXCLUDE (copy) FROM orders_dirty"), "events": (5, "SELECT * EXCLUDE (ts) FROM events_gaps"), "geo": (6, "SELECT * FROM customer_geo")}
+query("sink_batch", ora("orders_dirty events_gaps customer_geo", union(SB, lambda n: f"""SELECT '{n}' AS "table", 'completed' AS status, (SELECT count(*) FROM ({SB[n][1]})) AS rows_before, CAST({SB[n][0]} AS BIGINT) AS columns_before, count(*) AS rows_after,
+  CAST({SB[n][0]} AS BIGINT) AS columns_after, 3 AS operations, CAST(NULL AS VARCHAR) AS error FROM (SELECT DISTINCT * FROM ({SB[n][1]}))""")))(_sinkbatch)
 T0 = dt.datetime(2024, 1, 1)
 
 
@@ -262,9 +264,13 @@ def _applied(s, d):
 APPLY = """WITH t AS (SELECT DISTINCT o_orderkey, o_totalprice, o_orderpriority, price_text, o_orderstatus FROM orders_dirty)"""
 query("apply_recommendation", ora("orders_dirty", f"""{APPLY} SELECT o_orderkey, {R('coalesce(o_totalprice, (SELECT avg(o_totalprice) FROM t))')} AS o_totalprice, coalesce(o_orderpriority, (SELECT o_orderpriority FROM t WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS o_orderpriority,
   {R("TRY_CAST(replace(price_text, '$', '') AS DOUBLE)")} AS price_text, {', '.join(f"CAST(o_orderstatus = '{v}' AS INT) AS o_orderstatus_{v}" for v in 'FOP')} FROM t"""))(_applied)
-query("apply_all", ora("orders_dirty", """SELECT * FROM (VALUES (1, 'missing_values', 'o_totalprice', 'impute_mean', true, 'ok'), (2, 'missing_values', 'o_orderpriority', 'impute_most_frequent', true, 'ok'), (3, 'data_types', 'price_text', 'convert_to_numeric', true, 'ok'), (4, 'duplicates', 'all', 'remove_duplicates', true, 'ok'),
-  (5, 'scaling', 'numeric_features', 'auto_scale', true, 'ok'), (6, 'encoding', 'o_orderpriority', 'onehot_encode', true, 'ok'), (7, 'encoding', 'price_text', 'label_encode', true, 'ok')) t(position, type, "column", action, success, message) WHERE (SELECT count(*) FROM orders_dirty) > 0"""))(
-    lambda s, d: RC.apply_all(_nocopy(s, d).select("o_orderkey", "o_totalprice", "o_orderpriority", F.concat("price_text", F.lit("")).alias("price_text")), key="o_orderkey")[1])
+MODE_OF = lambda t, x: f"(SELECT {x} FROM {t} WHERE {x} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+# the price text has missing values only once it is a number, and the columns differ in scale only once there are indicators: these rules come from the profiles after those steps
+query("apply_all", ora("orders_dirty", f"""WITH t AS (SELECT o_totalprice, o_orderpriority, TRY_CAST(replace(price_text, '$', '') AS DOUBLE) AS price FROM orders_dirty),
+  f AS (SELECT DISTINCT coalesce(o_totalprice, (SELECT avg(o_totalprice) FROM t)) AS total, coalesce(o_orderpriority, {MODE_OF('t', 'o_orderpriority')}) AS o_orderpriority, coalesce(price, (SELECT avg(price) FROM t)) AS price FROM t)
+  SELECT {R('(total - (SELECT min(total) FROM f)) / (SELECT max(total) - min(total) FROM f)')} AS o_totalprice, {R('(price - (SELECT min(price) FROM f)) / (SELECT max(price) - min(price) FROM f)')} AS price_text,
+  {', '.join(f"CAST(o_orderpriority = '{v}' AS INT) + 0.0E0 AS \"o_orderpriority_{v}\"" for v in ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'))} FROM f"""))(
+    lambda s, d: rounded(RC.apply_all(_nocopy(s, d).select("o_totalprice", "o_orderpriority", F.concat("price_text", F.lit("")).alias("price_text")))[0]))
 FX = lambda x: f"greatest((SELECT quantile_cont({x}, 0.25) - 1.5 * (quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25)) FROM t), least((SELECT quantile_cont({x}, 0.75) + 1.5 * (quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25)) FROM t), {x}))"
 query("auto_fix", ora("orders_dirty", f"""WITH f AS (SELECT o_orderkey, o_custkey, coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM orders_dirty)) AS o_totalprice, coalesce(o_orderpriority, (SELECT o_orderpriority FROM orders_dirty WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS o_orderpriority FROM orders_dirty), t AS (SELECT DISTINCT * FROM f)
   SELECT {R(FX('o_orderkey'))} AS o_orderkey, {R(FX('o_custkey'))} AS o_custkey, {R(FX('o_totalprice'))} AS o_totalprice, o_orderpriority FROM t"""))(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cleanlake.core import c
 from cleanlake.functions import parsing, text
 from cleanlake.operators import temporal, types
-from cleanlake.plans import prepare, recommend
+from cleanlake.plans import prepare, recommend, runner
 from cleanlake.queries import all_queries, all_sql, flagship
 from cleanlake.queries.fixtures import table
 from cleanlake.sources import scan, sink
@@ -209,3 +209,37 @@ def test_line_breaks_over_files_and_without_rows(spark, tmp_path):
     assert scan.scan_delimited(spark, str(tmp_path / "none"), schema=df.schema, multiline=True).count() == 0
     (tmp_path / "by_hand.csv").write_bytes(b'a,b\r\n1,"x\r\ny"\r\n2,z\r\n')
     assert [tuple(r) for r in scan.scan_delimited(spark, str(tmp_path / "by_hand.csv")).orderBy("a").collect()] == [(1, "x\r\ny"), (2, "z")]
+
+
+def test_steps_run_and_roll_back(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id long, s string")
+    run = runner.Steps(df)
+    assert run.run("fill", lambda t: t.fillna("x"))
+    # the plan is fine, the rows are not: the step fails while it runs, and the table stays as it was
+    assert not run.run("boom", lambda t: t.withColumn("s", F.raise_error(F.col("s")).cast("string")))
+    assert not run.run("gone", lambda t: t.select("nowhere"))
+    assert run.run("drop", lambda t: t.drop("id"))
+    assert sorted(r[0] for r in run.df.collect()) == ["a", "x"]
+    log = run.log_frame().collect()
+    assert [(r["step"], r["success"], r["columns_after"]) for r in log] == [("fill", True, 2), ("boom", False, 2), ("gone", False, 2), ("drop", True, 1)]
+    assert "UNRESOLVED_COLUMN" in log[2]["message"]
+
+
+def test_batch_reports_what_fails_while_running(spark):
+    good = spark.createDataFrame([(1.0, "a"), (1.0, "a")], "x double, s string")
+    bad = spark.range(3).select("id", F.when(F.col("id") > 1, F.raise_error(F.lit("broken file")).cast("string")).otherwise("a").alias("s"))
+    tables, result = prepare.batch({"good": good, "bad": bad}, ["fill_mode", "remove_duplicates"])
+    rows = {r["table"]: r for r in result.collect()}
+    assert rows["good"]["status"] == "completed" and rows["good"]["rows_after"] == 1 and set(tables) == {"good"}
+    assert rows["bad"]["status"] == "failed" and rows["bad"]["operations"] == 0
+    assert prepare.batch_summary(result).first()["success_rate"] == 50.0
+
+
+def test_rules_follow_the_table(spark):
+    rows = [(float(i % 9), None if i % 10 == 0 else f"${i % 7}" if i % 11 else "n/a") for i in range(200)]
+    out, log = recommend.apply_all(spark.createDataFrame(rows, "x double, t string"))
+    steps = [(r["step"], r["target"], r["success"]) for r in log.collect()]
+    assert ("convert_to_numeric", "t", True) in steps
+    after = steps[steps.index(("convert_to_numeric", "t", True)) + 1:]
+    assert any(s[0].startswith("impute_m") and s[1] == "t" for s in after)        # its nulls appear only now
+    assert dict(out.dtypes)["t"] == "double" and out.where("t is null").count() == 0
