@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleanlake.core import c, written
+from cleanlake.core import c
+from cleanlake.operators.components import components
 from cleanlake.operators.skew import lookup_join, skew_join
 
 _START = "cast(i * l div (d + 1) as int)"
@@ -84,26 +85,6 @@ def fuzzy_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str,
     return lookup_join(left, best, [left_col], "inner")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Smallest member of the connected component of every node (columns node, label).
-
-    Minimum-label propagation with a jump to the label's label, so long chains shrink quickly. Each round is
-    written to reliable storage; the loop ends when a round changes nothing.
-    """
-    both = written(edges.select(F.col("left").alias("a"), F.col("right").alias("b")).unionByName(
-        edges.select(F.col("right").alias("a"), F.col("left").alias("b"))), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near_label = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        step = labels.join(near_label, "node").select("node", "label", F.least("label", "m").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        step = step.join(jump, "new", "left").select("node", F.col("label").alias("old"), F.least("new", F.coalesce("far", "new")).alias("label"))
-        step = written(step, "labels")
-        labels = step.select("node", "label")
-        if step.where("old <> label").isEmpty():
-            return labels
-
-
 def groups(df: DataFrame, column: str, threshold: int = 80) -> DataFrame:
     """Members of groups of similar values: representative (smallest), member, score to it, rows of the member."""
     lab = components(pairs(df, column, threshold))

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cleanlake.operators import dedup, fuzzy, joins, profile, quantiles, skew
+from cleanlake.operators import components, dedup, fuzzy, joins, profile, quantiles, skew
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
 
@@ -124,6 +124,35 @@ def test_components_of_a_chain(spark):
     assert {lab[f"n{i:03d}"] for i in range(41)} == {"n000"} and lab["y"] == "x"
 
 
+@pytest.mark.parametrize("hub_rows", [4, 10_000])
+def test_components_equal_union_find(spark, hub_rows):
+    rnd = random.Random(hub_rows)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(170)] + [(1000, i) for i in range(1001, 1060)] + [(2000 + i, 3000) for i in range(60)] + [(5, 5), (7777, 7777), (None, 3), (9, None)]
+    parent = {}
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for x, y in edges:
+        if x is not None and y is not None:
+            x, y = sorted((find(x), find(y)))
+            parent[y] = x
+    got = components.components(spark.createDataFrame(edges, "left long, right long"), hub_rows).collect()
+    assert {r["node"]: r["label"] for r in got} == {x: find(x) for x in parent} and len(got) == len(parent)
+    assert components.components(spark.createDataFrame([], "left long, right long")).count() == 0
+
+
+def test_a_hub_meets_no_task(spark):
+    star = spark.range(1, 60_000).select(F.lit(0).cast("long").alias("left"), F.col("id").alias("right"))
+    got = components.components(star.unionByName(spark.range(60_001, 60_050).select(F.col("id").alias("left"), (F.col("id") - 1).alias("right"))))
+    assert got.groupBy("label").count().orderBy("label").collect() == [(0, 60_000), (60_000, 50)]
+    least = star.groupBy(F.col("left").alias("b")).agg(F.min("left").alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = components._around(star.select(F.col("right").alias("a"), F.col("left").alias("b")), "b", least, 10_000)
+    per_task = joined.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per_task) == 59_999 and max(r["count"] for r in per_task) < 20_000
+
+
 def test_similar_positions(spark):
     v = sorted({w.ljust(8, "x") for w in words(60, 9) if len(w) <= 8})
     got = {(r["left"], r["right"]) for r in dedup.similar_positions(spark.createDataFrame([(x,) for x in v], "s string"), "s", 0.6).collect()}
