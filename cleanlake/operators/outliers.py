@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleanlake.core import c, count_if, dbl, numeric_columns, small_frame, spread
+from cleanlake.core import c, count_if, dbl, numeric_columns, small_frame, spread, written
 from cleanlake.operators.profile import per_column, profile
 from cleanlake.operators.quantiles import exact_quantiles
 
@@ -211,6 +211,25 @@ def _path_lengths(x: np.ndarray, flat: tuple[np.ndarray, ...], depth: int) -> np
 
 
 def fit_forest(df: DataFrame, columns: list[str], key: list[str], contamination: float = 0.1, trees: int = 100, sample: int = 256, seed: int = 42) -> IsolationForest:
+    """Forest with its threshold. `flagged_forest` gives the rows as well, from the same scores."""
+    fit = grow_forest(df, columns, key, trees, sample, seed)
+    scored = written(score_forest(df.select(*[c(x) for x in columns]), fit).select("anomaly_score"), "forest-scores")
+    fit.threshold = _score_limit(scored, contamination)
+    return fit
+
+
+def _score_limit(scored: DataFrame, contamination: float) -> float:
+    return exact_quantiles(scored, ["anomaly_score"], [1 - contamination])["anomaly_score"][0]
+
+
+def flagged_forest(df: DataFrame, columns: list[str], key: list[str], contamination: float = 0.1, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+    """df with anomaly_score and is_outlier. The scores are computed once and stored; threshold and flags read them."""
+    scored = written(score_forest(df, grow_forest(df, columns, key, trees, sample, seed)), "forest-scores")
+    limit = _score_limit(scored.select("anomaly_score"), contamination)
+    return scored.withColumn("is_outlier", F.col("anomaly_score") > F.lit(limit))
+
+
+def grow_forest(df: DataFrame, columns: list[str], key: list[str], trees: int = 100, sample: int = 256, seed: int = 42) -> IsolationForest:
     """Every tree grows on `sample` rows chosen by hash of the key: a fixed-size sample is the method itself.
 
     The sample for all trees has trees * sample rows; rows are assigned to trees in one pass and each tree is grown by its own task.
@@ -239,10 +258,7 @@ def fit_forest(df: DataFrame, columns: list[str], key: list[str], contamination:
 
     got = picked.groupBy("tree").applyInPandas(grow, "tree int, node int, f int, cut double, l int, r int, path double").toPandas()
     forest = [g.sort_values("node")[["f", "cut", "l", "r", "path"]].to_numpy().tolist() for _, g in got.groupby("tree")]
-    fit = IsolationForest(columns, fill, forest, size)
-    scored = score_forest(df, fit)
-    fit.threshold = exact_quantiles(scored, ["anomaly_score"], [1 - contamination])["anomaly_score"][0]
-    return fit
+    return IsolationForest(columns, fill, forest, size)
 
 
 def score_forest(df: DataFrame, fit: IsolationForest, name: str = "anomaly_score") -> DataFrame:
@@ -268,8 +284,7 @@ def flag_forest(df: DataFrame, fit: IsolationForest) -> DataFrame:
 
 def compare_methods(df: DataFrame, column: str, key: list[str], contamination: float = 0.1) -> DataFrame:
     iqr, z = fit_iqr(df, [column]), fit_zscore(df, [column])
-    forest = fit_forest(df, [column], key, contamination)
-    t = flag_forest(df.select(*[c(k) for k in key], c(column)), forest).agg(
+    t = flagged_forest(df.select(*[c(k) for k in key], c(column)), [column], key, contamination).agg(
         *[F.struct(F.lit(name).alias("method"), count_if(cond).alias("outliers"), (count_if(cond) / F.count(F.lit(1)) * 100).alias("pct")).alias(name)
           for name, cond in [("iqr", is_outlier(column, iqr)), ("zscore", is_outlier(column, z)), ("isolation_forest", F.col("is_outlier"))]])
     return t.select(F.inline(F.array("iqr", "zscore", "isolation_forest")))

@@ -9,10 +9,11 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleanlake.core import c, count_if, datetime_columns, dbl, numeric_columns, roles, share, small_frame, text_columns
+from cleanlake.core import c, count_if, datetime_columns, dbl, numeric_columns, roles, share, small_frame, text_columns, written
 from cleanlake.functions.parsing import as_boolean, as_date_auto, as_number, as_number_clean
 from cleanlake.operators import ordered
 from cleanlake.operators.quantiles import exact_quantiles
@@ -325,8 +326,7 @@ def missing_matrix(df: DataFrame, order_by: list[str], buckets: int = 50, column
 
 def missing_corr(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     cols = columns or df.columns
-    flag = {x: c(x).isNull().cast("double") for x in cols}
-    return _pairs(df, cols, lambda a, b: _safe_corr(flag[a], flag[b])).where("corr IS NOT NULL")
+    return _pair_corr(df, {x: c(x).isNull().cast("double") for x in cols}).where("corr IS NOT NULL")
 
 
 def missing_per_row(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -336,12 +336,45 @@ def missing_per_row(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 # ---------------------------------------------------------------- correlation
 
-def _pairs(df: DataFrame, cols: list[str], make) -> DataFrame:
-    """One aggregate job over all column pairs i < j."""
-    pairs = list(combinations(cols, 2))
-    aggs = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), make(a, b).alias("corr")).alias(f"p{i}")
-            for i, (a, b) in enumerate(pairs)]
-    return _melt(df.agg(*aggs), [f"p{i}" for i in range(len(pairs))])
+PAIRS_JVM = 10      # up to so many columns the pairs are expressions of one aggregate; more go by blocks of co-moments
+
+
+def _pair_corr(df: DataFrame, values: dict[str, Column], most: int = PAIRS_JVM) -> DataFrame:
+    """left, right, corr of every pair of columns (double, null: missing), pairwise complete, in one pass over the rows.
+
+    The number of pairs grows with the square of the columns, and so would an aggregate with one expression per pair. Beyond `most` columns each
+    task therefore adds up matrices of counts, sums and products of its rows, and only their cells are shuffled: one row per pair and task.
+    """
+    names = list(values)
+    if len(names) <= most:
+        pairs = list(combinations(names, 2))
+        aggs = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), _safe_corr(values[a], values[b]).alias("corr")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
+        return _melt(df.agg(*aggs), [f"p{i}" for i in range(len(pairs))])
+    shift = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(values.values())]).first()
+    rows = df.select(*[(v - F.lit(shift[f"m{i}"] or 0.0)).alias(f"x{i}") for i, v in enumerate(values.values())])
+    fields = ["n", "a", "b", "aa", "bb", "ab"]
+    cells = rows.mapInArrow(_moments(len(names)), "i int, j int, " + ", ".join(f"{f} double" for f in fields))
+    t = cells.groupBy("i", "j").agg(*[F.sum(f).alias(f) for f in fields])
+    spread = F.sqrt(F.greatest(F.col("aa") - F.col("a") * F.col("a") / F.col("n"), F.lit(0.0)) * F.greatest(F.col("bb") - F.col("b") * F.col("b") / F.col("n"), F.lit(0.0)))
+    flat = spread <= F.lit(1e-12) * F.sqrt(F.col("aa") * F.col("bb"))
+    corr = F.when(~flat, (F.col("ab") - F.col("a") * F.col("b") / F.col("n")) / spread)
+    named = F.array(*[F.lit(x) for x in names])
+    return t.select(F.element_at(named, F.col("i") + 1).alias("left"), F.element_at(named, F.col("j") + 1).alias("right"), F.when(F.col("n") > 0, corr).alias("corr"))
+
+
+def _moments(d: int):
+    """Per task: pairwise complete counts, sums, squares and products of d columns, one row per pair."""
+    def run(batches):
+        sums = np.zeros((6, d, d))
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(d)]).astype(float)
+            known = (~np.isnan(x)).astype(float)
+            x = np.where(known > 0, x, 0.0)
+            a, aa = x.T @ known, (x * x).T @ known
+            sums += np.stack([known.T @ known, a, a.T, aa, aa.T, x.T @ x])
+        i, j = np.triu_indices(d, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(m[i, j]) for m in sums]], names=["i", "j", "n", "a", "b", "aa", "bb", "ab"])
+    return run
 
 
 def _safe_corr(a: Column, b: Column) -> Column:
@@ -353,7 +386,7 @@ def _safe_corr(a: Column, b: Column) -> Column:
 
 def corr_pearson(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Upper triangle (left, right, corr), pairwise complete; null without spread."""
-    return _pairs(df, columns or numeric_columns(df), lambda a, b: _safe_corr(dbl(a), dbl(b)))
+    return _pair_corr(df, {x: dbl(x) for x in columns or numeric_columns(df)})
 
 
 def corr_matrix(upper: DataFrame, columns: list[str]) -> DataFrame:
@@ -363,30 +396,40 @@ def corr_matrix(upper: DataFrame, columns: list[str]) -> DataFrame:
     return upper.unionByName(low).unionByName(diag)
 
 
-def _with_rank(df: DataFrame, source: DataFrame, column: str, name: str) -> DataFrame:
-    """Attach the average rank of `column` within `source` (kept apart from df, whose plan grows with every rank)."""
-    ranks = ordered.value_ranks(source, column).select(c(column), F.col("avg_rank").alias(name))
-    counts = source.groupBy(c(column)).agg(F.count(F.lit(1)).alias("__n"))
-    return skew_join(df, ranks, [column], "left", counts=counts)
+def _cell_ranks(cells: DataFrame) -> DataFrame:
+    """cells (row, grp, v) with the average rank of v within its group: ranked over distinct values of all groups in one pass, joined back with salting."""
+    counts = cells.groupBy("grp", "v").agg(F.count(F.lit(1)).alias("rows"))
+    below = ordered.running_sum(counts, {"__below": "rows"}, ["v"], inclusive=False, partition_by=["grp"])
+    ranks = below.select("grp", "v", (F.col("__below") + (F.col("rows") + 1) / 2).alias("rank"))
+    return skew_join(cells, ranks, ["grp", "v"], "inner", counts=counts, count_col="rows", right_unique=True)
 
 
 def corr_spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson correlation of average ranks, pairwise complete."""
+    """Pearson correlation of average ranks, pairwise complete.
+
+    All columns are melted, ranked in one pass and put together again by row, so the number of shuffles does not grow with the columns. Columns with
+    nulls are ranked once per pair, among the rows that know both, likewise all pairs at once.
+    """
     cols = columns or numeric_columns(df)
-    base = df.select(*[dbl(x).alias(x) for x in cols])
-    nulls = base.agg(_null_cells(cols)).first()[0]
-    if nulls == 0:
-        ranked = base
-        for x in cols:
-            ranked = _with_rank(ranked, base, x, "__r_" + x)
-        return _pairs(ranked, cols, lambda a, b: _safe_corr(c("__r_" + a), c("__r_" + b)))
-    out = None
-    for a, b in combinations(cols, 2):
-        pair = base.select(c(a), c(b)).dropna()
-        pair = _with_rank(_with_rank(pair, pair, a, "__ra"), pair, b, "__rb")
-        one = pair.agg(_safe_corr(F.col("__ra"), F.col("__rb")).alias("corr")).select(F.lit(a).alias("left"), F.lit(b).alias("right"), "corr")
-        out = one if out is None else out.unionByName(one)
-    return out
+    base = written(df.select(*[dbl(x).alias(f"x{i}") for i, x in enumerate(cols)]).withColumn("row", F.monotonically_increasing_id()), "spearman-rows")
+    gaps = base.agg(*[F.count(F.when(F.col(f"x{i}").isNull(), 1)).alias(f"x{i}") for i in range(len(cols))]).first()
+    whole = [i for i in range(len(cols)) if not gaps[f"x{i}"]]
+    rest = [(i, j) for i, j in combinations(range(len(cols)), 2) if gaps[f"x{i}"] or gaps[f"x{j}"]]
+    out = []
+    if len(whole) > 1:
+        cells = base.select("row", F.inline(F.array(*[F.struct(F.lit(i).alias("grp"), F.col(f"x{i}").alias("v")) for i in whole])))
+        ranked = _cell_ranks(cells).groupBy("row").agg(*[F.max(F.when(F.col("grp") == i, F.col("rank"))).alias(f"r{i}") for i in whole])
+        out.append(_pair_corr(ranked, {cols[i]: F.col(f"r{i}") for i in whole}))
+    if rest:
+        side = lambda p, k, x: F.struct(F.lit(2 * p + k).alias("grp"), F.col(f"x{x}").alias("v"))
+        both = lambda p, i, j: F.when(F.col(f"x{i}").isNotNull() & F.col(f"x{j}").isNotNull(), F.array(side(p, 0, i), side(p, 1, j))).otherwise(F.filter(F.array(side(p, 0, i)), lambda _: F.lit(False)))
+        cells = base.select("row", F.inline(F.concat(*[both(p, i, j) for p, (i, j) in enumerate(rest)])))
+        pair = F.floor(F.col("grp") / 2).cast("int")
+        ranked = _cell_ranks(cells).groupBy("row", pair.alias("pair")).agg(*[F.max(F.when(F.col("grp") % 2 == k, F.col("rank"))).alias(f"r{k}") for k in (0, 1)])
+        corr = ranked.groupBy("pair").agg(_safe_corr(F.col("r0"), F.col("r1")).alias("corr"))
+        named = small_frame(df.sparkSession, [(p, cols[i], cols[j]) for p, (i, j) in enumerate(rest)], "pair int, left string, right string")
+        out.append(named.join(corr, "pair", "left").select("left", "right", "corr"))
+    return reduce(DataFrame.unionByName, out) if out else small_frame(df.sparkSession, [], "left string, right string, corr double")
 
 
 def kendall_tau_b(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -428,17 +471,32 @@ def corr_pairs(df: DataFrame, columns: list[str] | None = None, threshold: float
 
 
 def gram(df: DataFrame, cols: list[str], center: dict[str, float] | None = None) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, column sums and the matrix of sums of products, from one aggregate over complete rows."""
-    x = [dbl(k) - F.lit((center or {}).get(k, 0.0)) for k in cols]
-    ok = reduce(lambda p, q: p & q, [v.isNotNull() for v in x])
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    row = df.where(ok).agg(F.count(F.lit(1)), *[F.sum(v) for v in x], *[F.sum(x[i] * x[j]) for i, j in pairs]).first()
+    """Row count, column sums and the matrix of sums of products over complete rows; each task adds up its own matrix, in one pass."""
     d = len(cols)
-    s = np.array([v or 0.0 for v in row[1:1 + d]], dtype=float)
-    g = np.zeros((d, d))
-    for (i, j), v in zip(pairs, row[1 + d:]):
-        g[i, j] = g[j, i] = v or 0.0
-    return row[0], s, g
+    x = [dbl(k) - F.lit((center or {}).get(k, 0.0)) for k in cols]
+    if d <= PAIRS_JVM:
+        ok = reduce(lambda p, q: p & q, [v.isNotNull() for v in x])
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+        row = df.where(ok).agg(F.count(F.lit(1)), *[F.sum(v) for v in x], *[F.sum(x[i] * x[j]) for i, j in pairs]).first()
+        s, g = np.array([v or 0.0 for v in row[1:1 + d]], dtype=float), np.zeros((d, d))
+        for (i, j), v in zip(pairs, row[1 + d:]):
+            g[i, j] = g[j, i] = v or 0.0
+        return row[0], s, g
+
+    def products(batches):
+        total = np.zeros((d + 1, d + 1))      # a column of ones in front: count and sums are products as well
+        for batch in batches:
+            m = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(d)]).astype(float)
+            m = np.column_stack([np.ones(len(m)), m])[~np.isnan(m).any(axis=1)]
+            total += m.T @ m
+        i, j = np.triu_indices(d + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "v"])
+
+    cells = df.select(*[v.alias(f"x{i}") for i, v in enumerate(x)]).mapInArrow(products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    g = np.zeros((d + 1, d + 1))
+    for r in cells:      # (d + 1) * (d + 2) / 2 rows
+        g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["v"]
+    return int(g[0, 0]), g[0, 1:], g[1:, 1:]
 
 
 def vif(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

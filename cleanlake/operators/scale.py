@@ -114,34 +114,51 @@ def _likelihoods(df: DataFrame, columns: list[str], kind: str, shifts: dict, gri
     out = {}
     for x in columns:
         n, j = row[x]["n"], row[x]["j"] or 0.0
-        out[x] = [-math.inf if not row[x][f"v{i}"] else -n / 2 * math.log(row[x][f"v{i}"]) + (lam - 1) * j for i, lam in enumerate(grids[x])]
+        spread = [row[x][f"v{i}"] for i in range(len(grids[x]))]
+        out[x] = [-n / 2 * math.log(v) + (lam - 1) * j if v and math.isfinite(v) else -math.inf for v, lam in zip(spread, grids[x])] if n else []
     return out
 
 
-def fit_power(df: DataFrame, columns: list[str], kind: str = "yeojohnson", standardize: bool = True, low: float = -4.0, high: float = 6.0, passes: int = 5, points: int = 21) -> Power:
-    """Maximum-likelihood lambda by a shrinking grid: each pass is one aggregate over the table."""
-    shifts = {x: 0.0 for x in columns}
-    if kind == "boxcox":
-        lo = _one(df, columns, {"m": F.min})
-        shifts = {x: 1.0 - lo[x]["m"] if lo[x]["m"] is not None and lo[x]["m"] <= 0 else 0.0 for x in columns}
+def fit_power(df: DataFrame, columns: list[str], kind: str = "yeojohnson", standardize: bool = True, low: float = -4.0, high: float = 6.0, passes: int = 5, points: int = 21, widen: int = 12) -> Power:
+    """Maximum-likelihood lambda by a grid: each pass is one aggregate over the table for all columns and grid points.
+
+    While the best point lies at the border of the bracket, the bracket doubles to that side (at most `widen` times); then it shrinks around the best
+    point. A column without spread has lambda 1, one without values has none and is null after the transform.
+    """
+    ends = _one(df, columns, {"lo": F.min, "hi": F.max})
+    shifts = {x: 1.0 - ends[x]["lo"] if kind == "boxcox" and ends[x]["lo"] is not None and ends[x]["lo"] <= 0 else 0.0 for x in columns}
     span = {x: (low, high) for x in columns}
-    for _ in range(passes):
-        grids = {x: list(np.linspace(*span[x], points)) for x in columns}
-        lik = _likelihoods(df, columns, kind, shifts, grids)
-        for x in columns:
-            i = int(np.argmax(lik[x]))
-            g = grids[x]
-            span[x] = (g[max(i - 1, 0)], g[min(i + 1, points - 1)])
-    fit = Power(kind, {x: float(sum(span[x]) / 2) for x in columns}, shifts)
+    found = {x: None if ends[x]["lo"] is None else 1.0 for x in columns if ends[x]["lo"] == ends[x]["hi"]}
+    left = {x: passes for x in columns}
+    for _ in range(passes + widen):
+        todo = [x for x in columns if left[x] and x not in found]
+        if not todo:
+            break
+        grids = {x: list(np.linspace(*span[x], points)) for x in todo}
+        lik = _likelihoods(df, todo, kind, shifts, grids)
+        for x in todo:
+            if not lik[x] or max(lik[x]) == -math.inf:
+                found[x] = 1.0 if lik[x] else None
+                continue
+            i, g = int(np.argmax(lik[x])), grids[x]
+            if left[x] == passes and i in (0, points - 1) and lik[x].count(-math.inf) == 0:
+                width = g[-1] - g[0]
+                span[x] = (g[0] - width, g[1]) if i == 0 else (g[-2], g[-1] + width)
+            else:
+                span[x], left[x] = (g[max(i - 1, 0)], g[min(i + 1, points - 1)]), left[x] - 1
+    fit = Power(kind, {x: found[x] if x in found else float(sum(span[x]) / 2) for x in columns}, shifts)
     if standardize:
-        t = df.select(*[fit.expr(x).alias(x) for x in columns])
-        fit.linear = fit_standard(t, columns)
+        known = [x for x in columns if fit.lambdas[x] is not None]
+        fit.linear = fit_standard(df.select(*[fit.expr(x).alias(x) for x in known]), known) if known else Linear({})
     return fit
 
 
 def transform_power(df: DataFrame, fit: Power, suffix: str = "_scaled") -> DataFrame:
     out = []
-    for x in fit.lambdas:
+    for x, lam in fit.lambdas.items():
+        if lam is None:
+            out.append(F.lit(None).cast("double").alias(x + suffix))
+            continue
         e = fit.expr(x)
         if fit.linear:
             m, s, _, _ = fit.linear.params[x]

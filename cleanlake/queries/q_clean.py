@@ -212,8 +212,8 @@ query("outlier_iqr", EG(f"SELECT event_id, {R('value')} AS value FROM events_gap
 ZS = lambda sd, t: ora("events_gaps", f"SELECT event_id, {R('value')} AS value FROM events_gaps, (SELECT avg(value) AS m, {sd}(value) AS s FROM events_gaps) WHERE abs(value - m) / s > {t}")
 query("outlier_zscore", ZS("stddev_pop", 2))(lambda s, d: EVV(O.flagged(eg(s, d), "value", O.fit_zscore(eg(s, d), ["value"], 2.0))))
 query("outlier_zscore_sample", ZS("stddev_samp", 3))(lambda s, d: EVV(O.flagged(eg(s, d), "value", O.fit_zscore(eg(s, d), ["value"], 3.0, sample_std=True))))
-query("outlier_iforest")(lambda s, d: rounded(O.flag_forest(table(s, d, "lineitem"), O.fit_forest(table(s, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_orderkey", "l_linenumber", "l_partkey"], 0.05))
-    .select("l_orderkey", "l_linenumber", "l_partkey", "anomaly_score", "is_outlier")))
+query("outlier_iforest")(lambda s, d: rounded(O.flagged_forest(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"),
+    ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_orderkey", "l_linenumber", "l_partkey"], 0.05).select("l_orderkey", "l_linenumber", "l_partkey", "anomaly_score", "is_outlier")))
 query("outlier_remove", EG(f"SELECT event_id, {R('value')} AS value FROM events_gaps, f WHERE NOT {EOUT}"))(lambda s, d: EVV(O.remove(eg(s, d), O.fit_iqr(eg(s, d), ["value"]))))
 query("outlier_cap", EG(f"SELECT event_id, {R('CASE WHEN value IS NOT NULL THEN greatest(lo, least(hi, value)) END')} AS value FROM events_gaps, f"))(lambda s, d: EVV(O.cap(eg(s, d), O.fit_iqr(eg(s, d), ["value"]))))
 query("outlier_log", ora("events_gaps", f"SELECT event_id, {R('CASE WHEN value > -1 THEN ln(1 + value) END')} AS value FROM events_gaps"))(lambda s, d: EVV(O.log_transform(eg(s, d), ["value"])))

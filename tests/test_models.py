@@ -219,3 +219,67 @@ def test_profile_edge_tables(spark):
     assert profile.shape(flat).first()["skew"] is None
     assert profile.corr_pearson(flat.select("x", (F.col("x") * 2).alias("z"))).first()["corr"] is None
     assert profile.histogram(flat, "x", 5).agg(F.sum("rows")).first()[0] == 3
+
+
+def test_power_brackets_widen_and_need_values(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(3.0, 0.3, 4000)
+    pdf = pd.DataFrame({"high": (8 * x + 1) ** (1 / 8) - 1, "same": 2.0})
+    df = spark.createDataFrame(pdf).withColumn("none", F.lit(None).cast("double"))
+    fit = scale.fit_power(df, ["high", "same", "none"])
+    best = max(np.arange(2, 14, 0.05), key=lambda l: -len(x) / 2 * np.log(np.var(((pdf.high + 1) ** l - 1) / l)) + (l - 1) * np.log1p(pdf.high).sum())
+    assert abs(fit.lambdas["high"] - best) < 0.1 and fit.lambdas["high"] > 6 and fit.lambdas["same"] == 1.0 and fit.lambdas["none"] is None
+    got = scale.transform_power(df, fit).toPandas()
+    assert got.none_scaled.isna().all() and abs(got.high_scaled.std() - 1) < 0.01
+    low = spark.createDataFrame(pd.DataFrame({"v": np.maximum(1 - 8 * rng.normal(0.09, 0.008, 4000), 0.02) ** (-1 / 8)}))
+    assert scale.fit_power(low, ["v"], "boxcox").lambdas["v"] < -5
+
+
+def test_forest_scores_rows_once(spark, monkeypatch):
+    calls, real = [], outliers.score_forest
+    monkeypatch.setattr(outliers, "score_forest", lambda *a, **k: calls.append(1) or real(*a, **k))
+    df = spark.range(300).select("id", F.rand(3).alias("x"), F.when(F.col("id") < 6, 9.0).otherwise(F.rand(4)).alias("y"))
+    t = outliers.flagged_forest(df, ["x", "y"], ["id"], 0.02, trees=30, sample=64)
+    assert len(calls) == 1 and "ArrowEvalPython" not in t._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"] for r in t.where("is_outlier").collect()} == set(range(6))
+
+
+def ranks(v):
+    return pd.Series(v).rank().to_numpy()
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_spearman_in_one_pass(spark, gaps):
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"a": rng.integers(0, 6, 300).astype(float), "b": rng.normal(size=300), "c": rng.integers(0, 3, 300).astype(float), "d": np.arange(300.0), "e": 1.0})
+    pdf["b"] += pdf.a
+    if gaps:
+        pdf.loc[::7, "a"] = np.nan
+        pdf.loc[5::9, "c"] = np.nan
+    got = {(r["left"], r["right"]): r["corr"] for r in profile.corr_spearman(frame(spark, pdf)).collect()}
+    assert len(got) == 10
+    for (x, y), v in got.items():
+        both = pdf[[x, y]].dropna()
+        want = np.corrcoef(ranks(both[x]), ranks(both[y]))[0, 1] if "e" not in (x, y) else None
+        assert (v is None) == (want is None) and (v is None or abs(v - want) < 1e-9)
+
+
+def test_hundred_columns(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(500, 100)) + 1e6
+    base[:, 1] = base[:, 0] * 2
+    base[::9, 5] = np.nan
+    base[:, 7] = 4.0
+    pdf = pd.DataFrame(base, columns=[f"c{i}" for i in range(100)])
+    df = frame(spark, pdf)
+    got = {(r["left"], r["right"]): r["corr"] for r in profile.corr_pearson(df).collect()}
+    want = pdf.corr()
+    assert len(got) == 4950 and abs(got["c0", "c1"] - 1) < 1e-9
+    assert all((v is None) if "c7" in k else abs(v - want.loc[k[0], k[1]]) < 1e-7 for k, v in got.items())
+    few = profile._pair_corr(df, {x: profile.dbl(x) for x in ["c0", "c5", "c9"]}, most=0).collect()
+    assert all(abs(r["corr"] - want.loc[r["left"], r["right"]]) < 1e-7 for r in few)
+    n, sums, products = profile.gram(df, list(pdf.columns), {x: 1e6 for x in pdf.columns})
+    rows = pdf.dropna().to_numpy() - 1e6
+    assert n == len(rows) and np.allclose(sums, rows.sum(axis=0)) and np.allclose(products, rows.T @ rows)
+    flags = profile.missing_corr(df).collect()
+    assert flags == []
