@@ -18,11 +18,12 @@ from cleanlake.core import c
 
 SEG = "__seg"
 EXACT_DOUBLE = float(2 ** 53)
-TEXT_PARTS = 8       # six bytes each
+SAMPLE = 20          # texts drawn per part of their order
+BOUND = 16_384       # characters of a text that a bound has at most
 
 
 def order_number(df: DataFrame, name: str) -> Column:
-    """A double that never decreases along the order of the column."""
+    """A double that never decreases along the order of a number, date or time column."""
     t = df.schema[name].dataType
     x = c(name)
     if isinstance(t, T.DateType):
@@ -33,53 +34,64 @@ def order_number(df: DataFrame, name: str) -> Column:
         sec = F.date_part(F.lit("SECOND"), x)
         micros = day * 86_400_000_000 + F.hour(x).cast("long") * 3_600_000_000 + F.minute(x).cast("long") * 60_000_000
         return (micros + (sec * 1_000_000).cast("long")).cast("double")
-    if isinstance(t, T.StringType):
-        return text_number(x, 0)
     return x.cast("double")
 
 
-def text_number(x: Column, part: int) -> Column:
-    """Six bytes of a text, from byte 6 * part on, and how many of them there are: 51 bits, in the order of the text.
+def _text_bounds(df: DataFrame, x: Column, n: int) -> list[str]:
+    """n - 1 values that cut the texts into about equal parts, from a random sample of SAMPLE rows per part: one job, one row per sample.
 
-    Fewer than six say that the text ends there, so equal numbers of that kind mean equal texts.
+    Whole texts are compared, so a common prefix of any usual length does no harm; a bound longer than BOUND characters is cut there.
     """
-    piece = F.substring(F.encode(x, "UTF-8"), 6 * part + 1, 6)
-    return F.conv(F.rpad(F.hex(piece), 12, "0"), 16, 10).cast("double") * 8 + F.octet_length(piece)
+    h = F.xxhash64(F.monotonically_increasing_id(), F.lit(17))
+    drawn = df.select(F.substring(x, 1, BOUND).alias("x"), h.alias("h")).where("x is not null").groupBy(F.pmod("h", F.lit(SAMPLE * n)).alias("draw")).agg(F.min_by("x", "h").alias("x"))
+    got = sorted((r["x"] for r in drawn.select("x").collect()), key=lambda t: t.encode("utf-8", "surrogatepass"))
+    return [got[i * len(got) // n] for i in range(1, n)] if got else []
+
+
+def _place(x: Column, bounds: list[str], low: int = 0, high: int | None = None) -> Column:
+    """How many of the sorted distinct bounds are not above x, by halving."""
+    high = len(bounds) if high is None else high
+    if low == high:
+        return F.lit(low).cast("long")
+    mid = (low + high) // 2
+    return F.when(x < F.lit(bounds[mid]), _place(x, bounds, low, mid)).otherwise(_place(x, bounds, mid + 1, high))
 
 
 def segment(df: DataFrame, order_by: list[str], partition_by: list[str] | None = None, segments: int | None = None) -> DataFrame:
     """Add a segment id that never decreases along (hash of partition_by, order_by).
 
     A value holding more than one quantile step gets a segment of its own, which is cut further by the
-    next order column, so ties in a leading column do not build one huge segment. Texts are cut by six bytes at a time:
-    a prefix that holds more than one step is cut by the bytes that follow it, up to TEXT_PARTS times.
+    next order column, so ties in a leading column do not build one huge segment. The cuts of an order column come from one job:
+    a sketch of quantiles for numbers and times, a random sample of whole values for texts.
     """
     spark = df.sparkSession
     n = segments or max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     out, seg, active = df, F.lit(0).cast("long"), F.lit(True)
-    level = 0
     # 53 bits of the hash, so that the double is exact
-    columns = ([(F.shiftrightunsigned(F.xxhash64(*[c(k) for k in partition_by]), 11).cast("double"), None)] if partition_by else []) + [
-        (order_number(df, o), c(o) if isinstance(df.schema[o].dataType, T.StringType) else None) for o in order_by]
-    for number, text in columns:
-        for part in range(TEXT_PARTS if text is not None else 1):
-            name, bucket = f"__ordnum{level}", f"__ordbkt{level}"
-            level += 1
-            out = out.withColumn(name, text_number(text, part) if part else number)
+    columns: list[tuple[Column, bool]] = [(F.shiftrightunsigned(F.xxhash64(*[c(k) for k in partition_by]), 11).cast("double"), False)] if partition_by else []
+    columns += [(c(o), True) if isinstance(df.schema[o].dataType, T.StringType) else (order_number(df, o), False) for o in order_by]
+    for level, (value, is_text) in enumerate(columns):
+        name, bucket = f"__ordnum{level}", f"__ordbkt{level}"
+        if is_text:
+            bounds = _text_bounds(out.where(active), value, n)
+            heavy = sorted({b for b in bounds if bounds.count(b) > 1 and len(b) < BOUND})
+            cuts = sorted(set(bounds), key=lambda t: t.encode("utf-8", "surrogatepass"))
+            if cuts:
+                # two codes per cut: the value itself where it is heavy, and what lies between it and the next one; nulls sort first
+                code = F.when(value.isNull(), F.lit(0)).otherwise(2 * _place(value, cuts) + F.when(value.isin(heavy), 1).otherwise(2) if heavy else 2 * _place(value, cuts) + 2)
+                seg = seg * F.lit(2 * len(cuts) + 3) + F.when(active, code).otherwise(F.lit(0))
+            active = active & value.isin(heavy)
+        else:
+            out = out.withColumn(name, value)
             bounds = out.where(active).agg(F.percentile_approx(name, F.array(*[F.lit(i / n) for i in range(1, n)]), max(10_000, 20 * n))).first()[0]
             heavy = sorted({b for b in bounds or [] if bounds.count(b) > 1 and abs(b) < EXACT_DOUBLE})
             if bounds:
                 cuts = sorted(set(bounds) | {math.nextafter(b, math.inf) for b in heavy})
                 out = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=name, outputCol=bucket, handleInvalid="keep").transform(out)
-                # nulls sort first
                 code = F.when(F.col(name).isNull(), F.lit(0)).otherwise(F.col(bucket).cast("long") + 1)
                 seg = seg * F.lit(len(cuts) + 3) + F.when(active, code).otherwise(F.lit(0))
-            going_on = text is not None and any(b % 8 == 6 for b in heavy)
             active = active & F.col(name).isin(heavy)
-            if not going_on:
-                break
-        # texts that still share all bytes looked at need not be equal, so no other column may cut them
-        if not heavy or going_on:
+        if not heavy:
             break
     out = out.withColumn(SEG, seg)
     return out.drop(*[x for x in out.columns if x.startswith(("__ordnum", "__ordbkt"))])

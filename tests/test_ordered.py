@@ -113,3 +113,20 @@ def test_text_segments_follow_the_order_of_bytes(spark):
     seg = ordered.segment(spark.createDataFrame(rows, "s string, i int"), ["s", "i"], segments=16).collect()
     got = sorted(((r["s"] is not None, (r["s"] or "").encode(), r["i"]), r[ordered.SEG]) for r in seg)
     assert [x for _, x in got] == sorted(x for _, x in got)
+
+
+def test_long_common_prefixes_are_cut_evenly(spark):
+    head = "https://example.org/a/very/long/path/that/all/of/them/share/" * 5
+    df = spark.range(6000).select(F.concat(F.lit(head), F.lpad(F.hash("id").cast("string"), 12, "0")).alias("s"))
+    sizes = [r["count"] for r in ordered.segment(df, ["s"], segments=12).groupBy(ordered.SEG).count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 2 * min(sizes)
+    got = ordered.with_index(df, ["s"], "i", segments=12).orderBy("i").collect()
+    assert [r["s"] for r in got] == sorted(r["s"] for r in got) and [r["i"] for r in got] == list(range(6000))
+
+
+def test_heavy_texts_are_cut_by_the_next_column(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 3 > 0, "same").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("é"), F.col("id").cast("string"))).alias("s"), "id")
+    sizes = [r["count"] for r in ordered.segment(df, ["s", "id"], segments=10).groupBy(ordered.SEG).count().collect()]
+    assert max(sizes) < 1000
+    got = [(r["s"], r["id"]) for r in ordered.with_index(df, ["s", "id"], "i", segments=10).orderBy("i").collect()]
+    assert got == sorted(got, key=lambda t: (t[0] is not None, (t[0] or "").encode(), t[1]))
