@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,14 +18,45 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 100_000
 
 
+#: Paths of the tables that the operators now running have written, innermost operator last.
+_SCOPES: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Written to and reread from the folder that all executors share: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     (df.repartition(partitions) if partitions else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(name: str):
+    """For operators whose result is small beside the tables on the way to it: stores the result and removes those tables."""
+    def around(operator):
+        @functools.wraps(operator)
+        def run(*args, **more):
+            _SCOPES.append([])
+            try:
+                result = operator(*args, **more)
+            finally:
+                scope = _SCOPES.pop()
+            result = stored(result, name)        # belongs to the operator around this one, if there is any
+            remove(scope)
+            return result
+        return run
+    return around
+
+
+def remove(paths: list[str]) -> None:
+    """Deletes written tables. One that cannot be deleted stays."""
+    for path in paths:
+        fs, at = file_system(path)
+        with contextlib.suppress(OSError):
+            fs.delete_dir(at)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -103,6 +135,13 @@ def sorted_runs(batches: Iterator, key: str, rows: int = 200_000) -> Iterator:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as keep it apart from the columns of docs."""
+    while name.lower() in {x.lower() for x in docs.columns}:
+        name += "_"
+    return name
+
+
 def located(docs: DataFrame, name: str = "__at") -> DataFrame:
     """docs with a column that names each row by its file and place in it. A frame that is no plain file scan is first written."""
     if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation" or "_metadata" in docs.columns:

@@ -64,35 +64,45 @@ def grouped(base: DataFrame, digest=lambda text: F.sha2(text, 256), checkpoint:
     """id, at, digest, keep (id, at of the row that stays), n of every row of base (id, text, at), by way of the keyed state."""
     spark = base.sparkSession
     keyed = base.select("id", "at", digest(ascii_lower(F.col("text"))).alias("digest"))
-    landed = scratch_path(spark, "dedup-landed")
-    keyed.write.parquet(landed)
+    rows = stored(keyed, "dedup-rows")
+    # The stream reads one folder as long as its checkpoint lives: a later run adds its rows to it.
+    landed = f"{checkpoint.rstrip('/')}-landed" if checkpoint else scratch_path(spark, "dedup-landed")
+    rows.write.mode("append").parquet(landed)
     session = spark.newSession()
     for k, v in STREAM_CONF.items():
         session.conf.set(k, v)
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     checkpoint = checkpoint or scratch_path(spark, "dedup-state")
-    rows = spark.read.schema(keyed.schema).parquet(landed)
     consume(landed, keyed.schema, checkpoint, session, max_files)
     state = stored(read_state(spark, checkpoint), "dedup-groups")
-    wrong = _unequal(base, state, digest)
+    wrong = _unequal(base, rows, state, digest)
     plain = rows.join(state, "digest").select("id", "at", "digest", "keep", "n")
     if not wrong.isEmpty():
         plain = plain.join(checked_broadcast(wrong), "digest", "left_anti").unionByName(_by_text(base, wrong, digest))
     return plain
 
 
-def _unequal(base: DataFrame, state: DataFrame, digest) -> DataFrame:
-    """Digests under which some row's bytes differ from the bytes at the kept locator."""
+def _unequal(base: DataFrame, rows: DataFrame, state: DataFrame, digest) -> DataFrame:
+    """Digests of these rows under which some row's bytes differ from the bytes at the kept locator, which may lie in the files of an earlier run."""
     hits = checked_broadcast(state.where("n > 1").select("digest", F.col("keep.at").alias("keep_at")))
     text = ascii_lower(F.col("text"))
     member = base.withColumn("digest", digest(text)).join(hits, "digest").select("digest", text.alias("text"), (F.col("at") == F.col("keep_at")).alias("is_kept"))
     member = stored(member, "dedup-hits")
     held = member.where("is_kept").select("digest", F.col("text").alias("held"))
+    earlier = hits.join(rows.select("digest").distinct(), "digest", "left_semi").join(held.select("digest"), "digest", "left_anti")
+    files = [r["file"] for r in earlier.select(F.regexp_replace("keep_at", r":[0-9]+$", "").alias("file")).distinct().collect()]      # one row per file
+    if files:
+        held = held.unionByName(_fetched(base.sparkSession, files).join(earlier, F.col("at") == F.col("keep_at")).select("digest", text.alias("held")))
     # Written before it is made distinct: a grouping by the same key would keep Spark from splitting a large group's join.
     differ = stored(member.where("not is_kept").join(held, "digest").where("text <> held").select("digest"), "dedup-differ")
     return differ.distinct()
 
 
+def _fetched(spark, files: list[str], text_col: str = "text") -> DataFrame:
+    """text, at of all rows of files that earlier runs read or wrote."""
+    return spark.read.parquet(*files).select(F.coalesce(c(text_col), F.lit("")).alias("text"), F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias("at"))
+
+
 def _by_text(base: DataFrame, wrong: DataFrame, digest) -> DataFrame:
     """The rows of colliding digests, grouped by their whole text."""
     text = ascii_lower(F.col("text"))

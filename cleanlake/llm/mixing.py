@@ -55,13 +55,13 @@ def tilt(cells: DataFrame, goals: DataFrame, cap: float = CAP) -> DataFrame:
     """source, lam, mean: the multiplier of every source, by safeguarded Newton steps that all sources take together.
 
     f(lambda) = sum(n * size * min(cap, exp(lambda * x))) - target with x = size / mean rises in lambda; each step keeps a bracket
-    of the root and falls back to its middle when Newton leaves it. A source whose target is cap times its size has lam = infinity.
+    of the root and falls back to its middle when Newton leaves it. The lower end is a guess until f lies below the target there: it doubles until then. A source whose target is cap times its size has lam = infinity.
     """
     spark = cells.sparkSession
     means = cells.where("size > 0").groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.min("size").alias("least"))
     top = F.log(F.lit(float(cap))) * F.col("mean") / F.col("least")     # there every document has reached the cap
     state = goals.join(means, goals["source"].eqNullSafe(means["source"])).drop(means["source"])
-    state = stored(state.select("source", "source_size", "target", "mean", F.lit(0.0).alias("lam"), F.lit(-60.0).alias("low"), top.alias("high"), F.lit(math.inf).alias("gap")), "mix-dual")
+    state = stored(state.select("source", "source_size", "target", "mean", F.lit(0.0).alias("lam"), F.lit(-60.0).alias("low"), F.lit(False).alias("sure"), top.alias("high"), F.lit(math.inf).alias("gap")), "mix-dual")
     while True:
         s = checked_broadcast(state.select(F.col("source").alias("s"), "mean", "lam"))
         x = F.col("size") / F.col("mean")
@@ -72,13 +72,14 @@ def tilt(cells: DataFrame, goals: DataFrame, cap: float = CAP) -> DataFrame:
         sums = sums.withColumnRenamed("source", "s")
         both = state.join(sums, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("miss", F.col("f") - F.col("target"))
         both = (both.withColumn("high", F.when(F.col("miss") >= 0, F.col("lam")).otherwise(F.col("high")))
-                .withColumn("low", F.when(F.col("miss") <= 0, F.col("lam")).otherwise(F.col("low"))))
+                .withColumn("low", F.when(F.col("miss") <= 0, F.col("lam")).when(~F.col("sure") & (F.col("lam") <= F.col("low")), 2 * F.col("low")).otherwise(F.col("low")))
+                .withColumn("sure", F.col("sure") | (F.col("miss") <= 0)))
         newton = F.col("lam") - F.when(F.col("slope") > 0, F.col("miss") / F.col("slope"))
         inside = newton.isNotNull() & (newton > F.col("low")) & (newton < F.col("high"))
-        step = F.when(F.abs("miss") <= TOLERANCE * F.col("target"), F.col("lam")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
-        state = stored(both.select("source", "source_size", "target", "mean", step.alias("lam"), "low", "high",
+        step = F.when(F.abs("miss") <= TOLERANCE * F.col("target"), F.col("lam")).when(inside, newton).when(F.col("sure"), (F.col("low") + F.col("high")) / 2).otherwise(F.col("low"))
+        state = stored(both.select("source", "source_size", "target", "mean", step.alias("lam"), "low", "sure", "high",
                                    F.when(F.col("target") >= cap * F.col("source_size"), 0.0)
-                                   .when((F.col("high") - F.col("low")) <= 1e-12 * F.greatest(F.lit(1.0), F.abs("lam")), 0.0)
+                                   .when(F.col("sure") & ((F.col("high") - F.col("low")) <= 1e-12 * F.greatest(F.lit(1.0), F.abs("lam"))), 0.0)
                                    .otherwise(F.abs("miss") / F.col("target")).alias("gap")), "mix-dual")
         if state.where(F.col("gap") > TOLERANCE).isEmpty():
             return state.select("source", "target", "mean", F.when(F.col("target") >= cap * F.col("source_size"), math.inf).otherwise(F.col("lam")).alias("lam"))

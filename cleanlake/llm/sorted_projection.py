@@ -176,17 +176,23 @@ def _counted(cosine: float):
 def near_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, cosine: float = COSINE, passes: int | None = None, window: int = WINDOW, seed: int = 0) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors.
 
-    Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components link with nothing. Rows
-    that repeat a vec_id are rows of their own; they may link with each other. A null vec_id takes part and is the largest of its
-    class; alone, its component_id is null and kept is true. No rows give no rows. Other columns are ignored.
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and vectors of different lengths not with each other:
+    each length is searched on its own. Rows that repeat a vec_id are rows of their own; they may link with each other. A null vec_id takes part and
+    is the largest of its class; alone, its component_id is null and kept is true. No rows give no rows. Other columns are ignored.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(c(id_col).cast("long").alias("vec_id"), c(vec_col).cast("array<double>").alias("embedding"))
-    usual = rows.where("size(embedding) > 0").groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    plain = lambda df: df.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not usual:
-        return plain(rows)
-    dim = usual[0]["d"]
+    size = F.coalesce(F.size("embedding"), F.lit(-1))
+    several = sorted(r["d"] for r in rows.groupBy(size.alias("d")).agg(F.count(F.lit(1)).alias("n")).where("d > 0 and n > 1").collect())      # lengths
+    out = rows.where(~size.isin(several)) if several else rows
+    out = out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    for d in several:
+        out = out.unionByName(_classes_of_length(rows.where(size == d), d, cosine, passes, window, seed))
+    return out
+
+
+def _classes_of_length(rows: DataFrame, dim: int, cosine: float, passes: int | None, window: int, seed: int) -> DataFrame:
+    """near_classes of vectors of one length."""
+    spark = rows.sparkSession
     # A row number that survives a lost task: the identifier where it is unique, else a number written once.
     named = stored(rows.withColumn("row", F.monotonically_increasing_id()), "vectors-rows")
     with arrow_rows(spark, 2000):

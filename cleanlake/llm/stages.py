@@ -11,28 +11,29 @@ from pyspark.sql import functions as F
 
 from cleanlake.core import c
 from cleanlake.llm import exact_dedup, jaccard_join, langid, lattice, mixing
-from cleanlake.llm.common import arrow_rows, checked_broadcast, located, stored
+from cleanlake.llm.common import arrow_rows, checked_broadcast, located, stored, unused
 
-AT = "__at"
 WORDS, PERCENT = 5, 80      # of the near-duplicate stage; those of op10 are its own
 
 
-def _without(docs: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
-    return docs.join(checked_broadcast(stored(dropped, "stage-dropped")), AT, "left_anti").select(*[c(x) for x in columns])
+def _without(docs: DataFrame, dropped: DataFrame, at: str, columns: list[str]) -> DataFrame:
+    return docs.join(checked_broadcast(stored(dropped, "stage-dropped")), at, "left_anti").select(*[c(x) for x in columns])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in none of the languages: blank texts and texts that fit the unknown language best."""
-    rows = located(docs)
-    found = langid.identify(langid.document_evidence(rows, id_col=AT))
-    return _without(rows, found.where("not kept").select(F.col("id").alias(AT)), docs.columns)
+    at = unused(docs, "__at")
+    rows = located(docs, at)
+    found = langid.identify(langid.document_evidence(rows, id_col=at))
+    return _without(rows, found.where("not kept").select(F.col("id").alias(at)), at, docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the largest doc_id of each group of equal texts."""
-    rows = located(docs)
-    base = rows.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col(AT).alias("at"))
-    return _without(rows, exact_dedup.grouped(base).where(F.col("at") != F.col("keep.at")).select(F.col("at").alias(AT)), docs.columns)
+    at = unused(docs, "__at")
+    rows = located(docs, at)
+    base = rows.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col(at).alias("at"))
+    return _without(rows, exact_dedup.grouped(base).where(F.col("at") != F.col("keep.at")).select(F.col("at").alias(at)), at, docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +45,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources come near their target shares of the words."""
-    rows = located(docs)
-    copies = mixing.copies(rows, id_col=AT).where("copies > 0").select(F.col("doc_id").alias(AT), "copies")
-    chosen = rows.join(checked_broadcast(stored(copies, "stage-mix")), AT)
-    return chosen.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[c(x) for x in docs.columns])
+    at, n = unused(docs, "__at"), unused(docs, "__copies")
+    rows = located(docs, at)
+    copies = mixing.copies(rows, id_col=at).where("copies > 0").select(F.col("doc_id").alias(at), F.col("copies").cast("int").alias(n))
+    chosen = rows.join(checked_broadcast(stored(copies, "stage-mix")), at)
+    return chosen.select(*[c(x) for x in docs.columns], F.explode(F.sequence(F.lit(1), F.col(n))).alias(n)).select(*[c(x) for x in docs.columns])
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

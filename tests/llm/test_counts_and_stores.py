@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cleanlake.core import scratch_path
+from cleanlake.llm.common import stored
 from cleanlake.llm import exact_dedup, separators, warc_store
 
 FOLD = {ord(a): ord(a) + 32 for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -120,6 +121,17 @@ def test_stream_goes_on_from_its_checkpoint(spark, odd_docs):
     assert {r.digest: r.n for r in exact_dedup.read_state(spark, state).collect()} == {k: 2 * v for k, v in once.items()}
 
 
+def test_dedup_runs_again_on_its_checkpoint(spark, odd_docs):
+    """The second run counts the first one's rows, compares bytes with texts that only the first one had, and tells colliding digests apart."""
+    rows = [(1, "Same text"), (2, "other"), (5, "alone")]
+    more = [(3, "same TEXT"), (4, "same text"), (0, "other"), (6, "fresh")]
+    first, second = (stored(spark.createDataFrame(r, "doc_id long, text string"), "two-runs") for r in (rows, more))
+    state = scratch_path(spark, "state")
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.dedup(first, checkpoint=state).collect()} == {1: (1, 1), 2: (2, 1), 5: (5, 1)}
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(second, checkpoint=state).collect()}
+    assert got == {3: (4, 3, False), 4: (4, 3, True), 0: (2, 2, False), 6: (6, 1, True)}
+
+
 def test_stream_dedup_plan_is_native(odd_docs):
     import re
     plan = exact_dedup.dedup(odd_docs)._jdf.queryExecution().executedPlan().toString()

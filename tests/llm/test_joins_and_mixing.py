@@ -9,31 +9,7 @@ from pyspark.sql import functions as F
 
 from cleanlake.llm import jaccard_join, mixing, sorted_projection
 from cleanlake.llm.shingles import shingle_sets
-
-FOLD = {ord(a): ord(a) + 32 for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-
-
-def shingles(text, k=4):
-    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(FOLD))
-    return frozenset(tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
-
-
-def brute_classes(rows, percent=85):
-    """(doc_id, n, component) by comparing all pairs."""
-    sets = [shingles(t) for _, t in rows]
-    part = list(range(len(rows)))
-    find = lambda a: a if part[a] == a else find(part[a])
-    for i in range(len(rows)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and rows[i][0] is not None and rows[j][0] is not None and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                a, b = find(i), find(j)
-                part[max(a, b)] = min(a, b)
-    least = {}
-    for i, (d, _) in enumerate(rows):
-        least[find(i)] = min(least.get(find(i), math.inf), d if d is not None else math.inf)
-    return sorted((d if d is not None else -1, len(s), None if d is None else least[find(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets)))
-
+from llm_brute import FOLD, brute_classes, brute_targets, shingles
 
 def same(df, rows):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in jaccard_join.classes(df).collect())
@@ -229,22 +205,6 @@ def test_sorted_projection_empty(spark):
     assert [tuple(r) for r in sorted_projection.near_classes(only).collect()] == [(1, 0, 1, True)]
 
 
-def brute_targets(sizes, cap=3):
-    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(x) for x in s]) + ([None] if None in sizes else [])
-    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
-    out, left, open_ = {}, float(sum(sizes.values())), set(names)
-    while open_:
-        level = left / sum(weight[s] for s in open_)
-        over = {s for s in open_ if level * weight[s] > cap * sizes[s]}
-        if not over:
-            return out | {s: level * weight[s] for s in open_}
-        for s in over:
-            out[s] = cap * sizes[s]
-            left -= out[s]
-        open_ -= over
-    return out
-
-
 def check_mix(df):
     rows = [r.asDict() for r in mixing.copies(df).collect()]
     d = pd.DataFrame(rows)
@@ -285,3 +245,22 @@ def test_mixing_rates_are_entropic(spark, sf):
 def test_mixing_one_source_without_words(spark):
     df = spark.createDataFrame([(1, "", "a"), (2, None, "a"), (3, "x y z", "b"), (4, "q", "b")], "doc_id long, text string, source string")
     check_mix(df)
+
+
+def test_mix_meets_small_targets(spark):
+    """The multiplier of a source whose single words weigh next to nothing beside one long text lies far below the first bracket."""
+    rows = [(i, "w", "b") for i in range(400)] + [(400, "w " * 40_000, "b")] + [(1000 + i, "x " * 30, f"a{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = spark.createDataFrame([("b", 1, 400), ("b", 40_000, 1)], "source string, size long, n long")
+    goal = spark.createDataFrame([("b", 40_400, 167.05)], "source string, source_size long, target double")
+    dual = mixing.tilt(sizes, goal).first()
+    rate = lambda size: math.exp(min(math.log(3), dual.lam * size / dual.mean))
+    assert abs(400 * rate(1) + 40_000 * rate(40_000) - 167.05) < 0.01
+    assert mixing.copies(df).count() == len(rows)
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1.0, 2.01]), (3, [1.0, 2.0, 0.0]), (9, [7.0]), (10, None), (11, [0.0, 0.0])] + [(20 + i, [1.0, 0.0, float(i), 1.0]) for i in range(5)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in sorted_projection.near_classes(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, row string")).collect()}
+    assert len(got) == len(rows) and got[1] == (1, 1) and got[2] == (1, 1) and got[3] == (0, 3) and got[9] == (0, 9) and got[10] == (0, 10) and got[11] == (0, 11)
+    assert got[24][0] >= 1

@@ -1,10 +1,10 @@
 import re
 
 import corpus_pipeline
+from llm_brute import FOLD, brute_classes, brute_targets
 from cleanlake.llm.common import stored
-from test_joins_and_mixing import FOLD, brute_classes, brute_targets
 
-from cleanlake.llm import lattice
+from cleanlake.llm import lattice, stages
 
 
 def test_pipeline_against_brute_force(spark, sf):
@@ -22,7 +22,7 @@ def test_pipeline_against_brute_force(spark, sf):
         t = rows[i].text.translate(FOLD)
         keep[t] = max(keep.get(t, -1), i)
     assert sorted(after[names[1]]) == sorted(keep.values())
-    near = brute_classes([(i, rows[i].text) for i in after[names[1]]])
+    near = brute_classes([(i, rows[i].text) for i in after[names[1]]], stages.PERCENT, stages.WORDS)
     assert sorted(after[names[2]]) == sorted(d for d, n, c in near if d == c)
     words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", rows[i].text)) for i in after[names[2]]}
     size, taken, least = {}, {}, {}
@@ -51,3 +51,12 @@ def test_odd_and_empty_documents(spark, odd_docs, empty_docs, sf):
         for _, stage in corpus_pipeline.STAGES:
             df = stored(stage(spark, df, sf), "test-stage")
         assert (df.count() == 0) == (docs is empty_docs)
+
+
+def test_clashing_column_names(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    names = ["__at", "copies", "__copies", "__copy", "at", "keep", "digest", "id", "host", "key", "n"]
+    odd = docs.select("*", *[docs["lang"].alias(x) for x in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stored(stage(spark, odd, sf), "test-stage")
+        assert got.columns == odd.columns and got.count() == stored(stage(spark, docs, sf), "test-stage").count()
