@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cleanlake.core import c, count_if, dbl, share, small_frame
 from cleanlake.operators.profile import known_counts
 from cleanlake.operators.quantiles import exact_quantiles
+from cleanlake.operators.selection import sample_n
 
 EARTH_KM = 6371.0
 
@@ -113,7 +114,6 @@ def density(df: DataFrame, lat: str, lon: str) -> DataFrame:
 
 
 def sample_points(df: DataFrame, lat: str, lon: str, key: str, n: int, extra: list[str] | None = None, seed: int = 42) -> DataFrame:
-    """n points chosen by hash of the key, with colour and size columns."""
+    """n points chosen by the hash of the key (see `sample_n`), with colour and size columns."""
     pair = df.where(c(lat).isNotNull() & c(lon).isNotNull())
-    h = F.xxhash64(c(key), F.lit(seed))
-    return pair.orderBy(h, c(key)).limit(n).select(c(key), c(lat), c(lon), *[c(x) for x in (extra or [])])
+    return sample_n(pair, n, [key], seed).select(c(key), c(lat), c(lon), *[c(x) for x in (extra or [])])

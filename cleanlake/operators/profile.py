@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import statistics
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanlake.core import c, count_if, datetime_columns, dbl, numeric_columns, roles, share, small_frame, text_columns, written
+from cleanlake.functions.normal import inverse_normal
 from cleanlake.functions.parsing import as_boolean, as_date_auto, as_number, as_number_clean
 from cleanlake.operators import ordered
 from cleanlake.operators.quantiles import exact_quantiles
@@ -307,8 +307,7 @@ def qq_points(df: DataFrame, column: str, points: int = 100) -> DataFrame:
     pos = [0.5 ** (1 / m) if i == m else 1 - 0.5 ** (1 / m) if i == 1 else (i - 0.3175) / (m + 0.365) for i in range(1, m + 1)]
     probs = [(i / (m - 1)) if m > 1 else 0.5 for i in range(m)]
     vals = exact_quantiles(df, [column], probs)[column]
-    normal = statistics.NormalDist()
-    return small_frame(df.sparkSession, [(p, normal.inv_cdf(p), v) for p, v in zip(pos, vals)], "position double, theoretical double, ordered double")
+    return small_frame(df.sparkSession, list(zip(pos, inverse_normal(np.array(pos)).tolist(), vals)), "position double, theoretical double, ordered double")
 
 
 # ---------------------------------------------------------------- missingness patterns

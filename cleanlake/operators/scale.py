@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanlake.core import c, dbl, numeric_columns, small_frame
+from cleanlake.functions.normal import inverse_normal
 from cleanlake.operators import ordered
 from cleanlake.operators.profile import distribution_analysis, profile
 from cleanlake.operators.quantiles import exact_quantiles
@@ -195,8 +196,7 @@ def transform_quantile(df: DataFrame, fit: QuantileMap, suffix: str = "_scaled")
             v = s.to_numpy(dtype=float)
             u = 0.5 * (np.interp(v, e, ref) - np.interp(-v, -e[::-1], -ref[::-1]))
             if normal:
-                inv = statistics.NormalDist().inv_cdf
-                u = np.array([np.nan if np.isnan(q) else inv(min(max(q, 1e-7), 1 - 1e-7)) for q in u])
+                u = inverse_normal(np.clip(u, 1e-7, 1 - 1e-7))
             return pd.Series(u)
 
         out = out.withColumn(x + suffix, F.when(dbl(x).isNotNull(), place(dbl(x))))

@@ -34,8 +34,9 @@ def rows_between(df: DataFrame, start: int, end: int, order_by: list[str]) -> Da
 
 
 def sample_n(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
-    """n rows in the order of a seeded hash of the key: repeatable on any cluster."""
-    return df.orderBy(F.xxhash64(*[c(k) for k in key], F.lit(seed)), *[c(k) for k in key]).limit(n)
+    """n rows in the order of the MD5 of key and seed (joined by bars): repeatable on any cluster, and by any other engine."""
+    digest = F.md5(F.concat_ws("|", *[c(k).cast("string") for k in key], F.lit(str(seed))))
+    return df.orderBy(digest, *[c(k) for k in key]).limit(n)
 
 
 def not_null(df: DataFrame, columns: list[str]) -> DataFrame:

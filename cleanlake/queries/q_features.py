@@ -116,7 +116,7 @@ OL = ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey"]
 query("preview_head", f"SELECT {KS}, l_extendedprice FROM lineitem {ORD} LIMIT 25")(lambda s, d: SE.head(li(s, d), 25, OL).select(*LK, "l_extendedprice"))
 query("preview_tail", f"SELECT * FROM (SELECT {KS}, l_extendedprice FROM lineitem {ORD.replace(',', ' DESC,')} DESC LIMIT 25)")(lambda s, d: SE.tail(li(s, d), 25, OL).select(*LK, "l_extendedprice"))
 query("preview_slice", f"SELECT {KS}, l_extendedprice FROM lineitem {ORD} LIMIT 40 OFFSET 1000")(lambda s, d: SE.rows_between(li(s, d), 1000, 1040, OL).select(*LK, "l_extendedprice"))
-query("sample_n")(lambda s, d: SE.sample_n(li(s, d), 500, LK).select(*LK))
+query("sample_n", f"SELECT {', '.join(LK)} FROM lineitem ORDER BY md5(concat_ws('|', {', '.join(f'CAST({k} AS VARCHAR)' for k in LK)}, '42')), {', '.join(LK)} LIMIT 500")(lambda s, d: SE.sample_n(li(s, d), 500, LK).select(*LK))
 query("drop_columns", "SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority FROM orders")(lambda s, d: table(s, d, "orders").drop("o_orderstatus", "o_totalprice"))
 query("filter_not_null_pairs", ora("customer_geo", "SELECT c_custkey, latitude, longitude FROM customer_geo WHERE latitude IS NOT NULL AND longitude IS NOT NULL"))(lambda s, d: SE.not_null(table(s, d, "customer_geo"), ["latitude", "longitude"]).select("c_custkey", "latitude", "longitude"))
 

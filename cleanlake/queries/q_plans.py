@@ -192,7 +192,7 @@ def _subset(s, d):
 
 OS = "SELECT o_orderkey, o_totalprice, '{0}' AS rows FROM orders"
 query("sink_subset", OS.format("all") + " UNION ALL SELECT * FROM (" + OS.format("first") + " ORDER BY o_totalprice, o_orderkey LIMIT 10) UNION ALL SELECT * FROM (" + OS.format("last") + " ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 10) UNION ALL SELECT * FROM (" + OS.format("range") + " ORDER BY o_totalprice, o_orderkey LIMIT 20 OFFSET 100)")(_subset)
-query("sink_subset_random")(lambda s, d: SK.subset(table(s, d, "orders"), ["o_orderkey"], "random", 100, ["o_orderkey"]))
+query("sink_subset_random", "SELECT o_orderkey FROM orders ORDER BY md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), '42')), o_orderkey LIMIT 100")(lambda s, d: SK.subset(table(s, d, "orders"), ["o_orderkey"], "random", 100, ["o_orderkey"]))
 
 
 def events_log(s, d):

@@ -231,11 +231,13 @@ def _distref(s, d):
 
 DREF = lambda how, pt: f"SELECT '{how}' AS reference, {R('avg(km)', 3)} AS mean, {R('quantile_cont(km, 0.5)', 3)} AS median, {R('min(km)', 3)} AS min, {R('max(km)', 3)} AS max, {R('stddev_pop(km)', 3)} AS std FROM (SELECT {HAV('a', 'b', 'latitude', 'longitude')} AS km FROM g, ({pt}))"
 query("geo_distance_ref", ora("customer_geo", f"WITH g AS (SELECT * FROM customer_geo WHERE {OKC}) " + DREF("centroid", "SELECT avg(latitude) AS a, avg(longitude) AS b FROM g") + " UNION ALL " + DREF("first", "SELECT latitude AS a, longitude AS b FROM g ORDER BY c_custkey LIMIT 1")))(_distref)
-query("geo_bounds", ora("customer_geo", f"""WITH b AS (SELECT min(latitude) AS a, max(latitude) AS b, min(longitude) AS x, max(longitude) AS y, avg(latitude) AS m, avg(longitude) AS k FROM customer_geo WHERE {OKC})
+BOUNDS = lambda rows: f"""WITH b AS (SELECT min(latitude) AS a, max(latitude) AS b, min(longitude) AS x, max(longitude) AS y, avg(latitude) AS m, avg(longitude) AS k FROM {rows})
   SELECT {R('a')} AS lat_min, {R('b')} AS lat_max, {R('x')} AS lon_min, {R('y')} AS lon_max, {R('m')} AS lat_mean, {R('k')} AS lon_mean, {R('b - a')} AS lat_range, {R('y - x')} AS lon_range,
-  CASE WHEN (a + b) / 2 BETWEEN -48 AND 71 AND (x + y) / 2 BETWEEN -168 AND -52 THEN 'North America' ELSE 'other' END AS region FROM b"""))(lambda s, d: rounded(G.bounds(G.fix_invalid(cg(s, d), *LL, "remove"), *LL)))
+  CASE WHEN (a + b) / 2 BETWEEN -48 AND 71 AND (x + y) / 2 BETWEEN -168 AND -52 THEN 'North America' ELSE 'other' END AS region FROM b"""
+query("geo_bounds", ora("customer_geo", BOUNDS(f"customer_geo WHERE {OKC}")))(lambda s, d: rounded(G.bounds(G.fix_invalid(cg(s, d), *LL, "remove"), *LL)))
 query("geo_density", ora("customer_geo", f"""WITH g AS (SELECT * FROM customer_geo WHERE {OKC}), m AS (SELECT min(latitude) AS a, max(latitude) AS b, min(longitude) AS x, max(longitude) AS y, least(10, greatest(3, CAST(floor(sqrt(count(*))) AS INT))) AS k FROM g),
   t AS (SELECT CAST(least(floor((latitude - a) * k / (b - a)), k - 1) AS BIGINT) AS lat_cell, CAST(least(floor((longitude - x) * k / (y - x)), k - 1) AS BIGINT) AS lon_cell, count(*) AS points FROM g, m GROUP BY 1, 2)
   SELECT lat_cell, lon_cell, {R('a + (lat_cell + 0.5) * ((b - a) / k)')} AS lat_center, {R('x + (lon_cell + 0.5) * ((y - x) / k)')} AS lon_center, points, points = (SELECT max(points) FROM t) AS densest FROM t, m"""))(
     lambda s, d: rounded(G.density(G.fix_invalid(cg(s, d), *LL, "remove"), *LL)))
-query("geo_mean_center_sample")(lambda s, d: rounded(G.bounds(G.sample_points(G.fix_invalid(cg(s, d), *LL, "remove"), *LL, "c_custkey", 500, ["c_acctbal", "c_mktsegment"]), *LL)))
+query("geo_mean_center_sample", ora("customer_geo", BOUNDS(f"(SELECT * FROM customer_geo WHERE {OKC} ORDER BY md5(concat_ws('|', CAST(c_custkey AS VARCHAR), '42')), c_custkey LIMIT 500)")))(
+    lambda s, d: rounded(G.bounds(G.sample_points(G.fix_invalid(cg(s, d), *LL, "remove"), *LL, "c_custkey", 500, ["c_acctbal", "c_mktsegment"]), *LL)))

@@ -283,3 +283,12 @@ def test_hundred_columns(spark):
     assert n == len(rows) and np.allclose(sums, rows.sum(axis=0)) and np.allclose(products, rows.T @ rows)
     flags = profile.missing_corr(df).collect()
     assert flags == []
+
+
+def test_inverse_normal_of_arrays():
+    import statistics
+
+    from cleanlake.functions.normal import inverse_normal
+    p = np.concatenate([np.linspace(1e-6, 1 - 1e-6, 4001), [1e-300, 1e-30, 1e-12, 0.075, 0.925, 1 - 1e-12]])
+    assert np.allclose(inverse_normal(p), [statistics.NormalDist().inv_cdf(x) for x in p], rtol=1e-12, atol=1e-14)
+    assert np.isnan(inverse_normal(np.array([0.0, 1.0, np.nan, -1.0]))).all() and inverse_normal(np.array([0.5]))[0] == 0
