@@ -112,6 +112,29 @@ def test_fuzzy_pairs_miss_nothing(spark, threshold):
     assert got == want
 
 
+@pytest.mark.parametrize("threshold", [70, 80, 92])
+def test_fuzzy_long_texts_share_rare_grams(spark, threshold):
+    rnd = random.Random(threshold)
+    v = set()
+    for _ in range(12):
+        base = [rnd.choice("abcdeé漢 ") for _ in range(rnd.randint(20, 160))]
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rnd.randint(0, len(w) // 3)):
+                w[rnd.randrange(len(w))] = rnd.choice("abcdefgh")
+                if rnd.random() < 0.3:
+                    del w[rnd.randrange(len(w))]
+            v.add("".join(w))
+    v = sorted(v)
+    want = {(a, b) for a, b in itertools.combinations(v, 2) if lev(a, b) * 100 <= (100 - threshold) * max(len(a), len(b))}
+    df = spark.createDataFrame([(x,) for x in v], "s string")
+    assert want and {(r["left"], r["right"]) for r in fuzzy.pairs(df, "s", threshold).collect()} == want
+    q = fuzzy._gram_size(threshold)
+    freq = fuzzy._grams(df.toDF("v"), q).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    keys = fuzzy._prefixes(df.toDF("v"), freq, threshold, q).count()
+    assert keys <= sum(q * fuzzy._edits(len(x), threshold) + 1 for x in v) <= sum(map(len, v)) + len(v)
+
+
 def test_fuzzy_matches_two_tables(spark):
     a, b = words(40, 1), words(40, 2)
     got = {(r[0], r[1]) for r in fuzzy.matches(spark.createDataFrame([(x,) for x in a], "x string"), spark.createDataFrame([(x,) for x in b], "y string"), "x", "y", 70).select("left_value", "right_value").collect()}
