@@ -46,7 +46,7 @@ def prepare(df: DataFrame, key: list[str], steps: list[str] | None = None, lat:
     for step in STEPS:
         if step in (steps or STEPS) and (step != "geospatial" or (lat and lon)):
             run.run(step, make[step])
-    return run.df, run.log_frame()
+    return run.df, run.log_frame().withColumn("columns", F.col("columns_after"))
 
 
 # ---------------------------------------------------------------- batch

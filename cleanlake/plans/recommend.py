@@ -12,6 +12,7 @@ from cleanlake.operators import textops
 from cleanlake.plans.runner import Steps
 
 SCHEMA = "type string, column string, severity string, value double, action string, auto_fixable boolean, minutes int"
+APPLIED = "position int, type string, column string, action string, success boolean, message string, rows_before long, columns_before int, rows_after long, columns_after int"
 # fixed values: minutes saved per action, order of severities and of treatments
 MINUTES = {"drop_column": 10, "knn_impute": 30, "impute": 15, "winsorize": 20, "flag_outliers": 15, "convert_to_numeric": 10, "remove_duplicates": 5, "auto_scale": 25, "encode": 15}
 SEVERITY = {"high": 0, "medium": 1, "low": 2}
@@ -131,13 +132,15 @@ def apply_all(df: DataFrame, recommendations: list[tuple] | None = None, key: st
     columns of the input are treated, not the ones that actions add. A failing action is reported, and the table stays as it was before it.
     Second result: the log of the steps.
     """
-    steps, tried, own = Steps(df), set(), {*df.columns, "all", "numeric_features"}
+    steps, tried, own, types_ = Steps(df), set(), {*df.columns, "all", "numeric_features"}, []
     recs = rules(df) if recommendations is None else recommendations
     while True:
         todo = [r for r in sorted(recs, key=lambda r: SEVERITY.get(r[2], 3)) if r[5] and r[1] in own and (r[0], r[1], r[4]) not in tried]
         if not todo:
-            return steps.df, steps.log_frame()
+            rows = [(n, kind, target, step, done, said, *sizes) for kind, (n, step, target, done, said, *sizes) in zip(types_, steps.log)]
+            return steps.df, small_frame(df.sparkSession, rows, APPLIED)
         r = todo[0]
+        types_.append(r[0])
         tried.add((r[0], r[1], r[4]))
         done = steps.run(r[4], lambda t: apply_recommendation(t, r[4], r[1], key), r[1])
         if done and recommendations is None:

@@ -238,7 +238,7 @@ def test_batch_reports_what_fails_while_running(spark):
 def test_rules_follow_the_table(spark):
     rows = [(float(i % 9), None if i % 10 == 0 else f"${i % 7}" if i % 11 else "n/a") for i in range(200)]
     out, log = recommend.apply_all(spark.createDataFrame(rows, "x double, t string"))
-    steps = [(r["step"], r["target"], r["success"]) for r in log.collect()]
+    steps = [(r["action"], r["column"], r["success"]) for r in log.collect()]
     assert ("convert_to_numeric", "t", True) in steps
     after = steps[steps.index(("convert_to_numeric", "t", True)) + 1:]
     assert any(s[0].startswith("impute_m") and s[1] == "t" for s in after)        # its nulls appear only now
