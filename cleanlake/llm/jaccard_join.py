@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanlake.core import c
-from cleanlake.llm.common import arrow_rows, checked_broadcast, sorted_runs, stored
+from cleanlake.llm.common import arrow_rows, checked_broadcast, sorted_runs, stored, tidy
 from cleanlake.llm.shingles import chunks, mix, shingle_sets
 from cleanlake.operators.fuzzy import components
 
 WORDS, PERCENT = 4, 85
 GROWTH = 1.5          # of the upper size from band to band
-SKETCH = 8            # 64-bit words of the parity sketch
+SKETCH = 8            # 64-bit words of the parity sketch, at least; four bits per difference that a matching pair may have
 RUN = 20_000          # rows of a signature that one task compares; more are dealt over several
 OWN, FIRST, NEAR, UPPER = range(4)      # kinds of index rows: own segment, the first one, its neighbourhood, a segment of the next band
 
@@ -70,12 +70,34 @@ def _segmented(tokens: np.ndarray, band: int, percent: int) -> tuple[np.ndarray,
     return full.view(np.int64), near.view(np.int64)
 
 
-def _sketch(tokens: np.ndarray) -> bytes:
-    """Parity of the number of tokens on each of SKETCH * 64 bits."""
-    bit = np.bincount((mix(tokens, 15) % np.uint64(SKETCH * 64)).astype(np.int64), minlength=SKETCH * 64) & 1
+@functools.lru_cache(256)
+def sketch_words(band: int, percent: int) -> int:
+    """64-bit words of the sketches of a band, a power of two. Sets that have nothing in common differ in nearly half of the bits, about twice as many as a
+    matching pair may, at every size; a fixed number of bits would fill up."""
+    need = -(-4 * segments(band, percent) // 64)
+    return max(SKETCH, 1 << (need - 1).bit_length())
+
+
+def _sketch(tokens: np.ndarray, words: int) -> bytes:
+    """Parity of the number of tokens on each of the bits."""
+    bit = np.bincount((mix(tokens, 15) % np.uint64(words * 64)).astype(np.int64), minlength=words * 64) & 1
     return np.packbits(bit.astype(np.uint8)).tobytes()
 
 
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one length, the shortest there is: a longer one is the sum of its halves modulo two, which counts the same parities on fewer bits."""
+    sizes = np.array([len(x) for x in sketches])
+    least, out = sizes.min(), np.zeros((len(sketches), sizes.min() // 8), np.uint64)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        bits = np.frombuffer(b"".join(sketches[i] for i in at), np.uint64).reshape(len(at), -1)
+        while bits.shape[1] * 8 > least:
+            half = bits.shape[1] // 2
+            bits = bits[:, :half] ^ bits[:, half:]
+        out[at] = bits
+    return out
+
+
 NODES = "doc_id long, n long, key long, other long, sketch binary, own array<long>, near array<long>, upper array<long>"
 
 
@@ -98,10 +120,10 @@ def _nodes(words: int, percent: int):
                         b = int(np.searchsorted(bands, n))
                         own, near = _segmented(tokens, b, percent)
                         upper = np.concatenate(_segmented(tokens, b + 1, percent)) if 100 * n >= percent * (int(bands[b]) + 1) else own[:0]
-                        row = (*row[:4], _sketch(tokens), own, near, upper)
+                        row = (*row[:4], _sketch(tokens, sketch_words(b, percent)), own, near, upper)
                     elif n and ids[at + i] is not None and key not in seen and 100 * n >= percent * (int(bands[0]) + 1):      # no partner but a larger one
                         seen.add(key)
-                        row = (*row[:4], _sketch(tokens), np.zeros(0, np.int64), np.zeros(0, np.int64), np.concatenate(_segmented(tokens, 1, percent)))
+                        row = (*row[:4], _sketch(tokens, SKETCH), np.zeros(0, np.int64), np.zeros(0, np.int64), np.concatenate(_segmented(tokens, 1, percent)))
                     out.append(row)
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(),) * 4 + (pa.binary(),) + (pa.list_(pa.int64()),) * 3)],
@@ -192,20 +214,21 @@ def _candidates(percent: int, forest: bool):
     def pairs(batches):
         for t in sorted_runs(batches, "run", 50_000):
             run, key, n, probe, part = (t.column(x).to_numpy() for x in ("run", "key", "n", "probe", "part"))
-            bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH)
+            sketches = t.column("sketch").to_pylist()
             start = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
             found = []
             for a, b in zip(start, np.append(start[1:], len(run))):
                 ask, have = a + np.flatnonzero(probe[a:b]), a + np.flatnonzero(~probe[a:b])
                 names, spot = np.unique(part[a:b], return_inverse=True)
-                edges = []
+                bits, edges = _folded(sketches[a:b]), []
                 for i in range(0, len(ask), 256):
                     x = ask[i: i + 256]
                     for j in range(0, len(have), 1024):
                         y = have[j: j + 1024]
                         fits = (n[y][None, :] <= n[x][:, None]) & (100 * n[y][None, :] >= percent * n[x][:, None]) & (part[x][:, None] != part[y][None, :])
                         u, v = np.nonzero(fits)
-                        apart = np.bitwise_count(bits[x[u]] ^ bits[y[v]]).sum(axis=1, dtype=np.int64)
+                        apart = np.concatenate([np.bitwise_count(bits[x[u[k: k + 4096]] - a] ^ bits[y[v[k: k + 4096]] - a]).sum(axis=1, dtype=np.int64)
+                                                for k in range(0, max(1, len(u)), 4096)])
                         both = n[x[u]] + n[y[v]]
                         ok = apart <= differences(both, percent)
                         edges.append((x[u[ok]], y[v[ok]], apart[ok] / both[ok]))
@@ -213,10 +236,10 @@ def _candidates(percent: int, forest: bool):
                         edges = [_thinned(edges, spot, a, len(names))]
                 if edges:
                     u, v, _ = _thinned(edges, spot, a, len(names)) if forest else [np.concatenate(e) for e in zip(*edges)]
-                    found.append(np.stack([np.minimum(key[u], key[v]), np.maximum(key[u], key[v])], 1))
+                    found.append(np.stack([np.minimum(key[u], key[v]), np.maximum(key[u], key[v]), run[u]], 1))
             if found:
                 both = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["left", "right"])
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(both[:, 2])], names=["left", "right", "run"])
     return pairs
 
 
@@ -286,20 +309,28 @@ def connected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     ask = used.where("probe").select("sig", "key", "n", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt")).select(run(F.col("salt")), "key", "n", F.lit(True).alias("probe"))
     sketches = index.groupBy("key").agg(F.min("sketch").alias("sketch"))
     both = stored(have.unionByName(ask).join(sketches, "key"), "jaccard-runs")
-    found, label = None, None
-    for forest in (True, False):
-        # First what connects the sets of each signature best; then every pair left between two classes. Pairs inside a class of
-        # verified links need no check of their own, so a large group of copies does not give all its pairs.
-        parted = both.withColumn("part", F.col("key")) if label is None else (
-            both.join(label, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("label", "key")).drop("node", "label"))
+
+    def candidates(parted: DataFrame, forest: bool) -> DataFrame:
         with arrow_rows(spark, 10_000):
-            pairs = stored(parted.repartition("run").sortWithinPartitions("run").mapInArrow(_candidates(percent, forest), "left long, right long"), "jaccard-candidates")
-        new = _checked(rows, stored(pairs.distinct(), "jaccard-pairs"), sets, words, percent)
-        found = new if found is None else found.unionByName(new)
-        label = components(found)
+            return stored(parted.repartition("run").sortWithinPartitions("run").mapInArrow(_candidates(percent, forest), "left long, right long, run long"), "jaccard-candidates")
+
+    # First what connects the sets of each signature best. Where all of that is verified, every other pair under the signature is inside a class
+    # and needs no check of its own, so a large group of copies does not give all its pairs.
+    first = candidates(both.withColumn("part", F.col("key")), True)
+    links = _checked(rows, stored(first.select("left", "right").distinct(), "jaccard-pairs"), sets, words, percent)
+    label = components(links)
+    of = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(side + "_label"))
+    apart = first.join(of("left"), "left", "left").join(of("right"), "right", "left").where(~F.coalesce(F.col("left_label") == F.col("right_label"), F.lit(False)))
+    # Under the other signatures every pair between two classes is looked at.
+    broken = stored(apart.select("run").distinct(), "jaccard-broken")
+    if not broken.isEmpty():
+        parted = both.join(checked_broadcast(broken), "run", "left_semi").join(label, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("label", "key")).drop("node", "label")
+        rest = _checked(rows, stored(candidates(parted, False).select("left", "right").distinct(), "jaccard-pairs"), sets, words, percent)
+        label = components(links.unionByName(rest))
     return nodes.select("doc_id", "n", "key"), label
 
 
+@tidy("jaccard-classes")
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs: the smallest doc_id that links reach, itself included.
 
