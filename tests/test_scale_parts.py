@@ -57,6 +57,25 @@ def test_skew_join_equals_plain_join(spark, how):
     assert rows(got, *cols) == rows(want, *cols)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_spread_join_equals_plain_join(spark, how, null_safe):
+    rnd = random.Random(4)
+    left = spark.createDataFrame([(rnd.choice(["a", "a", "a", "b", "c", "only", None]), rnd.randrange(40)) for _ in range(200)], "k string, i int")
+    right = spark.createDataFrame([(rnd.choice(["a", "a", "b", "other", None]), rnd.randrange(30)) for _ in range(90)], "q string, v int")
+    got = skew.spread_join(left, right, [("k", "q")], how, null_safe=null_safe, side=7)
+    want = left.join(right, left["k"].eqNullSafe(right["q"]) if null_safe else left["k"] == right["q"], how)
+    assert got.columns == want.columns and rows(got, *got.columns) == rows(want, *want.columns)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_pairs_of_one_key_meet_in_many_tasks(spark, how):
+    left, right = spark.range(1600).select(F.col("id").alias("a"), F.lit(1).alias("k")), spark.range(1500).select(F.col("id").alias("b"), F.lit(1).alias("q"))
+    out = joins.equi_join(left, right, ["k"], ["q"], how)
+    parts = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("a").alias("n")).collect()]
+    assert sum(parts) == 1600 * 1500 and max(parts) < 0.6 * sum(parts)
+
+
 def test_lookup_join_small_and_large(spark):
     left = spark.range(500).select((F.col("id") % 50).alias("k"), "id")
     table = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
