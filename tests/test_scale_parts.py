@@ -74,6 +74,9 @@ def test_pairs_of_one_key_meet_in_many_tasks(spark, how):
     out = joins.equi_join(left, right, ["k"], ["q"], how)
     parts = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("a").alias("n")).collect()]
     assert sum(parts) == 1600 * 1500 and max(parts) < 0.6 * sum(parts)
+    near = joins.range_join(left.withColumn("x", F.col("a") / 1600), right.withColumn("y", F.col("b") / 1500), "x", "y", 1.0)
+    parts = [r["n"] for r in near.groupBy(F.spark_partition_id()).agg(F.count("a").alias("n")).collect()]
+    assert sum(parts) == 1600 * 1500 and max(parts) < 0.6 * sum(parts)
 
 
 def test_lookup_join_small_and_large(spark):
