@@ -113,7 +113,11 @@ query("dedup_conditional", ora("orders_dirty", f"SELECT o_orderkey, copy, o_orde
     lambda s, d: D.keep_first_within(od(s, d), "o_orderstatus", ["o_custkey"], ["o_orderkey", "copy"]).select("o_orderkey", "copy", "o_orderstatus", "o_custkey"))
 NEAR = ["p_brand", "p_type", "p_size", "p_name"]
 NEAR_T = "WITH t AS (SELECT p_brand, p_type, p_size, p_name, min(p_partkey) AS k, count(*) AS n FROM part GROUP BY 1, 2, 3, 4)"
-query("dup_near", NEAR_T + " " + " UNION ALL ".join(f"""SELECT '{a},{b}' AS fixed, min(k) OVER w AS block, k AS member, n AS rows, count(*) OVER w AS block_members, CAST(sum(n) OVER w AS BIGINT) AS block_rows
+query("dup_near", f"""{NEAR_T},
+  p AS (SELECT a.k AS l, b.k AS r, a.n * b.n AS m, CAST(a.p_brand <> b.p_brand AS INT) + CAST(a.p_type <> b.p_type AS INT) + CAST(a.p_size <> b.p_size AS INT) + CAST(a.p_name <> b.p_name AS INT) AS df FROM t a JOIN t b ON a.k < b.k)
+  SELECT l AS left_key, r AS right_key, df AS differences, {R('(4 - df) * 100.0 / 4')} AS similarity, m AS row_pairs FROM p WHERE df BETWEEN 1 AND 2""")(
+    lambda s, d: rounded(D.near(table(s, d, "part"), NEAR, "p_partkey", 2)))
+query("dup_near_blocks", NEAR_T + " " + " UNION ALL ".join(f"""SELECT '{a},{b}' AS fixed, min(k) OVER w AS block, k AS member, n AS rows, count(*) OVER w AS block_members, CAST(sum(n) OVER w AS BIGINT) AS block_rows
   FROM t WINDOW w AS (PARTITION BY {a}, {b}) QUALIFY count(*) OVER w > 1""" for i, a in enumerate(NEAR) for b in NEAR[i + 1:]))(
     lambda s, d: D.near_blocks(table(s, d, "part"), NEAR, "p_partkey", 2))
 query("dup_near_counts", f"""{NEAR_T},

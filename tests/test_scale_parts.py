@@ -282,3 +282,11 @@ def test_suggest_keys(spark):
     got = {(r["left_column"], r["right_column"], r["reason"]) for r in joins.suggest_keys(a, b).collect()}
     assert ("customer_id", "cust_id", "key_pattern") in got
     assert (("customer_id", "cust_id", "similar_name") in got) == (difflib.SequenceMatcher(None, "customer_id", "cust_id").ratio() > 0.7)
+
+
+def test_dup_near_names_every_pair(spark, tmp_path):
+    from cleanlake.queries import all_queries
+    parts = [(1, "A", "T", 1, "x"), (2, "A", "T", 1, "x"), (3, "A", "T", 2, "x"), (4, "A", "U", 2, "x"), (5, "B", "V", 9, "y"), (6, "A", "U", 3, "z")]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {(r["left_key"], r["right_key"]): (r["differences"], r["similarity"], r["row_pairs"]) for r in all_queries()["dup_near"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 3): (1, 75.0, 2), (1, 4): (2, 50.0, 2), (3, 4): (1, 75.0, 1), (4, 6): (2, 50.0, 1)}
