@@ -201,3 +201,13 @@ def test_secret_forest_learns_held_out_labels(spark):
 def test_secret_scan_is_native(spark):
     plan = secret_forest.scan(planted_secrets(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_lattice_report_decodes_what_was_encoded(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two  three"), (1, "one two  three"), (None, None), (4, "zz\n\u00e9")], "doc_id long, text string")
+    ids = {(r.row_key, r.sample): r.ids for r in lattice.encode(docs).collect()}
+    got = lattice.report(docs).collect()
+    assert all(r.round_trip and r.pieces == len(ids[r.row_key, r.sample]) for r in got)
+    plain = lattice.decode
+    monkeypatch.setattr(lattice, "decode", lambda *a: plain(*a).withColumn("text", F.concat("text", F.lit("!"))))
+    assert not any(r.round_trip for r in lattice.report(docs).collect())
