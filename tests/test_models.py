@@ -292,3 +292,15 @@ def test_inverse_normal_of_arrays():
     p = np.concatenate([np.linspace(1e-6, 1 - 1e-6, 4001), [1e-300, 1e-30, 1e-12, 0.075, 0.925, 1 - 1e-12]])
     assert np.allclose(inverse_normal(p), [statistics.NormalDist().inv_cdf(x) for x in p], rtol=1e-12, atol=1e-14)
     assert np.isnan(inverse_normal(np.array([0.0, 1.0, np.nan, -1.0]))).all() and inverse_normal(np.array([0.5]))[0] == 0
+
+
+def test_selection_passes_do_not_repeat(spark, monkeypatch):
+    from cleanlake.operators import features
+    df = spark.createDataFrame([(float(i % 7), float(i % 5), float(i), "yn"[i % 7 > 3]) for i in range(200)], "a double, b double, x double, y string")
+    calls = []
+    plain, indexer = features.exact_quantiles, features.StringIndexer
+    monkeypatch.setattr(features, "exact_quantiles", lambda *a, **k: calls.append("quantiles") or plain(*a, **k))
+    monkeypatch.setattr(features, "StringIndexer", lambda **k: calls.append("classes") or indexer(**k))
+    mi = {r["column"]: r["mutual_information"] for r in features.mutual_information(df, ["a", "b", "x"], "y").collect()}
+    assert max(mi, key=mi.get) == "a" and calls == ["quantiles"]
+    assert features.select_rfe(df, ["a", "b", "x"], "y", 1, 5) == ["a"] and calls == ["quantiles", "classes"]
