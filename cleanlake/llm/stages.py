@@ -1,7 +1,8 @@
 """Stages of the corpus pipeline: each takes (spark, docs, sf_dir), applies one operator to all of docs and returns the columns of docs.
 
 A row is named by its file and place, so rows that repeat an identifier are judged one by one; only near duplicates are named by
-doc_id, as their operator does. Rows to drop are joined by that name, broadcast when a count proves them few.
+doc_id, as their operator does. Rows to drop are joined by that name, broadcast when a count proves them few; numbers of copies are
+packed by file and block first.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cleanlake.core import c
 from cleanlake.llm import exact_dedup, jaccard_join, langid, lattice, mixing
-from cleanlake.llm.common import arrow_rows, checked_broadcast, located, stored, unused
+from cleanlake.llm.common import arrow_rows, checked_broadcast, located, placed, stored, unused
 
 WORDS, PERCENT = 5, 80      # of the near-duplicate stage; those of op10 are its own
 
@@ -47,9 +48,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources come near their target shares of the words."""
     at, n = unused(docs, "__at"), unused(docs, "__copies")
     rows = located(docs, at)
-    copies = mixing.copies(rows, id_col=at).where("copies > 0").select(F.col("doc_id").alias(at), F.col("copies").cast("int").alias(n))
-    chosen = rows.join(checked_broadcast(stored(copies, "stage-mix")), at)
-    return chosen.select(*[c(x) for x in docs.columns], F.explode(F.sequence(F.lit(1), F.col(n))).alias(n)).select(*[c(x) for x in docs.columns])
+    copies = mixing.copies(rows, id_col=at).select(F.col("doc_id").alias(at), F.col("copies").alias(n))
+    chosen = placed(rows, copies, at, n).where(F.col(n) > 0)
+    return chosen.select(*[c(x) for x in docs.columns], F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias(n)).select(*[c(x) for x in docs.columns])
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,6 +77,49 @@ def test_jaccard_hot_signatures_are_dealt(spark, monkeypatch):
     same(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_jaccard_keeps_only_sets_that_may_find_each_other(spark):
+    """Of a signature's sets only askers with a set of fitting size before them, and sets that an asker may find, are kept, with the number each would find."""
+    import pyarrow as pa
+    rng = random.Random(2)
+    rows = sorted({(rng.randrange(40), rng.choice([50, 60, 61, 75, 100, 101]), rng.randrange(300), rng.choice([jaccard_join.OWN, jaccard_join.UPPER])) for _ in range(200)})
+    rows = [r for i, r in enumerate(rows) if not i or r[:3] != rows[i - 1][:3]]
+    columns = list(zip(*[(s, k, n * 4 + kind) for s, n, k, kind in rows]))
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["sig", "key", "meta"])
+    want = {}
+    for s, n, k, kind in rows:
+        finds = [(s, x[2]) for x in rows if x[0] == s and x[1:3] < (n, k) and 100 * x[1] >= 80 * n]
+        if kind != jaccard_join.UPPER and finds:
+            want[s, k] = len(finds)
+            for x in finds:
+                want.setdefault(x, 0)
+    got = [(r["sig"], r["key"], r["cost"], r["freq"]) for t in jaccard_join._shared(80)(iter([batch])) for r in t.to_pylist()]
+    assert {(s, k): n for s, k, n, _ in got} == want and len(got) == len(want) < len(rows)
+    assert all(f == sum(x[0] == s for x in got) for s, _, _, f in got)
+
+
+def test_mixing_stage_packs_copies_by_block(spark, tmp_path, monkeypatch):
+    """The stage brings one packed row per block of a file to the texts, not one per document, and takes what the operator says."""
+    from collections import Counter
+
+    from cleanlake.llm import common, stages
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.randrange(30)), "en", rng.choice("ab") + ":c", i, "x") for i in range(700)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __file string").repartition(3).write.parquet(f"{tmp_path}/a b:c")
+    docs = spark.read.parquet(f"{tmp_path}/a b:c")
+    monkeypatch.setattr(common, "BLOCK", 100)
+    sizes, limited = [], common.checked_broadcast
+    monkeypatch.setattr(common, "checked_broadcast", lambda df, *a: sizes.append(df.count()) or limited(df, *a))
+    want = {r.doc_id: r.copies for r in mixing.copies(common.located(docs, "at_"), id_col="at_").join(common.located(docs, "at_").select(F.col("at_").alias("doc_id"), F.col("doc_id").alias("id")), "doc_id")
+            .select(F.col("id").alias("doc_id"), "copies").collect()}
+    for packed in (True, False):
+        if not packed:
+            monkeypatch.setattr(common, "checked_broadcast", lambda df, *a: df)
+        out = stages.mix_sources(spark, docs, "")
+        assert out.columns == docs.columns
+        assert Counter(r.doc_id for r in out.collect()) == {i: n for i, n in want.items() if n}
+    assert set(want.values()) >= {0, 1} and 7 <= sizes[-1] <= 10
+
+
 def test_forest_connects_what_the_edges_connect():
     rng = np.random.default_rng(3)
     for _ in range(50):
