@@ -157,14 +157,14 @@ def archive(manifest: DataFrame, folder: str, store: str) -> tuple[DataFrame, Da
     shared = (headers.where("record_type = 'response'").groupBy("sha256").agg(F.min(F.struct("file", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
               .where("n > 1").select("sha256", "first"))
     rows = read_warc(manifest, folder).where("record_type = 'response'").join(checked_broadcast(shared), "sha256", "left")
-    copy = F.coalesce(F.col("first") != F.struct("file", "pos"), F.lit(False))
-    rows.select("sha256", "payload", copy.alias("is_copy")).write.partitionBy("is_copy").parquet(f"{store}/payloads")
-    both = spark.read.schema("sha256 string, payload binary, is_copy boolean").parquet(f"{store}/payloads")
-    payloads = both.where("not is_copy").select("sha256", "payload")
-    copies = both.where("is_copy").select("sha256", F.col("payload").alias("other"))
-    if not copies.join(payloads, "sha256").where("payload <> other").isEmpty():
+    kind = F.when(F.col("first").isNull(), "lone").when(F.col("first") == F.struct("file", "pos"), "first").otherwise("copy")
+    rows.select("sha256", "payload", kind.alias("kind")).write.partitionBy("kind").parquet(f"{store}/payloads")
+    every = spark.read.schema("sha256 string, payload binary, kind string").parquet(f"{store}/payloads")
+    copies = every.where("kind = 'copy'").select("sha256", F.col("payload").alias("other"))
+    # A payload that only one record has stays out of the join.
+    if not copies.join(every.where("kind = 'first'"), "sha256").where("payload <> other").isEmpty():
         raise ValueError("two payloads share a SHA-256 digest")
-    return headers, payloads
+    return headers, every.where("kind <> 'copy'").select("sha256", "payload")
 
 
 def rebuild(headers: DataFrame, payloads: DataFrame) -> DataFrame:

@@ -79,6 +79,19 @@ def test_warc_bad_bytes_stop(spark, tmp_path):
         warc_store.read_warc(manifest, str(tmp_path)).collect()
 
 
+def test_warc_lone_payloads_stay_out_of_the_comparison(spark, monkeypatch):
+    """Only payloads that several records bring are compared; of those a difference under one digest stops the job."""
+    folder = scratch_path(spark, "warc-test")
+    manifest = warc_store.write_warc(warc_store.records(pages(spark)), folder)
+    _, payloads = warc_store.archive(manifest, folder, folder + "-store")
+    kinds = {r.kind: r.n for r in spark.read.parquet(folder + "-store/payloads").groupBy("kind").agg(F.count("payload").alias("n")).collect()}
+    assert kinds == {"lone": 2, "first": 4, "copy": 4} and payloads.count() == 6
+    real = warc_store.read_warc
+    monkeypatch.setattr(warc_store, "read_warc", lambda *a, **b: real(*a, **b).withColumn("payload", F.when((F.col("page_id") == 4), F.lit(b"other")).otherwise(F.col("payload"))))
+    with pytest.raises(ValueError, match="share a SHA-256"):
+        warc_store.archive(manifest, folder, folder + "-store2")
+
+
 def test_warc_empty(spark):
     assert warc_store.page_report(spark, pages(spark).where("false")).count() == 0
 
