@@ -211,3 +211,49 @@ def test_lattice_report_decodes_what_was_encoded(spark, monkeypatch):
     plain = lattice.decode
     monkeypatch.setattr(lattice, "decode", lambda *a: plain(*a).withColumn("text", F.concat("text", F.lit("!"))))
     assert not any(r.round_trip for r in lattice.report(docs).collect())
+
+
+def test_lattice_hashes_only_the_races_of_its_walks(monkeypatch):
+    vocab, hashed, mix = lattice.pieces(lattice.MODEL), [], lattice.mix
+    monkeypatch.setattr(lattice, "mix", lambda x, *seed: hashed.append(np.size(x)) or mix(x, *seed))
+    text = "the quick brown fox jumps over the lazy dog and runs away from here to straße 漢字 😀".encode()
+    lattice.sample(vocab, [text], np.array([7], np.uint64), 2)
+    assert sum(hashed) < 4 * len(text)      # about 2; 8 when pieces are looked up by hashes and the races of a walk are drawn again
+
+
+def test_lattice_of_several_units_has_all_pieces():
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=lattice.MODEL)
+    named = {sp.id_to_piece(i).replace("▁", " ").encode(): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    vocab = lattice.pieces(lattice.MODEL)
+    units = [x.encode() for x in (" there", "a", "straße漢字😀", "\0a\0", "▁", "   x", "ab" * 100, " Ünïcode")]
+    lat = lattice.Lattice(vocab, units)
+    for unit, start, end in zip(units, lat.start, lat.end):
+        one = lattice.Lattice(vocab, [unit])
+        todo, seen = [(int(start), 0)], {int(start): 0}
+        for node, at in todo:
+            edges = range(lat.first[node], lat.first[node + 1])
+            got = [(int(lat.pid[e]), len(lattice.decode_ids(vocab, lat.pid[e:e + 1]))) for e in edges]
+            inside = at and (unit[at] & 0xC0) == 0x80 if at < len(unit) else False
+            want = [] if inside else [(named[unit[at:to]], to - at) for to in range(at + 1, len(unit) + 1) if unit[at:to] in named]
+            char = at < len(unit) and len(unit[at:].decode("utf-8", "ignore")[:1].encode()) if not inside else 0
+            if at < len(unit) and (inside or char not in [size for _, size in want]):
+                want.append((int(vocab.byte_id[unit[at]]), 1))
+            assert sorted(got) == sorted(want)
+            for e, (_, size) in zip(edges, got):
+                assert seen.setdefault(int(lat.dst[e]), at + size) == at + size
+                if (int(lat.dst[e]), at + size) not in todo:
+                    todo.append((int(lat.dst[e]), at + size))
+            if got:
+                assert abs(np.exp(lat.log_q[edges.start:edges.stop]).sum() - 1) < 1e-9
+        assert seen[int(end)] == len(unit) and max(seen.values()) == len(unit) and one.end[0] - one.start[0] == len(unit)
+
+
+def test_first_samples_do_not_depend_on_how_many_are_asked():
+    vocab = lattice.pieces(lattice.MODEL)
+    texts = [x.encode() for x in ("the quick brown fox " * 30, "ab c", "a", "", "  漢字 😀 ▁ straße", "x" * 400, "once upon a time there was")]
+    keys = np.arange(len(texts)).astype(np.uint64)
+    many = lattice.sample(vocab, texts, keys, 6)
+    for k in (1, 2, 4):
+        for few, all_ in zip(lattice.sample(vocab, texts, keys, k), many):
+            assert [(x[0].tolist(), x[1]) for x in few] == [(x[0].tolist(), x[1]) for x in all_[:k]]
