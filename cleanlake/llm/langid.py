@@ -29,7 +29,8 @@ _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 EVIDENCE = 60.0            # trigrams of one text overlap and repeat, so at most this many count as independent
 HOST_WEIGHT, SUFFIX_WEIGHT = 20.0, 50.0     # rows that the prior above a host or a suffix is worth
 DECLARED_WEIGHT = 2.0
-CHUNK = 1 << 20
+CHUNK = 1 << 20     # bytes of a long text that are counted at once
+GROUP = 1 << 17     # bytes of shorter texts that are counted together
 
 
 def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -52,13 +53,13 @@ def code(declared: Column) -> Column:
 
 
 def _pieces(texts):
-    """Row numbers and lower-cased bytes of texts, in groups of about CHUNK bytes; a longer text comes in pieces that overlap by two bytes."""
+    """Row numbers and lower-cased bytes of texts, in groups of about GROUP bytes; a text longer than CHUNK comes in pieces that overlap by two bytes."""
     rows, parts, held = [], [], 0
     for i, t in enumerate(texts):
         b = t.lower().encode("utf-8", "surrogatepass").translate(_LETTERS) if isinstance(t, str) else b""
         for a in range(0, max(len(b) - 2, 1), CHUNK):
             part = b[a: a + CHUNK + 2]
-            if parts and held + len(part) > CHUNK:
+            if parts and held + len(part) > GROUP:
                 yield np.array(rows), parts
                 rows, parts, held = [], [], 0
             rows.append(i)

@@ -1,14 +1,15 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cleanlake.llm import jaccard_join, mixing, sorted_projection
-from cleanlake.llm.shingles import shingle_sets
+from cleanlake.llm import jaccard_join, langid, mixing, sorted_projection
+from cleanlake.llm.shingles import chunks, shingle_sets
 from llm_brute import FOLD, brute_classes, brute_targets, shingles
 
 def same(df, rows):
@@ -307,3 +308,26 @@ def test_vectors_of_several_lengths(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in sorted_projection.near_classes(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, row string")).collect()}
     assert len(got) == len(rows) and got[1] == (1, 1) and got[2] == (1, 1) and got[3] == (0, 3) and got[9] == (0, 9) and got[10] == (0, 10) and got[11] == (0, 11)
     assert got[24][0] >= 1
+
+
+def test_workers_hold_little_at_once():
+    """Python workers live on from stage to stage: what hashing a batch takes and keeps, and what language ID counts at once, stays small."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**5)}" for _ in range(300)) for _ in range(1200)]
+    whole = [shingle_sets([t.encode()], 5)[0].tolist() for t in texts[::100]]
+    tracemalloc.start()
+    sets = []
+    for at, part in chunks(texts):
+        values, counts = shingle_sets(part, 5)
+        sets += [x.tolist() if (at + i) % 100 == 0 else None for i, x in enumerate(np.split(values, np.cumsum(counts)[:-1]))]
+        del values, counts
+    most = tracemalloc.get_traced_memory()[1]
+    shingle_sets([b"ab c " * 600_000], 5)         # a long text leaves nothing behind
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert sets[::100] == whole
+    assert most < 32e6 and kept < 8e6
+    texts.append("long text " * 150_000)
+    groups = list(langid._pieces(texts))
+    assert [r for rows, _ in groups for r in rows] == [*range(1201), 1200]
+    assert all(len(parts) == 1 or sum(map(len, parts)) <= 1 << 17 for _, parts in groups)
