@@ -79,6 +79,33 @@ def test_pairs_of_one_key_meet_in_many_tasks(spark, how):
     assert sum(parts) == 1600 * 1500 and max(parts) < 0.6 * sum(parts)
 
 
+def sent(plan):
+    """Rows that the exchanges of a plan that has run wrote."""
+    inner = {"AdaptiveSparkPlan": "executedPlan", "ShuffleQueryStage": "plan", "BroadcastQueryStage": "plan", "ResultQueryStage": "plan"}.get(plan.nodeName())
+    below = [getattr(plan, inner)()] if inner else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.nodeName() == "Exchange" else 0
+    return own + sum(map(sent, below))
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_copies_grow_with_the_rows_not_with_their_pairs(spark, how):
+    copies = []
+    for n in (600, 1200):
+        left, right = spark.range(n).select(F.col("id").alias("a"), (F.col("id") % 2).alias("k")), spark.range(n).select(F.col("id").alias("b"), (F.col("id") % 2).alias("q"))
+        out = skew.spread_join(left, right, [("k", "q")], how, side=8).select("a", "b")
+        assert len(out.collect()) == n * n // 2
+        copies.append(sent(out._jdf.queryExecution().executedPlan()))
+    assert copies[1] < 2.2 * copies[0] and copies[1] < 4 * math.sqrt(skew.GROUPS * spark.sparkContext.defaultParallelism) * 1200
+
+
+def test_groups_of_pairs_have_their_limits():
+    for groups in (32, 10_000):
+        for sizes in [(2_000_000, 3), (3, 2_000_000), (5_400_000, 360_000), (1_200, 1_000), (1, 2_000_000)], [(216_000, 14_400)] * 25, [(9_000_000, 2_000_000)]:
+            for (m, n), (a, b) in zip(sizes, skew._chunks(sizes, groups)):
+                assert m * n <= a * b * skew.MOST_SIDE ** 2 and n <= b * skew.HELD_ROWS and m <= a * skew.SORTED_ROWS and a >= 1 and b >= 1
+    assert sum(a * b for a, b in skew._chunks([(216_000, 14_400)] * 25, 192)) <= 2 * 192 and skew._chunks([(1_025, 1_024)], 4) == [(2, 1)]
+
+
 def test_lookup_join_small_and_large(spark):
     left = spark.range(500).select((F.col("id") % 50).alias("k"), "id")
     table = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
